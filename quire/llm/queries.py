@@ -17,7 +17,35 @@ def op1_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure(table(spark, sf_dir, "documents"))
 
 
+def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.decontaminate import overlaps
+
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.shards import digest
+
+    return digest(table(spark, sf_dir, "documents"), 40)
+
+
+def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "mix_key")
+
+
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.jaccard import groups
+
+    return groups(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition_coverage": op1_repetition_coverage,
+    "op2_spaced_seed_decontamination": op2_spaced_seed_decontamination,
+    "op3_rendezvous_sharding": op3_rendezvous_sharding,
+    "op7_poisson_mixing": op7_poisson_mixing,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {}
