@@ -56,10 +56,17 @@ def components(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
             return roots
 
 
-def connect(postings: DataFrame, verify: Callable[[DataFrame, str], DataFrame], tables: Tables, name: str) -> DataFrame:
+def shared_postings(postings: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """The postings whose token more than one id has, with that number ``n`` and the token's first id ``center``."""
+    shared = postings.groupBy("token").agg(F.count("*").alias("n"), F.min("id").alias("center")).where("n > 1")
+    return tables.keep(postings.join(tables.keep(shared, f"{name}-shared"), "token"), f"{name}-postings")
+
+
+def connect(postings: DataFrame, percent: int, verify: Callable[[DataFrame, str], DataFrame], tables: Tables, name: str) -> DataFrame:
     """(id, root) of the groups that verified links make among records that share tokens.
 
-    ``postings`` (token, id, need): a pair is a candidate if it shares at least min(need, need) tokens.
+    ``postings`` (token, id, need, size, center): a pair is a candidate if it shares at least the smaller ``need``
+    of tokens and the smaller size is at least ``percent`` of the larger, which any link implies.
     ``verify(pairs, name)`` keeps the linked ones of the candidates (u, v).
 
     Pairs within a group are not all made.  First each record meets the first record of each of its
@@ -67,29 +74,38 @@ def connect(postings: DataFrame, verify: Callable[[DataFrame, str], DataFrame],
     are in different groups so far are made and verified.  Each candidate is thus either verified or inside
     one group, so no connection is lost; a group of m near copies costs about m checks.
     """
-    shared = postings.groupBy("token").agg(F.count("*").alias("n"), F.min("id").alias("center")).where("n > 1").select("token", "center")
-    shared = tables.keep(shared, f"{name}-shared")
-    some = tables.keep(postings.join(shared, "token"), f"{name}-postings")
-    stars = some.where("id <> center").select(F.col("center").alias("u"), F.col("id").alias("v")).distinct()
+    def alike(a: str, b: str) -> Column:
+        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+    heads = tables.keep(postings.where("id = center").select(F.col("id").alias("center"), F.col("size").alias("csize")).distinct(), f"{name}-heads")
+    stars = (
+        postings.where("id <> center")
+        .groupBy("center", "id")
+        .agg(F.count("*").alias("n"), F.min("need").alias("need"), F.min("size").alias("size"))
+        .where("n >= need")
+        .join(heads, "center")
+        .where(alike("size", "csize"))
+        .select(F.col("center").alias("u"), F.col("id").alias("v"))
+    )
     links = tables.keep(verify(stars, f"{name}-star"), f"{name}-links-1")
     groups = components(links, tables, f"{name}-c1")
-    labelled = some.select("token", "id", "need").join(groups.withColumnRenamed("root", "comp"), "id", "left")
+    labelled = postings.select("token", "id", "need", "size").join(groups.withColumnRenamed("root", "comp"), "id", "left")
     labelled = tables.keep(labelled.withColumn("comp", F.coalesce("comp", "id")), f"{name}-labelled")
     mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     rest = tables.keep(labelled.join(tables.keep(mixed, f"{name}-mixed"), "token"), f"{name}-rest")
-    per_group = tables.keep(rest.select("token", "comp").distinct(), f"{name}-groups")
-    a, b = per_group.withColumnRenamed("comp", "ca"), per_group.withColumnRenamed("comp", "cb")
-    meets = a.join(b, "token").where("ca < cb")
-    x = rest.select("token", F.col("comp").alias("ca"), F.col("id").alias("x"), F.col("need").alias("nx"))
-    y = rest.select("token", F.col("comp").alias("cb"), F.col("id").alias("y"), F.col("need").alias("ny"))
+    per_group = tables.keep(rest.groupBy("token", "comp").agg(F.min("size").alias("lo"), F.max("size").alias("hi")), f"{name}-groups")
+    a, b = (per_group.select("token", F.col("comp").alias(f"c{k}"), F.col("lo").alias(f"lo{k}"), F.col("hi").alias(f"hi{k}")) for k in "ab")
+    meets = a.join(b, "token").where("ca < cb").where(f"100 * hia >= {percent} * lob and 100 * hib >= {percent} * loa").select("token", "ca", "cb")
+    x, y = (rest.select("token", F.col("comp").alias(f"c{k}"), F.col("id").alias(k), F.col("need").alias(f"n{k}"), F.col("size").alias(f"s{k}")) for k in "ab")
     cross = (
         meets.join(x, ["token", "ca"])
         .join(y, ["token", "cb"])
-        .groupBy(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
-        .agg(F.count("*").alias("n"), F.min(F.least("nx", "ny")).alias("need"))
+        .where(alike("sa", "sb"))
+        .groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+        .agg(F.count("*").alias("n"), F.min(F.least("na", "nb")).alias("need"))
         .where("n >= need")
         .select("u", "v")
     )
     found = tables.keep(verify(cross, f"{name}-cross"), f"{name}-links-2")
-    tables.drop(*(f"{name}-{t}" for t in ("postings", "labelled", "rest", "groups", "mixed", "shared")))
+    tables.drop(*(f"{name}-{t}" for t in ("heads", "postings", "labelled", "rest", "groups", "mixed", "shared")))
     return components(links.union(found), tables, f"{name}-c2")

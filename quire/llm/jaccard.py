@@ -3,8 +3,8 @@
 Two documents link when the Jaccard similarity of their sets of word shingles reaches a threshold.
 Under one global order of shingles, two linked sets share at least l shingles among the first
 ``|x| - ceil(t|x|) + l`` of each.  The longer prefix (l > 1) costs more postings but asks for more shared
-shingles before a pair is verified.  Each document takes the l of 1 to LONGEST whose estimated cost
-(postings touched plus candidates verified) is least; a pair needs the smaller l of its two.
+shingles before a pair is verified.  Each document takes the l whose estimated cost (postings touched plus
+candidates verified, from the true counts of its prefix's shingles) is least; a pair needs the smaller l of its two.
 
 The global order puts shingles that many documents hold last, by classes of their estimated frequency in a
 count sketch of fixed size over all documents, then by hash.  Any order is lossless, so the estimate only
@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from quire.llm.graph import connect
+from quire.llm.counters import counters
+from quire.llm.graph import connect, shared_postings
 from quire.llm.store import Tables, bitmap, present
-from quire.llm.text import LOWER, SPACE, mix, ngrams, parts, salted, span_hashes, spans
+from quire.llm.text import LOWER, SPACE, mix, ngrams, parts, span_hashes, spans
 
-LONGEST = 4
-SKETCH_BITS = 20
+MORE = 3  # an l of up to MORE + 1, or a quarter of the shortest prefix, may be chosen
+SKETCH_BITS = 22
 VERIFY_COST = 40.0  # of one candidate, in postings
-PAIR_ROWS = 2_000
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -68,93 +68,65 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.nda
         yield first, last, hashes, np.searchsorted(owners, np.arange(rows + 1))
 
 
-def frequency_classes(docs: DataFrame, text_col: str, size: int, bits: int = SKETCH_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """By shingle hash: a class (0 for usual counts, more for ever more frequent shingles) and the count beyond chance.
+def frequency_classes(docs: DataFrame, text_col: str, size: int, bits: int = SKETCH_BITS) -> np.ndarray:
+    """By shingle hash a class: 0 for usual counts, more for ever more frequent shingles; from all documents."""
 
-    Every task counts all its shingles in a table of 2**bits counters and sends it in pieces; the pieces
-    are summed by their number, so nothing grows with the corpus but the number of pieces.
-    """
-    width = 1 << (bits - 6)
+    def at(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, _, hashes, _ in shingle_sets(batch.column(0), size):
+            yield (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.uint32)
-        for batch in batches:
-            for _, _, hashes, _ in shingle_sets(batch.column(0), size):
-                total += np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
-        if total.any():
-            for k in range(64):
-                piece = total[k * width : (k + 1) * width]
-                kind = np.uint16 if piece.max() < 1 << 16 else np.uint32
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([piece.astype(kind).tobytes()], pa.binary())], ["piece", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(blob, np.uint16 if len(blob) == 2 * width else np.uint32)
-                sums[k] = sums.get(k, 0) + part.astype(np.uint64)
-        for k, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["piece", "counts"])
-
-    schema = "piece int, counts binary"
-    found = docs.select(text_col).mapInArrow(count, schema).repartition("piece").mapInArrow(add, schema).toArrow()
-    counts = np.zeros(1 << bits, np.float64)
-    for k, blob in zip(found["piece"].to_pylist(), found["counts"].to_pylist(), strict=True):
-        counts[k * width : (k + 1) * width] = np.frombuffer(blob, np.uint64)
+    counts = counters(docs.select(text_col), at, 1 << bits).astype(float)
     usual = np.median(counts)
     over = np.maximum(0, counts - usual - 5 * np.sqrt(usual + 1))
-    return np.minimum(63, np.ceil(np.log2(1 + over / (1 + np.sqrt(usual))))).astype(np.uint8), over
-
-
-def choose(over: np.ndarray, shortest: int) -> int:
-    """The l whose estimated cost is least, given how often each shingle of the longest prefix occurs beyond chance."""
-    sums = np.cumsum(over)
-    best, least = 1, np.inf
-    for l in range(1, LONGEST + 1):
-        touched = sums[min(shortest + l - 1, len(sums)) - 1]
-        cost = shortest + l + touched + VERIFY_COST * touched / l**2
-        if cost < least:
-            best, least = l, cost
-    return best
+    return np.minimum(63, np.ceil(np.log2(1 + over / (1 + np.sqrt(usual))))).astype(np.uint8)
 
 
-def prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, classes: np.ndarray, over: np.ndarray) -> DataFrame:
-    """(id, n_shingles, two set hashes, need, prefix) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast((classes, over.astype(np.float32)))
+def prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, classes: np.ndarray) -> DataFrame:
+    """(id, n_shingles, two set hashes, shortest, prefix): the longest prefix that may be used, and the least needed."""
+    shared = docs.sparkSession.sparkContext.broadcast(classes)
     bits = int(np.log2(len(classes)))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, beyond = shared.value
         for batch in batches:
             for first, last, hashes, offsets in shingle_sets(batch.column(1), size):
                 rows = last - first
                 counts = np.diff(offsets)
                 owners = np.repeat(np.arange(rows), counts)
-                at = (hashes >> np.uint64(64 - bits)).astype(np.int64)
-                order = np.lexsort((hashes, rank[at], owners))
-                ordered, weight = hashes[order], beyond[at[order]]
+                rank = shared.value[(hashes >> np.uint64(64 - bits)).astype(np.int64)]
+                ordered = hashes[np.lexsort((hashes, rank, owners))]
                 sums = [np.zeros(len(hashes) + 1, np.uint64) for _ in range(2)]
                 np.cumsum(mix(hashes ^ np.uint64(0x5BD1)), out=sums[0][1:])
                 np.cumsum(mix(hashes + np.uint64(0x9E37)), out=sums[1][1:])
                 one, two = ((s[offsets[1:]] - s[offsets[:-1]]).view(np.int64) for s in sums)
-                need, lists = np.ones(rows, np.int32), []
-                least = -(-percent * counts // 100)  # shared shingles that a link needs at least
-                for r in range(rows):
-                    n, shortest = counts[r], counts[r] - least[r] + 1
-                    if n:
-                        begin = offsets[r]
-                        longest = min(n, shortest + LONGEST - 1)
-                        need[r] = min(choose(weight[begin : begin + longest], shortest), least[r])
-                        lists.append(ordered[begin : begin + shortest + need[r] - 1])
-                    else:
-                        lists.append(ordered[:0])
-                ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-                values = pa.array((np.concatenate(lists) if lists else ordered[:0]).view(np.int64))
-                columns = [batch.column(0).slice(first, rows), pa.array(counts.astype(np.int64)), pa.array(one), pa.array(two), pa.array(need), pa.ListArray.from_arrays(ends, values)]
-                yield pa.RecordBatch.from_arrays(columns, [id_col, "n_shingles", "one", "two", "need", "prefix"])
-
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_shingles long, one long, two long, need int, prefix array<long>")
+                shortest = np.where(counts > 0, counts - -(-percent * counts // 100) + 1, 0)
+                longest = np.minimum(counts, shortest + np.maximum(MORE, shortest // 4))
+                place = np.arange(len(hashes)) - np.repeat(offsets[:-1], counts)
+                values = pa.array(ordered[place < np.repeat(longest, counts)].view(np.int64))
+                lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(longest)).astype(np.int32), values)
+                columns = [batch.column(0).slice(first, rows), pa.array(counts.astype(np.int64)), pa.array(one), pa.array(two), pa.array(shortest.astype(np.int32)), lists]
+                yield pa.RecordBatch.from_arrays(columns, [id_col, "n_shingles", "one", "two", "shortest", "prefix"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_shingles long, one long, two long, shortest int, prefix array<long>")
+
+
+def adapt(postings: DataFrame, percent: int, tables: Tables) -> DataFrame:
+    """Choose each document's l and keep its postings of that prefix: (token, id, need, size, center).
+
+    ``postings`` (token, id, size, shortest, pos, n, center) are those of shared tokens, n the documents with the
+    token.  A prefix for l touches the sum of n - 1 postings; at most that over l documents can share l of
+    them.  The estimated cost is postings + VERIFY_COST * candidates.  A document whose shortest prefix
+    touches nobody links with nobody and is left out.
+    """
+    last = F.least(F.greatest(F.lit(MORE), F.floor(F.col("shortest") / 4)).cast("int"), F.col("size") - F.col("shortest")) + 1
+    least = F.ceil(F.col("size") * percent / 100).cast("int")
+    options = [F.least(x, last, least).cast("int") for x in (F.lit(1), F.lit(2), F.lit(3), F.floor(last / 2), last)]
+    touched = [F.sum(F.when(F.col("pos") < F.col("shortest") + l - 1, F.col("n") - 1).otherwise(0)) for l in options]
+    sums = postings.groupBy("id").agg(*[t.alias(f"t{k}") for k, t in enumerate(touched)], *[F.min(l).alias(f"l{k}") for k, l in enumerate(options)])
+    costs = F.array(*[F.struct((F.col(f"t{k}") * (1 + VERIFY_COST / F.col(f"l{k}"))).alias("cost"), F.col(f"l{k}").alias("need")) for k in range(len(options))])
+    chosen = tables.keep(sums.where("t0 > 0").select("id", F.array_min(costs)["need"].alias("need")), "needs")
+    kept = postings.join(chosen, "id").where("pos < shortest + need - 1")
+    return tables.keep(kept.select("token", "id", "need", "size", "center"), "adapted")
 
 
 def linked(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, tables: Tables):
@@ -204,14 +176,15 @@ def groups(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc
         docs = docs.withColumn(id_col, F.col(id_col).cast("long"))
     spark = docs.sparkSession
     tables = Tables(spark, "jaccard")
-    classes, over = frequency_classes(docs, text_col, size)
-    made = tables.keep(prefixes(docs, id_col, text_col, size, percent, classes, over), "prefixes")
+    classes = frequency_classes(docs, text_col, size)
+    made = tables.keep(prefixes(docs, id_col, text_col, size, percent, classes), "prefixes")
     rows = made.where(f"`{id_col}` is not null and n_shingles > 0")
     # equal sets: one representative, the smallest id
-    same = rows.groupBy("one", "two", "n_shingles").agg(F.min_by(F.struct(F.col(id_col).alias("id"), "need", "prefix"), id_col).alias("rep"))
+    same = rows.groupBy("one", "two", "n_shingles").agg(F.min_by(F.struct(F.col(id_col).alias("id"), "shortest", "prefix"), id_col).alias("rep"))
     same = tables.keep(same.select("one", "two", "n_shingles", "rep.*"), "sets")
-    postings = same.select("id", "need", F.explode("prefix").alias("token")).select("token", "id", "need")
-    found = connect(postings, linked(docs, id_col, text_col, size, percent, tables), tables, "join")
+    postings = same.select("id", F.col("n_shingles").cast("int").alias("size"), "shortest", F.posexplode("prefix").alias("pos", "token"))
+    postings = adapt(shared_postings(postings, tables, "join"), percent, tables)
+    found = connect(postings, percent, linked(docs, id_col, text_col, size, percent, tables), tables, "join")
     found = tables.keep(found, "roots")
     by_root = same.select("id").join(found, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
     least = tables.keep(by_root.groupBy("root").agg(F.min("id").alias("component_id")), "least")
