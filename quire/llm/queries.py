@@ -41,11 +41,26 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op9_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.language import held_out_predictions
+
+    return held_out_predictions(table(spark, sf_dir, "documents"))
+
+
+def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.perplexity import score_like
+
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return score_like(table(spark, sf_dir, "documents"), good)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition_coverage": op1_repetition_coverage,
     "op2_spaced_seed_decontamination": op2_spaced_seed_decontamination,
     "op3_rendezvous_sharding": op3_rendezvous_sharding,
     "op7_poisson_mixing": op7_poisson_mixing,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_hierarchical_language_id": op9_hierarchical_language_id,
+    "op10_cross_entropy_difference": op10_cross_entropy_difference,
 }
 ORACLES: dict[str, str] = {}
