@@ -6,13 +6,20 @@ learns whether edges are left.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.store import Tables
 
+HOT = 64  # records that share a token, above which they are compared in blocks
+BLOCK = 32_000  # sizes of a block's records together
+# which of the records a given one is linked with
+Similar = Callable[[np.ndarray, Sequence[np.ndarray]], np.ndarray]
+
 
 def _first(column: Column) -> Column:
     """Orders ids at random but alike everywhere, so that chains shrink by a constant share each round."""
@@ -62,18 +69,98 @@ def shared_postings(postings: DataFrame, tables: Tables, name: str) -> DataFrame
     return tables.keep(postings.join(tables.keep(shared, f"{name}-shared"), "token"), f"{name}-postings")
 
 
-def connect(postings: DataFrame, percent: int, verify: Callable[[DataFrame, str], DataFrame], tables: Tables, name: str) -> DataFrame:
-    """(id, root) of the groups that verified links make among records that share tokens.
+def verified(pairs: DataFrame, held: DataFrame, similar: Similar) -> DataFrame:
+    """The linked ones of the pairs (u, v), by the records (id, record) of both."""
 
-    ``postings`` (token, id, need, size, center): a pair is a candidate if it shares at least the smaller ``need``
-    of tokens and the smaller size is at least ``percent`` of the larger, which any link implies.
-    ``verify(pairs, name)`` keeps the linked ones of the candidates (u, v).
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column("ru"), batch.column("rv"), strict=True)
+            keep = [bool(similar(np.frombuffer(a.as_buffer(), np.uint64), [np.frombuffer(b.as_buffer(), np.uint64)])[0]) for a, b in both]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    full = pairs.join(held.select(F.col("id").alias("u"), F.col("record").alias("ru")), "u").join(held.select(F.col("id").alias("v"), F.col("record").alias("rv")), "v")
+    return full.mapInArrow(check, "u long, v long")
+
+
+def clusters(postings: DataFrame, groups: DataFrame, tables: Tables, name: str) -> tuple[DataFrame, DataFrame]:
+    """(id, cluster) of records that share hot tokens, directly or in chains, and the blocks in which to compare them.
+
+    A cluster of one group needs no comparison and has no blocks.  Records of a large group fill blocks of their own, which
+    are not compared with each other; small groups share blocks.  The second table is (id, comp, pair, side):
+    each record once for every pair of blocks that its block is in.
+    """
+    hot = postings.where((F.col("n") > HOT) & (F.col("id") != F.col("center"))).select(F.col("id").alias("u"), F.col("center").alias("v"))
+    found = tables.keep(components(hot, tables, f"{name}-hot").withColumnRenamed("root", "cluster"), f"{name}-clusters")
+    sizes = postings.groupBy("id").agg(F.min("size").cast("long").alias("size"))
+    members = found.join(sizes, "id").join(groups.withColumnRenamed("root", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    members = tables.keep(members, f"{name}-members")
+    by_group = members.groupBy("cluster", "comp").agg(F.sum("size").alias("total"))
+    small = F.sum(F.when(F.col("total") < BLOCK, F.col("total")).otherwise(0)).alias("small")
+    by_cluster = by_group.groupBy("cluster").agg(small, F.count("*").alias("groups")).where("groups > 1").drop("groups")
+    own = F.col("total") >= BLOCK
+    count = F.ceil(F.when(own, F.col("total")).otherwise(F.col("small")) / BLOCK)
+    number = F.pmod(F.xxhash64(F.when(own, F.col("id")).otherwise(F.col("comp"))), F.greatest(F.lit(1), count))
+    key = F.struct(F.when(own, F.col("comp")).alias("own"), number.alias("number"))
+    placed = members.join(by_group, ["cluster", "comp"]).join(by_cluster, "cluster").select("id", "comp", "cluster", key.alias("block"))
+    placed = tables.keep(placed, f"{name}-placed")
+    blocks = tables.keep(placed.select("cluster", "block").distinct(), f"{name}-blocks")
+    a, b = blocks.withColumnRenamed("block", "a"), blocks.withColumnRenamed("block", "b")
+    apart = (F.col("a.own") != F.col("b.own")) | F.col("a.own").isNull() | F.col("b.own").isNull()
+    pairs = a.join(b, "cluster").where((F.col("a") <= F.col("b")) & apart).withColumn("pair", F.xxhash64("cluster", "a", "b"))
+    sides = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("block")))).otherwise(
+        F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("block")), F.struct(F.lit(1).alias("side"), F.col("b").alias("block")))
+    )
+    wanted = pairs.select("cluster", "pair", F.inline(sides))
+    return found, placed.join(wanted, ["cluster", "block"]).select("id", "comp", "pair", "side")
+
+
+def block_links(rows: DataFrame, held: DataFrame, similar: Similar) -> DataFrame:
+    """Links (u, v) between groups that the blocks' records show; enough of them to connect what is connected."""
 
-    Pairs within a group are not all made.  First each record meets the first record of each of its
-    tokens (a star, linear in the postings); verified stars join into groups.  Then only candidates that
-    are in different groups so far are made and verified.  Each candidate is thus either verified or inside
-    one group, so no connection is lost; a group of m near copies costs about m checks.
+    def compare(table: pa.Table) -> pa.Table:
+        ids, comps, sides = (table[c].to_numpy() for c in ("id", "comp", "side"))
+        records = [np.frombuffer(r.as_buffer(), np.uint64) for r in table["record"]]
+        parent = {c: c for c in comps.tolist()}
+
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
+        out: list[tuple[int, int]] = []
+        for k, i in enumerate(left):
+            others = right if len(right) else left[k + 1 :]
+            mine = top(int(comps[i]))
+            others = [j for j in others if top(int(comps[j])) != mine]
+            if others:
+                for j in np.array(others)[similar(records[i], [records[j] for j in others])]:
+                    x, y = top(int(comps[i])), top(int(comps[j]))
+                    if x != y:
+                        parent[x] = y
+                        out.append((int(ids[i]), int(ids[j])))
+        return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
+
+    return rows.join(held, "id").groupBy("pair").applyInArrow(compare, "u long, v long")
+
+
+def connect(postings: DataFrame, percent: int, fetch: Callable[[DataFrame], DataFrame], similar: Similar, tables: Tables, name: str) -> DataFrame:
+    """(id, root) of the groups that links make among records that share tokens.
+
+    ``postings`` (token, id, need, size, n, center): a pair is a candidate if it shares at least the smaller ``need``
+    of tokens and the smaller size is at least ``percent`` of the larger, which any link implies.
+    ``fetch(ids)`` gives (id, record), ``similar`` tells which records are linked.
+
+    Pairs within a group are not all made, and no link between groups is lost:
+    1. each record meets the first record of its tokens (a star, linear in the postings) and verified stars
+       join into groups;
+    2. records with a token that more than HOT share fall into clusters.  Within a cluster, records of
+       different groups are compared in blocks: a task gets two blocks and returns only links that connect;
+    3. other candidates share only tokens of at most HOT records, so their number is linear; those of
+       different groups and clusters are made and verified.
     """
+
     def alike(a: str, b: str) -> Column:
         return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -81,31 +168,37 @@ def connect(postings: DataFrame, percent: int, verify: Callable[[DataFrame, str]
     stars = (
         postings.where("id <> center")
         .groupBy("center", "id")
-        .agg(F.count("*").alias("n"), F.min("need").alias("need"), F.min("size").alias("size"))
-        .where("n >= need")
+        .agg(F.count("*").alias("shared"), F.min("need").alias("need"), F.min("size").alias("size"))
+        .where("shared >= need")
         .join(heads, "center")
         .where(alike("size", "csize"))
         .select(F.col("center").alias("u"), F.col("id").alias("v"))
     )
-    links = tables.keep(verify(stars, f"{name}-star"), f"{name}-links-1")
+    stars = tables.keep(stars, f"{name}-stars")
+    held = tables.keep(fetch(stars.select(F.explode(F.array("u", "v")).alias("id")).distinct()), f"{name}-records-1")
+    links = tables.keep(verified(stars, held, similar), f"{name}-links-1")
     groups = components(links, tables, f"{name}-c1")
-    labelled = postings.select("token", "id", "need", "size").join(groups.withColumnRenamed("root", "comp"), "id", "left")
-    labelled = tables.keep(labelled.withColumn("comp", F.coalesce("comp", "id")), f"{name}-labelled")
-    mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    rest = tables.keep(labelled.join(tables.keep(mixed, f"{name}-mixed"), "token"), f"{name}-rest")
-    per_group = tables.keep(rest.groupBy("token", "comp").agg(F.min("size").alias("lo"), F.max("size").alias("hi")), f"{name}-groups")
-    a, b = (per_group.select("token", F.col("comp").alias(f"c{k}"), F.col("lo").alias(f"lo{k}"), F.col("hi").alias(f"hi{k}")) for k in "ab")
-    meets = a.join(b, "token").where("ca < cb").where(f"100 * hia >= {percent} * lob and 100 * hib >= {percent} * loa").select("token", "ca", "cb")
-    x, y = (rest.select("token", F.col("comp").alias(f"c{k}"), F.col("id").alias(k), F.col("need").alias(f"n{k}"), F.col("size").alias(f"s{k}")) for k in "ab")
+    tables.drop(f"{name}-records-1")
+
+    clustered, rows = clusters(postings, groups, tables, name)
+    rows = tables.keep(rows, f"{name}-rows")
+
+    cold = postings.where(F.col("n") <= HOT).select("token", "id", "need", "size").join(groups.withColumnRenamed("root", "comp"), "id", "left")
+    cold = cold.join(clustered, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    cold = tables.keep(cold, f"{name}-cold")
+    mixed = cold.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    rest = tables.keep(cold.join(tables.keep(mixed, f"{name}-mixed"), "token"), f"{name}-rest")
+    x, y = (rest.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "need", "size", "comp", "cluster")]) for k in "xy")
     cross = (
-        meets.join(x, ["token", "ca"])
-        .join(y, ["token", "cb"])
-        .where(alike("sa", "sb"))
-        .groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-        .agg(F.count("*").alias("n"), F.min(F.least("na", "nb")).alias("need"))
-        .where("n >= need")
+        x.join(y, "token")
+        .where((F.col("id_x") < F.col("id_y")) & (F.col("comp_x") != F.col("comp_y")) & alike("size_x", "size_y") & F.coalesce(F.col("cluster_x") != F.col("cluster_y"), F.lit(True)))
+        .groupBy(F.col("id_x").alias("u"), F.col("id_y").alias("v"))
+        .agg(F.count("*").alias("shared"), F.min(F.least("need_x", "need_y")).alias("need"))
+        .where("shared >= need")
         .select("u", "v")
     )
-    found = tables.keep(verify(cross, f"{name}-cross"), f"{name}-links-2")
-    tables.drop(*(f"{name}-{t}" for t in ("heads", "postings", "labelled", "rest", "groups", "mixed", "shared")))
-    return components(links.union(found), tables, f"{name}-c2")
+    cross = tables.keep(cross, f"{name}-cross")
+    held = tables.keep(fetch(cross.select(F.explode(F.array("u", "v")).alias("id")).union(rows.select("id")).distinct()), f"{name}-records-2")
+    more = tables.keep(verified(cross, held, similar).union(block_links(rows, held, similar)), f"{name}-links-2")
+    tables.drop(*(f"{name}-{t}" for t in ("heads", "stars", "postings", "cold", "mixed", "rest", "rows", "shared", "records-2", "placed", "members")))
+    return components(links.union(more), tables, f"{name}-c2")

@@ -111,7 +111,7 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
 
 
 def adapt(postings: DataFrame, percent: int, tables: Tables) -> DataFrame:
-    """Choose each document's l and keep its postings of that prefix: (token, id, need, size, center).
+    """Choose each document's l and keep its postings of that prefix: (token, id, need, size, n, center).
 
     ``postings`` (token, id, size, shortest, pos, n, center) are those of shared tokens, n the documents with the
     token.  A prefix for l touches the sum of n - 1 postings; at most that over l documents can share l of
@@ -126,48 +126,44 @@ def adapt(postings: DataFrame, percent: int, tables: Tables) -> DataFrame:
     costs = F.array(*[F.struct((F.col(f"t{k}") * (1 + VERIFY_COST / F.col(f"l{k}"))).alias("cost"), F.col(f"l{k}").alias("need")) for k in range(len(options))])
     chosen = tables.keep(sums.where("t0 > 0").select("id", F.array_min(costs)["need"].alias("need")), "needs")
     kept = postings.join(chosen, "id").where("pos < shortest + need - 1")
-    return tables.keep(kept.select("token", "id", "need", "size", "center"), "adapted")
+    return tables.keep(kept.select("token", "id", "need", "size", "n", "center"), "adapted")
 
 
-def linked(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, tables: Tables):
-    """A function that keeps the linked pairs (u, v) of candidates, by their whole sets."""
+def fetcher(docs: DataFrame, id_col: str, text_col: str, size: int):
+    """A function that gives (id, record), the sorted shingle hashes, of the documents with given ids."""
+    narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_col, F.xxhash64(F.col(id_col).cast("long")).alias("h"))
 
-    def verify(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = tables.keep(pairs, f"{name}-pairs")
-        ids = tables.keep(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), f"{name}-ids")
+    def fetch(ids: DataFrame) -> DataFrame:
         words = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("id").alias("h"))))
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                some = present(words.value, batch.column(2).to_numpy().view(np.uint64))
-                batch = batch.filter(pa.array(some))
+                batch = batch.filter(pa.array(present(words.value, batch.column(2).to_numpy().view(np.uint64))))
                 for first, last, hashes, offsets in shingle_sets(batch.column(1), size):
                     blobs = [hashes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(blobs, pa.binary())], ["id", "set"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(blobs, pa.binary())], ["id", "record"])
 
-        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = []
-                for a, b in zip(batch.column("su"), batch.column("sv"), strict=True):
-                    a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                    small, large = sorted((len(a), len(b)))
-                    if 100 * small < percent * large:
-                        keep.append(False)
-                        continue
-                    both = np.sort(np.concatenate([a, b]))
-                    same = int((both[1:] == both[:-1]).sum())
-                    keep.append(100 * same >= percent * (len(both) - same))
-                yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-        narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_col, F.xxhash64(F.col(id_col).cast("long")).alias("h"))
-        held = narrow.mapInArrow(sets, "id long, set binary").join(ids, "id").dropDuplicates(["id"])
-        held = tables.keep(held, f"{name}-sets")
-        full = pairs.join(held.select(F.col("id").alias("u"), F.col("set").alias("su")), "u").join(held.select(F.col("id").alias("v"), F.col("set").alias("sv")), "v")
-        out = tables.keep(full.mapInArrow(check, "u long, v long"), f"{name}-out")
-        tables.drop(*(f"{name}-{t}" for t in ("pairs", "ids", "sets")))
+        return narrow.mapInArrow(sets, "id long, record binary").join(ids, "id").dropDuplicates(["id"])
+
+    return fetch
+
+
+def jaccard_at_least(percent: int):
+    """Which sorted sets have a Jaccard similarity of ``percent`` or more with a given one."""
+
+    def similar(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+        counts = np.array([len(x) for x in others])
+        out = (100 * np.minimum(counts, len(one)) >= percent * np.maximum(counts, len(one))) & (counts > 0)
+        some = np.flatnonzero(out)
+        if len(some) and len(one):
+            values = np.concatenate([others[k] for k in some])
+            at = np.searchsorted(one, values)
+            at[at == len(one)] = 0
+            same = np.add.reduceat(one[at] == values, np.cumsum(np.append(0, counts[some][:-1])), dtype=np.int64)
+            out[some] = 100 * same >= percent * (counts[some] + len(one) - same)
         return out
 
-    return verify
+    return similar
 
 
 def groups(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,7 +180,7 @@ def groups(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc
     same = tables.keep(same.select("one", "two", "n_shingles", "rep.*"), "sets")
     postings = same.select("id", F.col("n_shingles").cast("int").alias("size"), "shortest", F.posexplode("prefix").alias("pos", "token"))
     postings = adapt(shared_postings(postings, tables, "join"), percent, tables)
-    found = connect(postings, percent, linked(docs, id_col, text_col, size, percent, tables), tables, "join")
+    found = connect(postings, percent, fetcher(docs, id_col, text_col, size), jaccard_at_least(percent), tables, "join")
     found = tables.keep(found, "roots")
     by_root = same.select("id").join(found, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
     least = tables.keep(by_root.groupBy("root").agg(F.min("id").alias("component_id")), "least")
