@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.store import bitmap, present
+from quire.llm.store import Tables, bitmap, present
 from quire.llm.text import STEP, mix, parts, tokens
 
 WINDOW, ALLOWED, MIN_TOKENS = 13, 3, 8
@@ -120,7 +120,8 @@ def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """One row a (document, item) that overlap: ``matched`` tokens of the best window, and ``n_hits``."""
-    item_seeds = seed_table(items, item_col, text_col, items=True)
+    # written, so that Spark knows its true size when it chooses the join
+    item_seeds = Tables(docs.sparkSession, "seeds").keep(seed_table(items, item_col, text_col, items=True), "items")
     words = bitmap(item_seeds.select("h"))
     doc_seeds = seed_table(docs, id_col, text_col, items=False, filter_by=words)
     kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for df, c in ((docs, id_col), (items, item_col))]

@@ -29,6 +29,24 @@ def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"), 40)
 
 
+def op4_layout_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.render import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op5_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.lines import dedup
+
+    return dedup(table(spark, sf_dir, "documents"))
+
+
+def op6_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.personal import digest, find
+
+    return digest(find(table(spark, sf_dir, "documents")))
+
+
 def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.mixing import mix
 
@@ -58,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition_coverage": op1_repetition_coverage,
     "op2_spaced_seed_decontamination": op2_spaced_seed_decontamination,
     "op3_rendezvous_sharding": op3_rendezvous_sharding,
+    "op4_layout_rendering": op4_layout_rendering,
+    "op5_fuzzy_line_dedup": op5_fuzzy_line_dedup,
+    "op6_semi_markov_pii": op6_semi_markov_pii,
     "op7_poisson_mixing": op7_poisson_mixing,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_hierarchical_language_id": op9_hierarchical_language_id,
