@@ -5,8 +5,8 @@ r_s = w_s * N / n_s, with N the size of all.  Each document's count inverts the
 of that mean at a number in (0, 1) drawn from a hash of its key and a seed: deterministic, and alike on
 a retry.  Documents are exploded by their counts and sorted by a hash of (key, copy): a global shuffle.
 
-Source sizes come from one aggregation with partial sums; the table of sources is joined by Spark,
-which broadcasts it only below its own size limit.  The counts are native columns; the explode adds
+Source sizes come from one aggregation with partial sums.  The table of sources is written, so that Spark knows
+its size: below its own limit it is broadcast and the documents stay where they are, above it is shuffled.  The counts are native columns; the explode adds
 rows in proportion to the target, never to the square of a group.
 
 Defined results: a null source is a source of its own; sources without a stated weight get the share
@@ -22,6 +22,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.store import Tables
+
 NO_SOURCE = "\x00null"
 MAX_RATE = 500.0
 
@@ -72,7 +74,8 @@ def replicate(
     docs: DataFrame, weights: Mapping[str, float] | None = None, rest: float = 0.0, seed: str = "mix", key: str = "doc_id", source: str = "source", text: str = "text"
 ) -> DataFrame:
     """Every document as often as drawn, with ``copy`` (from 0) and ``mix_key``; not yet in shuffled order."""
-    rated = docs.withColumn("__source", F.coalesce(F.col(source), F.lit(NO_SOURCE))).join(rates(docs, weights, rest, source, text), "__source")
+    known = Tables(docs.sparkSession, "mix").keep(rates(docs, weights, rest, source, text), "rates")
+    rated = docs.withColumn("__source", F.coalesce(F.col(source), F.lit(NO_SOURCE))).join(known, "__source")
     count = poisson_count(F.lit(seed), F.col(key), F.col("__rate"))
     drawn = rated.withColumn("__count", count).where("__count > 0").drop("__source", "__rate", "copy", "mix_key")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__count") - 1))).drop("__count")
