@@ -1,0 +1,490 @@
+"""Each operator against a brute-force version of its result, on awkward documents and on the smallest tables."""
+
+import re
+import zlib
+from collections import Counter, defaultdict
+from itertools import combinations
+from math import exp
+
+import numpy as np
+import pytest
+
+from quire.llm import decontaminate, jaccard, language, lines, mixing, perplexity, personal, render, repetition, shards
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+TINY = "/root/testdata/sf0.001"
+
+
+def table(spark, name, folder=TINY):
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def collected(df, key="doc_id"):
+    return sorted((tuple(r) for r in df.collect()), key=lambda r: (r[0] is None, r[0] or 0, str(r)))
+
+
+# ---- op1
+
+
+def brute_repetition(text):
+    words = WORD.findall(text or "")
+    seen, dup_lines = set(), 0
+    for line in (text or "").split("\n"):
+        if WORD.search(line):
+            dup_lines += line in seen
+            seen.add(line)
+
+    def covered(n):
+        grams = Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+        return {k for i in range(len(words) - n + 1) if grams[tuple(words[i : i + n])] > 1 for k in range(i, i + n)}
+
+    five = covered(5)
+    chars = [sum(len(words[k]) for k in covered(n)) for n in (5, 7, 10)]
+    failed = len(words) < 10 or 100 * len(five) > 20 * len(words)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup_lines, len(five), failed, chars
+
+
+@pytest.mark.parametrize("which", ["docs", "clashing", "tiny"])
+def test_repetition(spark, request, which):
+    df = table(spark, "documents") if which == "tiny" else request.getfixturevalue(which)
+    texts = Counter((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+    got = repetition.measure(df).collect()
+    assert len(got) == sum(texts.values())
+    expected = defaultdict(list)
+    for (i, t), n in texts.items():
+        expected[i] += [brute_repetition(t)] * n
+    for r in got:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.dup_ngram_chars) in expected[r.doc_id]
+        assert not (r.base_failed and r.kept)
+
+
+def test_repetition_rejects_and_keeps(spark, no_docs, docs):
+    kept = repetition.keep_good(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in repetition.measure(docs).where("kept").collect()}
+    assert repetition.measure(no_docs).count() == 0 and repetition.keep_good(no_docs).count() == 0
+
+
+# ---- op2
+
+
+def test_masks_find_every_allowed_change():
+    for n in range(decontaminate.MIN_TOKENS, decontaminate.WINDOW + 1):
+        for changed in combinations(range(n), n - decontaminate.needed(n)):
+            assert any(all(o + m not in changed for m in mask) for mask in decontaminate.MASKS for o in range(n - mask[-1]))
+
+
+def brute_overlap(doc, item):
+    a, b = ([t for t in re.findall(r"[^\W_]+", x.lower())] for x in (doc, item))
+    if len(b) < 8:
+        return None
+    best, n = 0, min(13, len(b))
+    for i in range(len(a) - n + 1):
+        for j in range(len(b) - n + 1):
+            best = max(best, sum(x == y for x, y in zip(a[i : i + n], b[j : j + n], strict=True)))
+    return best if best >= decontaminate.needed(len(b)) else None
+
+
+def test_decontamination(spark, rows, docs, no_docs):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi".split()
+    changed = [x if k not in (2, 6, 10) else f"q{k}" for k, x in enumerate(item)]
+    broken = [x if k % 3 else f"q{k}" for k, x in enumerate(item)]
+    made = [(1, " ".join(["so"] * 20 + item + ["on"] * 9)), (2, "x " + ", ".join(changed).upper()), (3, " ".join(broken)), (4, " ".join(item[:9])), (5, None), (6, ""), (7, " ".join(item[:13]))]
+    items = spark.createDataFrame([(10, " ".join(item)), (11, " ".join(item[:9])), (12, "too short"), (13, None), (14, " ".join(rows[40][1].split()[:15]))], "item_id long, text string")
+    df = spark.createDataFrame(made, "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    got = {(r.doc_id, r.item_id): r.matched for r in decontaminate.overlaps(df, items).collect()}
+    texts = [(r.doc_id, r.text or "") for r in df.collect() if len(r.text or "") < 5000]
+    expected = {}
+    for i, t in texts:
+        for r in items.collect():
+            if r.text and (m := brute_overlap(t, r.text)) is not None:
+                expected[i, r.item_id] = m
+    assert got.keys() == expected.keys()
+    assert (2, 10) in got and (3, 10) not in got
+    assert decontaminate.overlaps(no_docs, items).count() == 0 and decontaminate.overlaps(docs, items.limit(0)).count() == 0
+    left = decontaminate.remove(df, items)
+    assert left.columns == df.columns and {r.doc_id for r in left.collect()}.isdisjoint({i for i, _ in got})
+
+
+def test_decontamination_finds_planted_passages(spark):
+    got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(table(spark, "documents"), table(spark, "benchmark")).collect()}
+    items = {r.item_id: " ".join(r.text.split()) for r in table(spark, "benchmark").collect()}
+    whole = {(d.doc_id, i) for d in table(spark, "documents").collect() for i, t in items.items() if t in " ".join(d.text.split())}
+    assert whole and whole <= got
+
+
+# ---- op3
+
+
+def test_sharding(spark, clashing, no_docs):
+    got = shards.digest(clashing, 7).collect()
+    rows = Counter((r.doc_id, r.text) for r in clashing.select("doc_id", "text").collect())
+    assert len(got) == sum(rows.values())
+    texts = defaultdict(set)
+    for i, t in rows:
+        texts[i].add(((len((t or "").encode()) + 16), zlib.crc32((t or "").encode())))
+    slots = defaultdict(list)
+    for r in got:
+        assert (r["size"], r.text_crc32) in texts[r.doc_id] and r.law == "key"
+        assert r.grown_shard in (r.shard, 7)
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({(r.doc_id, r.shard) for r in got}) == len({r.doc_id for r in got})
+    assert shards.digest(no_docs, 7).count() == 0
+
+
+def test_weights_and_growth(spark):
+    df = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    a = shards.assign(df, [1.0, 2.0, 1.0], grown=1.0)
+    share = {r.shard: r["count"] / 20_000 for r in a.groupBy("shard").count().collect()}
+    assert abs(share[1] - 0.5) < 0.02 and abs(share[0] - 0.25) < 0.02
+    b = shards.assign(df, [1.0, 2.0, 1.0, 1.0]).withColumnRenamed("shard", "after")
+    assert a.join(b, "doc_id").where("after <> grown_shard").count() == 0
+    numbered = shards.slots(a, ["doc_id"], rows_per_bucket=700).groupBy("shard").agg({"slot": "max", "*": "count"}).collect()
+    assert all(r["max(slot)"] + 1 == r["count(1)"] for r in numbered)
+
+
+# ---- op4
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<p>a<p>b &amp; c", "a\n\nb & c"),
+        ("<ul><li>a<li>b<ol start=3><li>c<li>d</ol></ul>", "- a\n- b\n  3. c\n  4. d"),
+        ("<table><tr><th>Name<th>Qty<tr><td>Apple pie<td>3</table>", "Name       Qty\nApple pie  3"),
+        ("<table><tr><td rowspan=2>r<td>1<tr><td>2</table>", "r  1\n   2"),
+        ("<style>.x{display:none}</style><p class='a x'>gone</p>here<script>var t='</p>'</script>", "here"),
+        ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b></div>", "yes"),
+        ("<details><summary>S</summary>hid</details><details open>shown</details>", "S\nshown"),
+        ("a<br>b<hr>c", "a\nb\n\nc"),
+        ("<pre>\n a  b\n   c</pre>", " a  b\n   c"),
+        ("<head><title>t</title></head><body>x <!-- no --> y</body>", "x y"),
+        ("a < b <x", "a < b"),
+        ("", ""),
+        ("<div>" * 5000 + "deep", "deep"),
+        ("</p></div>x</table>", "x"),
+    ],
+)
+def test_rendering(html, text):
+    assert render.render(html).strip("\n") == text
+
+
+def test_rendering_tables(spark):
+    pages = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "<p>x", 5), (3, "<p>x", 5)], "page_id long, html string, n_lines int")
+    assert collected(render.extract(pages)) == [(1, None, None, None), (2, "", 0, 0), (3, "x", 1, 1), (3, "x", 1, 1)]
+    assert render.extract(pages.limit(0)).count() == 0
+    visible = re.compile(r"<p>([^<&]+)")
+    for r, source in zip(collected(render.extract(table(spark, "pages"))), sorted((p.page_id, p.html) for p in table(spark, "pages").collect()), strict=True):
+        squeezed = " ".join(r[1].split())
+        assert all(" ".join(x.split()) in squeezed for x in visible.findall(source[1]))
+
+
+# ---- op5
+
+
+def test_distance():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a, b = (rng.integers(0, 4, rng.integers(0, 12)).tolist() for _ in range(2))
+        d = np.zeros((len(a) + 1, len(b) + 1), int)
+        d[:, 0], d[0, :] = range(len(a) + 1), range(len(b) + 1)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                d[i + 1, j + 1] = min(d[i, j] + (a[i] != b[j]), d[i, j + 1] + 1, d[i + 1, j] + 1)
+        assert lines.distance(a, b) == d[-1, -1]
+
+
+def brute_lines(texts):
+    """Dropped (doc, line) by the same definition, in plain Python; ids are distinct and not null."""
+    from quire.llm.text import parts
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    found = {}
+    for i, t in sorted(texts.items()):
+        for _, _, data, offsets in parts(pc.utf8_lower(pa.array([t], pa.large_string()))):
+            made = lines.Lines(data, offsets)
+            for k, b in enumerate(made.simhash()):
+                found[i, int(made.number[k])] = (tuple(made.words[made.begins[k] : made.stops[k]].tolist()), tuple(b.tolist()))
+    keys = sorted(found)
+    parent = {k: k for k in keys}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(keys, 2):
+        (wa, ba), (wb, bb) = found[a], found[b]
+        if wa == wb or (any(x == y for x, y in zip(ba, bb, strict=True)) and 100 * (max(len(wa), len(wb)) - lines.distance(list(wa), list(wb))) >= 80 * max(len(wa), len(wb))):
+            x, y = top(a), top(b)
+            parent[max(x, y)] = min(x, y)
+    return {k for k in keys if top(k) != k}
+
+
+def test_line_dedup(spark, docs, no_docs):
+    rng = np.random.default_rng(8)
+    base = [" ".join(f"v{x}" for x in rng.integers(0, 300, 40)) for _ in range(6)]
+    texts = {}
+    for i in range(30):
+        picked = [base[k] for k in rng.integers(0, 6, 4)]
+        picked = [line.replace(line.split()[5], f"changed{i}", 1) if rng.random() < 0.5 else line for line in picked]
+        texts[i] = "\n".join([*picked, "", "...", f"Only {i} here: unique{i}", "Page 12!" if i % 2 else "page 7"])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    expected = brute_lines(texts)
+    got = {(r.doc, k) for r in lines.drops(df).collect() for k in r.gone}
+    assert got == expected and len(expected) > 40
+    for r in lines.dedup(df).collect():
+        assert r.text == "\n".join(x for k, x in enumerate(texts[r.doc_id].split("\n")) if (r.doc_id, k) not in expected)
+    odd = {(r.doc_id, r.text, r.n_dropped) for r in lines.dedup(docs).collect()}
+    assert (200, None, 0) in odd and (201, "", 0) in odd and (202, " \n\t ", 0) in odd and any(i is None for i, _, _ in odd)
+    assert lines.dedup(no_docs).count() == 0
+
+
+# ---- op6
+
+
+def brute_spans(text):
+    out = []
+    for kind, pattern in {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            if kind == "ip" and max(map(int, m.group().split("."))) > 255:
+                continue
+            if kind == "card" and not (13 <= len(digits) <= 19 and personal.luhn(digits)):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((kind, *m.span()))
+    return out
+
+
+def test_patterns():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(20_000):
+        text = "".join(rng.choice("a1@.+- (2.@9") for _ in range(rng.randint(0, 40)))
+        assert personal.patterns(text) == brute_spans(text), text
+    assert personal.patterns("1" * 200_000 + " " + "a" * 200_000 + "@") == []
+
+
+def test_model_finds_held_out_examples():
+    import random
+
+    weights, rng = personal.train(), random.Random(4321)
+    made = [personal.example(rng) for _ in range(300)]
+    assert sum(personal.model_spans(t, weights) == truth for t, truth in made) >= 285
+
+
+def test_exact_segmentation():
+    """The dynamic programme against all segmentations of a short text."""
+    weights = personal.train()
+    text = "call 555-123-4567 or 10.0.0.1 now"
+    units = [m.span() for m in personal.UNIT.finditer(text)]
+    spans = personal.candidates(text, units)
+    score = personal.scores(weights, spans)
+
+    def best(at):
+        if at == len(units):
+            return 0.0
+        return max([best(at + 1), *(float(score[s].max()) + best(j) for s, (i, j, _) in enumerate(spans) if i == at)])
+
+    chosen = personal.best(len(units), spans, score)
+    total = sum(float(score[next(s for s, x in enumerate(spans) if x[:2] == (i, j))][k]) for i, j, k in chosen)
+    assert abs(total - best(0)) < 1e-4
+
+
+def test_personal_tables(spark, docs, no_docs):
+    import hashlib
+
+    df = table(spark, "documents").select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
+    texts = defaultdict(set)
+    for r in df.collect():
+        texts[r.doc_id].add(r.text)
+    for r in personal.digest(personal.find(df)).collect():
+        spans = [brute_spans(t or "") for t in texts[r.doc_id]]
+        assert r.base_sha256 in {hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in s).encode()).hexdigest() for s in spans}
+        if len(spans) == 1:
+            assert {f"{k}:{a}:{b}" for k, a, b in spans[0]} <= set(r.spans.split(","))
+    assert personal.find(no_docs).count() == 0
+    red = spark.createDataFrame([(1, "mail a.b@c.example.org now"), (2, None)], "doc_id long, text string")
+    assert collected(personal.redact(red)) == [(1, "mail <email> now"), (2, None)]
+
+
+# ---- op7
+
+
+def brute_count(u, rate):
+    k, p = 0, exp(-rate)
+    total = p
+    while total < u:
+        k += 1
+        p *= rate / k
+        total += p
+    return k
+
+
+def test_mixing(spark, docs, rows, clashing, no_docs):
+    import hashlib
+
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len(r[1] or "")
+    total = sum(sizes.values())
+    rate = {s: total / (len(sizes) * n) if n else 1.0 for s, n in sizes.items()}
+    expected = Counter()
+    for r in rows:
+        digest = hashlib.md5(f"mix:{'null' if r[0] is None else r[0]}:1".encode()).hexdigest()
+        expected[r[0]] += brute_count((int(digest[:13], 16) + 0.5) / 2**52, rate[r[3]])
+    got = Counter(r.doc_id for r in mixing.mix(docs).collect())
+    assert got == +expected
+    assert Counter(r.doc_id for r in mixing.mix(clashing).collect()) == got
+    assert mixing.mix(no_docs).count() == 0
+    keys = [r.mix_key for r in mixing.mix(docs).collect()]
+    assert keys == sorted(keys)
+
+
+def test_mean_counts(spark):
+    from pyspark.sql import functions as F
+
+    for rate in (0.2, 3.0, 40.0, 1200.0):
+        n = 4000
+        r = spark.range(n).select(mixing.poisson_count(F.lit("s"), F.col("id"), F.lit(rate)).alias("k")).agg(F.mean("k").alias("m"), F.variance("k").alias("v")).first()
+        assert abs(r.m - rate) < 5 * (rate / n) ** 0.5 and abs(r.v - rate) < 0.15 * rate + 0.02
+    only = spark.createDataFrame([(k, "x" * 10, "ab"[k % 2]) for k in range(200)], "doc_id long, text string, source string")
+    assert {r.source for r in mixing.mix(only, {"a": 1.0}).collect()} == {"a"}
+
+
+# ---- op8
+
+
+def brute_groups(rows, size, percent):
+    sets = {}
+    for i, t in rows:
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        shingles = [tuple(words[k : k + size]) for k in range(len(words) - size + 1)] if len(words) >= size else [tuple(words)] * bool(words)
+        sets[i] = frozenset(shingles)
+    parent = {i: i for i in sets}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            x, y = top(a), top(b)
+            parent[max(x, y)] = min(x, y)
+    return {i: (len(s), top(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize(("size", "percent", "hot"), [(3, 90, 64), (3, 90, 3), (5, 80, 5), (2, 70, 2)])
+def test_jaccard(spark, clashing, monkeypatch, size, percent, hot):
+    from quire.llm import graph
+
+    monkeypatch.setattr(graph, "HOT", hot)
+    monkeypatch.setattr(graph, "BLOCK", 600)
+    rows = {r.doc_id: r.text for r in clashing.select("doc_id", "text").collect() if r.doc_id is not None}
+    expected = brute_groups(rows.items(), size, percent)
+    got = jaccard.groups(clashing, size, percent).collect()
+    assert len(got) == clashing.count()
+    for r in got:
+        if r.doc_id is None:
+            assert r.component_id is None
+        else:
+            assert (r.n_shingles, r.component_id) == expected[r.doc_id]
+    assert len({r.component_id for r in got}) < len(got) - 20
+
+
+def test_jaccard_tables(spark, no_docs, docs):
+    assert jaccard.groups(no_docs).count() == 0
+    tiny = table(spark, "documents")
+    expected = brute_groups([(r.doc_id, r.text) for r in tiny.collect()], 3, 90)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.groups(tiny).collect()} == expected
+    left = jaccard.keep_first(docs)
+    assert left.columns == docs.columns
+    rows = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}
+    firsts = {i for i, (_, c) in brute_groups(rows.items(), 5, 80).items() if i == c}
+    assert {r.doc_id for r in left.collect()} == firsts | {None}
+
+
+# ---- op9
+
+
+def test_language(spark, docs, no_docs):
+    df = table(spark, "documents", "/root/testdata/sf0.01")
+    got = {r.doc_id: r for r in language.held_out_predictions(df).collect()}
+    truth = {r.doc_id: r.lang for r in df.select("doc_id", "lang").collect()}
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert {i for i, r in got.items() if r.held_out} == set(held)
+    assert sum(got[i].lang_pred == truth[i] for i in held) >= 0.97 * len(held)
+    assert all(0 <= r.score <= 1 for r in got.values())
+    odd = {r.doc_id: r for r in language.held_out_predictions(docs).collect()}
+    assert all(odd[i].lang_pred == "und" and odd[i].score == 0 for i in (200, 201, 202))
+    assert odd[206].lang_pred != "und" and odd[None].held_out is False
+    assert language.held_out_predictions(no_docs).count() == 0
+    blank = df.limit(5).drop("lang").selectExpr("*", "cast(null as string) as lang")
+    assert {r.lang_pred for r in language.held_out_predictions(blank).collect()} == {"und"}
+
+
+# ---- op10
+
+
+def test_scoring(spark, docs, no_docs):
+    good = docs.where("doc_id between 60 and 90")
+    got = {r.doc_id: r for r in perplexity.score_like(docs, good.select("doc_id")).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    chosen = [texts[i] for i in range(60, 91)]
+    everything = [r.text for r in docs.collect()]
+    import pyarrow as pa
+
+    def units(text):
+        return [x for _, _, bucket, _ in perplexity.buckets(pa.array([text], pa.string())) for x in bucket.tolist()]
+
+    total = Counter(x for t in everything for x in units(t))
+    counts = np.zeros(1 << perplexity.VOCABULARY_BITS, np.int64)
+    for x, n in total.items():
+        counts[x] = n
+    classes = perplexity.word_classes(counts)
+
+    def model(corpus):
+        words, pairs = Counter(), Counter()
+        for t in corpus:
+            before = perplexity.CLASSES
+            for x in units(t):
+                words[x] += 1
+                pairs[before, int(classes[x])] += 1
+                before = int(classes[x])
+        return words, pairs
+
+    size = np.bincount(classes, minlength=perplexity.CLASSES)
+
+    def loss(text, words, pairs):
+        in_class, after = Counter(), Counter()
+        for x, n in words.items():
+            in_class[int(classes[x])] += n
+        for (a, _), n in pairs.items():
+            after[a] += n
+        all_words, out, before, n = sum(words.values()), 0.0, perplexity.CLASSES, 0
+        for x in units(text):
+            c = int(classes[x])
+            usual = (in_class[c] + 1) / (all_words + perplexity.CLASSES)
+            out -= np.log((words[x] + 1) / (in_class[c] + size[c])) + np.log((pairs[before, c] + 64 * usual) / (after[before] + 64))
+            before, n = c, n + 1
+        return out / n
+
+    target, background = model(chosen), model(everything)
+    for i in (3, 40, 65, 104, 203, 206):
+        assert abs(got[i].target_loss - loss(texts[i], *target)) < 1e-3 and abs(got[i].background_loss - loss(texts[i], *background)) < 1e-3
+        assert abs(got[i].score - (got[i].target_loss - got[i].background_loss)) < 1e-9
+    assert got[200].n_tokens == 0 and got[200].score is None and got[201].score is None
+    assert np.mean([got[i].score for i in range(60, 91)]) < np.mean([got[i].score for i in range(0, 60)])
+    assert perplexity.score_like(no_docs, good.select("doc_id")).count() == 0
