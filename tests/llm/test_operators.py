@@ -206,7 +206,7 @@ def brute_lines(texts):
         for _, _, data, offsets in parts(pc.utf8_lower(pa.array([t], pa.large_string()))):
             made = lines.Lines(data, offsets)
             for k, b in enumerate(made.simhash()):
-                found[i, int(made.number[k])] = (tuple(made.words[made.begins[k] : made.stops[k]].tolist()), tuple(b.tolist()))
+                found[i, int(made.number[k])] = (tuple(made.words[made.begins[k] : made.stops[k]].tolist()), tuple(lines.tokens_of(b[None]).ravel().tolist()))
     keys = sorted(found)
     parent = {k: k for k in keys}
 
