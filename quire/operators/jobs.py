@@ -102,21 +102,21 @@ def prune_archives(v: Views) -> DataFrame:
 def fold_entry_state(actions: DataFrame) -> DataFrame:
     """Replay actions in the order of (stamp, event_id): opening and reading keep their first time, dismissal and citation their last.
 
-    A purchase stands for an undo here: it clears a dismissal that came before.  The undo makes this a
-    replay, expressed with ordered aggregates: what counts is what came after the last undo.
+    A purchase stands for an undo here: it clears a dismissal that came before.  A dismissal stands if the last one
+    came after the last undo, so the replay needs only minima and maxima, on a batch or on a stream.
     """
-    order = F.struct("stamp", "event_id")
-    undone = F.max(F.when(F.col("event_type") == "purchase", order)).over(Window.partitionBy("user_id", "entry_id")).alias("undone")
-    rows = actions.select("user_id", "entry_id", "event_type", "stamp", order.alias("o"), undone)
     at = lambda *kinds: F.when(F.col("event_type").isin(*kinds), F.col("stamp"))
-    live = F.when((F.col("event_type") == "error") & (F.col("undone").isNull() | (F.col("o") > F.col("undone"))), F.col("stamp"))
-    return rows.groupBy("user_id", "entry_id").agg(
+    last = lambda kind: F.max(F.when(F.col("event_type") == kind, F.struct("stamp", "event_id")))
+    folded = actions.groupBy("user_id", "entry_id").agg(
         F.min(at("view")).alias("opened_at"),
         F.min(at("view", "signup", "error")).alias("read_at"),
-        F.max(live).alias("dismissed_at"),
+        last("error").alias("dismissed"),
+        last("purchase").alias("undone"),
         F.max(at("click")).alias("cited_at"),
         F.count_if(F.col("event_type") == "click").alias("n_cites"),
     )
+    stands = F.col("undone").isNull() | (F.col("dismissed") > F.col("undone"))
+    return folded.select("user_id", "entry_id", "opened_at", "read_at", F.when(stands, F.col("dismissed.stamp")).alias("dismissed_at"), "cited_at", "n_cites")
 
 
 def mark_backlog(v: Views) -> DataFrame:

@@ -146,6 +146,52 @@ def export_csv(v: Views) -> DataFrame:
     return csv_lines(v)
 
 
+def page_metadata(v: Views) -> DataFrame:
+    from quire.functions.pages import metadata
+
+    return metadata(v.raw("pages"))
+
+
+def extract_article(v: Views) -> DataFrame:
+    from quire.functions.pages import articles
+
+    return articles(v.raw("pages"))
+
+
+def feed_parse(v: Views) -> DataFrame:
+    """Posts written as RSS documents of one item and parsed again."""
+    from quire.sources.export import escaped
+    from quire.sources.feeds import entries
+
+    i = F.col("doc_id").cast("string")
+    body = F.concat(
+        F.lit('<rss version="2.0"><channel><title>t</title><link>https://example.com/</link><item><title>'), escaped(F.substring("text", 1, 60)),
+        F.lit('</title><link>/p/'), i, F.lit("</link><guid>g"), i, F.lit("</guid><description>"), escaped(F.substring("text", 1, 600)),
+        F.lit("</description><pubDate>Mon, 01 Jan 2024 0"), (F.col("doc_id") % 10).cast("string"), F.lit(":30:00 GMT</pubDate></item></channel></rss>"),
+    )
+    feeds = v.raw("documents").select(F.col("doc_id").alias("feed_id"), F.lit("https://example.com/rss").alias("feed_url"), body.alias("body"))
+    return entries(feeds).select("feed_id", "guid", "url", "title", "summary", "published_at")
+
+
+def opml_roundtrip(v: Views) -> DataFrame:
+    from quire.sources.export import opml
+    from quire.sources.feeds import opml_feeds
+
+    return opml_feeds(opml(v).withColumnRenamed("document", "body")).select("user_id", "url", "title", "folder")
+
+
+def stream_fold_entry_state(v: Views) -> DataFrame:
+    from quire.streaming.fold import stream_fold
+
+    return stream_fold(v.spark, v.sf_dir)
+
+
+def reading_sessions(v: Views) -> DataFrame:
+    from quire.streaming.fold import views_sessions
+
+    return views_sessions(v)
+
+
 QUERIES: dict[str, Plan] = {
     "feed_open_rates": reading.feed_open_rates,
     "scorecard_open": lambda v: reading.scorecard(v, "p_open", "opened"),
@@ -200,6 +246,12 @@ QUERIES: dict[str, Plan] = {
     "search_bm25": search_bm25,
     "export_links": export_links,
     "export_csv": export_csv,
+    "page_metadata": page_metadata,
+    "extract_article": extract_article,
+    "feed_parse": feed_parse,
+    "opml_roundtrip": opml_roundtrip,
+    "stream_fold_entry_state": stream_fold_entry_state,
+    "reading_sessions": reading_sessions,
 }
 
 ORACLES: dict[str, str] = {
@@ -398,6 +450,21 @@ and (canonical_url ilike 'https://example.com/%' or canonical_url ilike 'https:/
         "links", "link_tags",
     ),
     "search_bm25": SEARCH_BM25,
+    "page_metadata": r"""select page_id, case when trim(t) <> '' then trim(regexp_replace(t, '\s+', ' ', 'g')) end as title, null::varchar as description, null::varchar as site_name,
+null::varchar as author, null::varchar as image_url, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/favicon.ico' as favicon_url, null::varchar as canonical_url
+from (select *, replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&') as t from pages)""",
+    "extract_article": f"""with a as (select page_id, regexp_split_to_array(regexp_extract(html, '<article\\b[^>]*>(.*)</article>', 1, 'is'),
+  '(?i)</?(?:p|div|li|h[1-6]|pre|blockquote|tr|table|ul|ol|section|figure|br)\\b[^>]*>') as pieces from pages),
+b as (select page_id, array_to_string(list_filter(list_transform(pieces, lambda p: {strip_tags_sql('p')}), lambda p: p <> ''), chr(10) || chr(10)) as text from a)
+select page_id, text, len(regexp_extract_all(text, '\\S+')) as words from b""",
+    "feed_parse": r"""with t as (select doc_id, trim(regexp_replace(substr(text, 1, 600), '\s+', ' ', 'g')) as plain, trim(regexp_replace(substr(text, 1, 60), '\s+', ' ', 'g')) as title from documents)
+select doc_id as feed_id, 'g' || doc_id as guid, 'https://example.com/p/' || doc_id as url, title,
+case when length(plain) > 400 then regexp_replace(substr(plain, 1, 400), '\s+\S*$', '') || '…' else plain end as summary,
+timestamp '2024-01-01 00:30:00' + to_hours(doc_id % 10) as published_at from t""",
+    "opml_roundtrip": with_views("select user_id, f.url, coalesce(title_override, title, f.url) as title, folder from subs s join feeds f on f.feed_id = s.feed_id", "subs", "feeds"),
+    "reading_sessions": """with marks as (select user_id, ts, case when ts <= lag(ts) over w + interval 30 minute then 0 else 1 end as new from events window w as (partition by user_id order by ts)),
+numbered as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from marks)
+select user_id, min(ts) as start, max(ts) + interval 30 minute as end, count(*) as events from numbered group by user_id, k""",
     "export_links": with_views(
         """, ts as (select link_id, string_agg(tag, ' ' order by tag) as tags from link_tags group by link_id)
 select user_id, link_id, url, title, tags, status, is_reference, note, strftime(saved_at, '%Y-%m-%dT%H:%M:%S.000Z') as saved_at from links left join ts using (link_id)""",
@@ -406,5 +473,8 @@ select user_id, link_id, url, title, tags, status, is_reference, note, strftime(
 }
 
 
+ORACLES["stream_fold_entry_state"] = ORACLES["fold_entry_state"]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, plan=plan: plan(Views(spark, sf_dir))) for name, plan in QUERIES.items()}
