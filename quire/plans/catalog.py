@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.texts import first_words, strip_tags, strip_tags_sql, summary, tags
 from quire.functions.urls import canonical, canonical_sql, host
-from quire.operators import jobs, reading
+from quire.operators import edits, jobs, reading
 from quire.plans.views import NOW, Views, with_views
 
 SINCE = "(timestamp '" + NOW + "' - interval '{}' day)"
@@ -246,6 +246,24 @@ QUERIES: dict[str, Plan] = {
     "search_bm25": search_bm25,
     "export_links": export_links,
     "export_csv": export_csv,
+    "entry_links": edits.entry_links,
+    "save_links": edits.save_links,
+    "capture_archives": edits.capture_archives,
+    "keep_until": edits.keep_until,
+    "last_places": edits.last_places,
+    "undone_log": edits.undone_log,
+    "correction_examples": edits.correction_examples,
+    "item_texts": edits.item_texts,
+    "batches": edits.batches,
+    "read_entries": edits.read_entries,
+    "suggestion_sample": edits.suggestion_sample,
+    "link_display": edits.link_display,
+    "link_json": edits.link_json,
+    "claimed_canonicals": edits.claimed_canonicals,
+    "sortable_ids": edits.sortable_ids,
+    "parsed_answers": edits.parsed_answers,
+    "new_users": edits.new_users,
+    "long_posts": edits.long_posts,
     "page_metadata": page_metadata,
     "extract_article": extract_article,
     "feed_parse": feed_parse,
@@ -465,6 +483,70 @@ timestamp '2024-01-01 00:30:00' + to_hours(doc_id % 10) as published_at from t""
     "reading_sessions": """with marks as (select user_id, ts, case when ts <= lag(ts) over w + interval 30 minute then 0 else 1 end as new from events window w as (partition by user_id order by ts)),
 numbered as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from marks)
 select user_id, min(ts) as start, max(ts) + interval 30 minute as end, count(*) as events from numbered group by user_id, k""",
+    "entry_links": with_views(
+        """, posts as (select entry_id, 'https://feed.example.com/' || (entry_id % 97) as url, entry_date from entries),
+found as (select l.link_id, p.entry_id, p.entry_date, case when p.entry_id = l.source_entry_id then 0 else 1 end as how
+  from links l join posts p on p.entry_id = l.source_entry_id or p.url = 'https://feed.example.com/' || (l.link_id % 211))
+select link_id, entry_id, how = 0 as by_source from (select *, row_number() over (partition by link_id order by how, entry_date desc, entry_id desc) as rn from found) where rn = 1""",
+        "entries", "links",
+    ),
+    "save_links": with_views(
+        f""", saved as (select user_id, canonical_url, link_id, note, status, saved_at from links where link_id % 2 = 0),
+incoming as (select user_id, canonical_url, link_id as in_id, case when link_id % 12 = 0 then 'NOTE  0' else 'new ' || link_id end as new_note from links where link_id % 3 = 0)
+select user_id, canonical_url, coalesce(link_id, in_id) as link_id, case when in_id is null then note when note is null then new_note
+  when contains(lower(regexp_replace(note, '\\s+', ' ', 'g')), lower(regexp_replace(new_note, '\\s+', ' ', 'g'))) then note else note || chr(10) || chr(10) || new_note end as note,
+case when in_id is not null then 'queued' else status end as status, case when in_id is not null then timestamp '{NOW}' else saved_at end as saved_at, link_id is null as made
+from saved full join incoming using (user_id, canonical_url)""",
+        "links",
+    ),
+    "capture_archives": with_views(
+        """, rows as (select a.link_id, a.attempts, coalesce(e.words, 0) as feed, [200, 200, 200, 404, 503, 429, 200, 403][a.link_id % 8 + 1] as code
+  from archives a join links l on l.link_id = a.link_id left join entries e on e.entry_id = l.source_entry_id where a.status <> 'ready'),
+p as (select *, case when code = 200 then (link_id * 53) % 300 else 0 end as page from rows),
+s as (select *, case when feed >= 100 then 'feed' when page >= 100 then 'page' when feed > 0 then 'feed' end as source from p)
+select link_id, case when source is null then 'failed' else 'ready' end as status, source, cast(case source when 'feed' then feed when 'page' then page end as bigint) as words,
+cast(case when source is null and not (code >= 500 or code in (408, 429)) then 3 else attempts end as bigint) as attempts from s""",
+        "archives", "links", "entries",
+    ),
+    "keep_until": with_views(f"select link_id, case when not (status = 'queued' or is_reference) then timestamp '{NOW}' + interval 14 day end as keep_until from links", "links"),
+    "last_places": with_views("select user_id, entry_id, block, round(progress, 6) as progress, updated_at from places", "places"),
+    "undone_log": with_views(
+        """, m as (select *, lead(event_type) over (partition by user_id order by stamp, event_id) as next from actions where event_type in ('purchase', 'signup'))
+select user_id, count(*) as stars, count(case when next = 'signup' then 1 end) as undone from m where event_type = 'purchase' group by user_id""",
+        "actions",
+    ),
+    "correction_examples": with_views(
+        """select user_id, entry_id, title, primary_slug as category from (select c.user_id, c.entry_id, e.title, c.primary_slug,
+  row_number() over (partition by c.user_id order by e.entry_date desc, c.entry_id desc) as rn from item_categories c join entries e on e.entry_id = c.entry_id where c.corrected and e.title is not null) where rn <= 10""",
+        "item_categories", "entries",
+    ),
+    "item_texts": with_views(
+        """, t as (select l.link_id, l.title, l.note, regexp_extract_all(e.content, '\\S+') as ws from links l left join entries e on e.entry_id = l.source_entry_id where l.status = 'queued')
+select link_id, title, concat_ws(chr(10), note, array_to_string(ws[1:120], ' ') || case when len(ws) > 120 then ' …' else '' end) as text from t""",
+        "links", "entries",
+    ),
+    "batches": with_views(
+        """, r as (select user_id, title, site_name, row_number() over (partition by user_id order by saved_at desc, link_id desc) as rn from links where status = 'queued')
+select user_id, cast(floor((rn - 1) / 20.0e0) as bigint) as batch, string_agg('[' || ((rn - 1) % 20 + 1) || '] ' || title || ' (' || site_name || ')', chr(10) order by rn) as state, count(*) as items from r group by all""",
+        "links",
+    ),
+    "read_entries": """with t as (select doc_id, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) as plain from documents)
+select doc_id as entry_id, least(length(text), 30000) as chars, length(text) > 30000 as truncated,
+case when plain = '' then null when length(plain) > 400 then regexp_replace(substr(plain, 1, 400), '\\s+\\S*$', '') || '…' else plain end as summary from t""",
+    "suggestion_sample": with_views(
+        """select user_id, kind, id from (
+  select s.user_id, 'post' as kind, e.entry_id as id, row_number() over (partition by s.user_id order by e.entry_date desc, e.entry_id desc) as rn, 25 as most from entries e join subs s on s.feed_id = e.feed_id
+  union all select user_id, 'link', link_id, row_number() over (partition by user_id order by starred_at desc, link_id desc), 15 from links where is_reference) where rn <= most""",
+        "entries", "subs", "links",
+    ),
+    "claimed_canonicals": f"""with c as (select page_id, url, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)), '^www\\.', '') as site,
+  regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) as path from pages),
+k as (select page_id, case when page_id % 3 = 0 then url when page_id % 4 = 0 then case when path in ('', '/') then 'https://' || site || '/' else url end else 'http://www.' || site || '/same?utm_x=1' end as url from c)
+select page_id, {canonical_sql('url')} as canonical_url from k""",
+    "parsed_answers": """select event_id, case when event_id % 4 < 3 and value / 400 between 0 and 1 then round(value / 400, 9) end as p from events""",
+    "new_users": """with e as (select 'u' || user_id || '@example.com' as email, ts, event_id from events)
+select email, min(ts) as created_at from e where event_id % 97 >= 3 and email not in (select email from e where event_id % 97 < 3) group by email""",
+    "long_posts": with_views("select feed_id, cast(sum(words) as bigint) as words, cast(sum(case when words >= 1035 then words else 0 end) as bigint) as long_words from entries group by feed_id", "entries"),
     "export_links": with_views(
         """, ts as (select link_id, string_agg(tag, ' ' order by tag) as tags from link_tags group by link_id)
 select user_id, link_id, url, title, tags, status, is_reference, note, strftime(saved_at, '%Y-%m-%dT%H:%M:%S.000Z') as saved_at from links left join ts using (link_id)""",
