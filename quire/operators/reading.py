@@ -122,7 +122,9 @@ def unread_badge(v: Views, days: int = 60) -> DataFrame:
     return rows.select("user_id", posts.alias("posts"), F.coalesce("queued", F.lit(0)).alias("queued"), (posts + F.coalesce("queued", F.lit(0))).alias("total"))
 
 
-INBOX_ORDER = [F.col("read_at").isNotNull().asc(), F.desc("entry_date"), F.desc("entry_id")]
+def inbox_order() -> list[Column]:
+    """Unread first, then newest."""
+    return [F.col("read_at").isNotNull().asc(), F.desc("entry_date"), F.desc("entry_id")]
 
 
 def inbox_posts(v: Views, limit: int = INBOX_LIMIT, where: Column | None = None, category: str | None = None) -> DataFrame:
@@ -133,7 +135,7 @@ def inbox_posts(v: Views, limit: int = INBOX_LIMIT, where: Column | None = None,
     if category is not None:
         placed = v.item_categories.where((F.col("primary_slug") == category) | (F.col("secondary_slug") == category))
         rows = rows.join(placed.select("user_id", "entry_id"), ["user_id", "entry_id"], "left_semi")
-    return top_per(rows, ["user_id"], [*INBOX_ORDER, F.desc_nulls_last("link_id")], limit).select(
+    return top_per(rows, ["user_id"], [*inbox_order(), F.desc_nulls_last("link_id")], limit).select(
         "user_id", "entry_id", "feed_id", "entry_date", F.col("read_at").isNull().alias("unread"), "link_id", minutes(F.col("words")).alias("minutes")
     )
 

@@ -104,9 +104,9 @@ def search_filter_only(v: Views) -> DataFrame:
 
 
 def search_bm25(v: Views) -> DataFrame:
-    from quire.operators.search import DOCUMENT_COLUMNS, ranked, tokens
+    from quire.operators.search import ranked, tokens
 
-    return ranked(v.raw("documents").select(F.col("doc_id").alias("id"), *DOCUMENT_COLUMNS), tokens, ["that", "onel*"])
+    return ranked(v.raw("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body")), tokens, ["that", "onel*"])
 
 
 SEARCH_BM25 = r"""with toks as (
