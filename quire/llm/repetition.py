@@ -37,10 +37,10 @@ class Rules:
     symbols: int = 30
 
 
-COLUMNS = (
-    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
-    "dup_line_chars long, dup_ngram_chars array<long>"
-)
+def columns(rules: Rules) -> str:
+    """The measures: ``dup_<n>gram_chars`` are characters inside n-grams that occur twice or more."""
+    grams = "".join(f", dup_{n}gram_chars long" for n, _ in sorted(rules.covered))
+    return f"n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, dup_line_chars long{grams}"
 
 
 def duplicate_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +80,6 @@ def measure_part(data: np.ndarray, offsets: np.ndarray, rules: Rules) -> dict[st
         "n_symbols": per_row(SYMBOLS[data], offsets),
     }
     out["n_dup_lines"], out["dup_line_chars"] = duplicate_lines(data, offsets)
-    covered = []
     for n in sorted({BASE_WINDOW, *(n for n, _ in rules.covered)}):
         at, keys = ngrams(hashes, owner, n)
         at = at[repeated(salted(keys, owner[at]))]
@@ -91,14 +90,13 @@ def measure_part(data: np.ndarray, offsets: np.ndarray, rules: Rules) -> dict[st
         if n == BASE_WINDOW:
             out["n_repeat_words"] = np.bincount(owner[held], minlength=rows)
         if n in dict(rules.covered):
-            covered.append(np.bincount(owner[held], chars[held], rows).astype(np.int64))
+            out[f"dup_{n}gram_chars"] = np.bincount(owner[held], chars[held], rows).astype(np.int64)
     out["base_failed"] = (out["n_words"] < rules.min_words) | (100 * out["n_repeat_words"] > rules.repeat_words * out["n_words"])
     bad = out["base_failed"] | (100 * out["dup_line_chars"] > rules.line_chars * out["word_chars"])
     bad |= 100 * out["n_symbols"] > rules.symbols * out["n_words"]
-    for (_, limit), x in zip(sorted(rules.covered), covered, strict=True):
-        bad |= 100 * x > limit * out["word_chars"]
+    for n, limit in rules.covered:
+        bad |= 100 * out[f"dup_{n}gram_chars"] > limit * out["word_chars"]
     out["kept"] = ~bad
-    out["dup_ngram_chars"] = np.stack(covered, 1) if covered else np.zeros((rows, 0), np.int64)
     return out
 
 
@@ -112,17 +110,14 @@ def measured(column: pa.Array, rules: Rules) -> dict[str, np.ndarray]:
 def measure(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: its id, the counts, ``base_failed`` and the verdict ``kept``."""
     kind = docs.schema[id_col].dataType.simpleString()
+    names = [x.split()[0] for x in columns(rules).split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = measured(batch.column(1), rules)
-            wide = out["dup_ngram_chars"]
-            lists = pa.ListArray.from_arrays(np.arange(len(wide) + 1, dtype=np.int32) * wide.shape[1], wide.ravel())
-            names = [x.split()[0] for x in COLUMNS.split(", ")]
-            arrays = [lists if k == "dup_ngram_chars" else pa.array(out[k]) for k in names]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], [id_col, *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[k]) for k in names)], [id_col, *names])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {COLUMNS}")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {columns(rules)}")
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text") -> DataFrame:
