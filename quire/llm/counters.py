@@ -43,6 +43,6 @@ def counters(df: DataFrame, indices: Callable[[pa.RecordBatch], Iterable[np.ndar
     schema = "piece int, counts binary"
     found = df.mapInArrow(count, schema).repartition("piece").mapInArrow(add, schema).toArrow()
     out = np.zeros(width * PIECES, np.uint64)
-    for k, blob in zip(found["piece"].to_pylist(), found["counts"].to_pylist(), strict=True):
-        out[k * width : (k + 1) * width] = np.frombuffer(blob, np.uint64)
+    for k, blob in zip(found["piece"].to_pylist(), found["counts"], strict=True):
+        out[k * width : (k + 1) * width] = np.frombuffer(blob.as_buffer(), np.uint64)
     return out[:size]

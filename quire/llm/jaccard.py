@@ -75,10 +75,14 @@ def frequency_classes(docs: DataFrame, text_col: str, size: int, bits: int = SKE
         for _, _, hashes, _ in shingle_sets(batch.column(0), size):
             yield (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
-    counts = counters(docs.select(text_col), at, 1 << bits).astype(float)
-    usual = np.median(counts)
-    over = np.maximum(0, counts - usual - 5 * np.sqrt(usual + 1))
-    return np.minimum(63, np.ceil(np.log2(1 + over / (1 + np.sqrt(usual))))).astype(np.uint8)
+    over = counters(docs.select(text_col), at, 1 << bits).astype(np.float32)
+    usual = float(np.median(over))
+    # in place, as the table is the largest thing that the driver holds
+    over -= usual + 5 * (usual + 1) ** 0.5
+    np.maximum(over, 0, out=over)
+    over /= 1 + usual**0.5
+    np.log2(1 + over, out=over)
+    return np.minimum(63, np.ceil(over, out=over), out=over).astype(np.uint8)
 
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, classes: np.ndarray) -> DataFrame:
