@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.texts import first_words, strip_tags, strip_tags_sql, summary, tags
 from quire.functions.urls import canonical, canonical_sql, host
-from quire.operators import edits, jobs, reading
+from quire.operators import edits, jobs, reading, upkeep
 from quire.plans.views import NOW, Views, with_views
 
 SINCE = "(timestamp '" + NOW + "' - interval '{}' day)"
@@ -246,6 +246,25 @@ QUERIES: dict[str, Plan] = {
     "search_bm25": search_bm25,
     "export_links": export_links,
     "export_csv": export_csv,
+    "kept_entries": upkeep.kept_entries,
+    "imported_feeds": upkeep.imported_feeds,
+    "upserted_feeds": upkeep.upserted_feeds,
+    "refreshed_feeds": upkeep.refreshed_feeds,
+    "refresh_totals": upkeep.refresh_totals,
+    "saved_categories": upkeep.saved_categories,
+    "drafted_slugs": upkeep.drafted_slugs,
+    "placed_inbox": upkeep.placed_inbox,
+    "queue_page": upkeep.queue_page,
+    "check_summary": upkeep.check_summary,
+    "settled_budget": upkeep.settled_budget,
+    "reader_states": upkeep.reader_states,
+    "triage": upkeep.triage,
+    "dispatch_counts": upkeep.dispatch_counts,
+    "highlights_of": upkeep.highlights_of,
+    "page_block_text": upkeep.page_block_text,
+    "place_labels": upkeep.place_labels,
+    "spoken_posts": upkeep.spoken_posts,
+    "token_hashes": upkeep.token_hashes,
     "entry_links": edits.entry_links,
     "save_links": edits.save_links,
     "capture_archives": edits.capture_archives,
@@ -483,6 +502,64 @@ timestamp '2024-01-01 00:30:00' + to_hours(doc_id % 10) as published_at from t""
     "reading_sessions": """with marks as (select user_id, ts, case when ts <= lag(ts) over w + interval 30 minute then 0 else 1 end as new from events window w as (partition by user_id order by ts)),
 numbered as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from marks)
 select user_id, min(ts) as start, max(ts) + interval 30 minute as end, count(*) as events from numbered group by user_id, k""",
+    "kept_entries": with_views(
+        f""", k as (select user_id, source_entry_id as entry_id, max(link_id) as link_id from links where source_entry_id is not null group by all)
+select s.user_id, s.entry_id, k.link_id, k.link_id is null as made, coalesce(s.read_at, timestamp '{NOW}') as read_at from state s left join k on k.user_id = s.user_id and k.entry_id = s.entry_id
+where s.opened_at is not null and s.cited_at is not null""",
+        "state", "links",
+    ),
+    "imported_feeds": with_views("select u.user_id, f.range as feed_id from users u, range(10) f where u.user_id % 3 = 0 and not exists (select 1 from subs s where s.user_id = u.user_id and s.feed_id = f.range)", "users", "subs"),
+    "upserted_feeds": with_views("select coalesce(f.feed_id, r.range) as feed_id, case when r.range % 2 = 0 then 'New ' || r.range else f.title end as title from feeds f full join range(4, 11) r on r.range = f.feed_id", "feeds"),
+    "refreshed_feeds": with_views(
+        f""", latest as (select feed_id, max(published_at) as latest from entries group by feed_id),
+a as (select f.feed_id, error_count, ['unchanged', 'changed', 'failed'][f.feed_id % 3 + 1] as outcome, (epoch_us(timestamp '{NOW}') - epoch_us(latest)) / 60000000.0e0 as age from feeds f left join latest l on l.feed_id = f.feed_id)
+select feed_id, outcome, cast(case when outcome = 'failed' then error_count + 1 else 0 end as bigint) as errors,
+cast(case when outcome = 'failed' then least(1440, 60 * pow(2, least(error_count + 1, 10))) when age < 1440 then 30 when age < 10080 then 60 when age < 43200 then 180 else 360 end as bigint) as wait from a""",
+        "feeds", "entries",
+    ),
+    "refresh_totals": with_views(f"select (select count(*) from entries e join feeds f on f.feed_id = e.feed_id where e.created_at >= {SINCE.format(1)}) as new_posts, count(case when feed_id % 3 = 2 then 1 end) as failed from feeds", "entries", "feeds"),
+    "saved_categories": with_views("select user_id, entry_id, primary_slug from item_categories where corrected and primary_slug <> 'c4'", "item_categories"),
+    "drafted_slugs": with_views(
+        """, m as (select user_id, link_id, case when link_id % 7 = 0 then 'other' else 'topic-' || (link_id % 3) end as slug from links),
+r as (select *, row_number() over (partition by user_id, slug order by link_id) + case when slug = 'other' then 1 else 0 end as nth, row_number() over (partition by user_id order by link_id) as rn from m)
+select user_id, link_id, case when nth > 1 then slug || '-' || nth else slug end as slug from r where rn <= 30""",
+        "links",
+    ),
+    "placed_inbox": with_views(
+        INBOX.format(where="") + """ select p.user_id, p.entry_id, coalesce(concat_ws(',', c.primary_slug, c.secondary_slug), '') as categories, coalesce(k.p_keep >= 0.5e0, false) as candidate, coalesce(p.link_id, -1) as link_id
+from page p left join item_categories c on c.user_id = p.user_id and c.entry_id = p.entry_id left join predictions k on k.error is null and k.user_id = p.user_id and k.entry_id = p.entry_id""",
+        *INBOX_VIEWS, "item_categories", "predictions",
+    ),
+    "queue_page": with_views("select link_id, saved_at from links where status = 'queued' order by saved_at desc, link_id desc limit 10 offset 5", "links"),
+    "check_summary": with_views(
+        """, r as (select entry_id, title, 'c' || (entry_id % 4) as slug, ((entry_id * 7919) % 1000) / 1000.0e0 < 0.5e0 as unsure from entries),
+k as (select *, row_number() over (partition by slug order by entry_id) as rn from r)
+select slug, count(*) as n, count(case when unsure then 1 end) as unsure, string_agg(title, ' | ' order by rn) filter (where rn <= 3) as examples from k group by slug""",
+        "entries",
+    ),
+    "settled_budget": """select cast(ts as date) as day, cast(greatest(0, sum(case when event_type = 'error' then 0 else ceil(ceil(value) * 1000 * 8182 / 1000000.0e0) end)) as bigint) as neurons, count(*) as calls
+from events group by 1""",
+    "reader_states": with_views(
+        f""", both_states as (
+  select s.user_id, e.feed_id, s.opened_at, s.dismissed_at from state s join entries e on e.entry_id = s.entry_id union all select user_id, feed_id, opened_at, dismissed_at from history),
+r as (select user_id, feed_id, count(case when opened_at is not null then 1 end) as o, count(case when opened_at is null and dismissed_at is not null then 1 end) as d
+  from both_states where coalesce(opened_at, dismissed_at) >= {SINCE.format(90)} group by all),
+k as (select *, row_number() over (partition by user_id order by o + d desc, feed_id) as rn from r)
+select user_id, string_agg('- feed ' || feed_id || ': opened ' || o || ' of ' || (o + d), chr(10) order by rn) as state from k where rn <= 30 group by user_id""",
+        "state", "entries", "history",
+    ),
+    "triage": with_views("select user_id, case event_type when 'click' then 'later' when 'purchase' then 'star' when 'error' then 'dismiss' else 'read' end as action, count(*) as n from actions group by all", "actions"),
+    "highlights_of": with_views(
+        """select h.user_id, h.entry_id, h.highlight_id, row_number() over (partition by h.user_id, h.entry_id order by h.block, h.created_at, h.highlight_id) as place from highlights h join entries e on e.entry_id = h.entry_id
+where exists (select 1 from subs s where s.user_id = h.user_id and s.feed_id = e.feed_id) and not exists (select 1 from state st where st.user_id = h.user_id and st.entry_id = h.entry_id and st.dismissed_at is not null)""",
+        "highlights", "entries", "subs", "state",
+    ),
+    "place_labels": with_views(
+        """select p.user_id, p.entry_id, cast(round(progress * 100) as int) || '%' as label, cast(case when progress >= 1 then 0 else greatest(1, ceil(words * (1 - progress) / 230)) end as bigint) as minutes
+from places p join entries e on e.entry_id = p.entry_id""",
+        "places", "entries",
+    ),
+    "token_hashes": with_views("select user_id, sha256('qt_' || user_id) as hash from users", "users"),
     "entry_links": with_views(
         """, posts as (select entry_id, 'https://feed.example.com/' || (entry_id % 97) as url, entry_date from entries),
 found as (select l.link_id, p.entry_id, p.entry_date, case when p.entry_id = l.source_entry_id then 0 else 1 end as how

@@ -147,3 +147,21 @@ def test_pages(spark):
     assert found == [(False, "https://example.com/feed"), (True, "https://example.com/comments/feed")]
     a = {r.page_id: (r.text, r.words) for r in pages.articles(df).collect()}
     assert a[1] == ("Head\n\nSome text.", 3) and a[2] == ("", 0)
+
+
+def test_markup(spark):
+    from quire.functions import markup
+
+    cases = {
+        '<p onclick="x()">a<script>bad()</script></p>': "<p>a</p>",
+        '<a href="javascript:x" title="t">a</a>': '<a title="t">a</a>',
+        '<a href="https://example.com/" class="c" data-x=1>a</a>': '<a href="https://example.com/">a</a>',
+        "<font color=red>a</font><!-- c --><b>b</b>": "a<b>b</b>",
+        "<form><input>x</form>ok": "ok",
+    }
+    assert values(spark, list(cases), markup.sanitize) == list(cases.values())
+    assert values(spark, ["<p>a</p><ul><li>b<li>c</ul><p>d<br>e</p>", "", None], markup.block_text) == ["a\n\n• b\n• c\n\nd\ne", "", None]
+    pieces = values(spark, ["One. Two! " + "w " * 30, "", "a b " * 10], lambda c: markup.spoken(c, 20), "string")
+    assert pieces[0][:1] == ["One. Two!"] and all(len(p) <= 20 for p in pieces[0]) and pieces[1] == [] and " ".join(pieces[2]).split() == ["a", "b"] * 10
+    places = spark.createDataFrame([("Hello  big World", "BIG world"), ("abc", "abc"), ("  abc", "abc"), ("abc", "zz"), ("abc", "")], "t string, q string")
+    assert [r.at for r in places.select(markup.locate(F.col("t"), F.col("q")).alias("at")).collect()] == [7, 0, 2, None, None]
