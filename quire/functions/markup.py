@@ -56,7 +56,7 @@ def spoken(text: Column, most: int = MAX_UTTERANCE) -> Column:
         return F.aggregate(units, start, pack, lambda s: F.when(s["now"] != "", F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]))
 
     units = F.flatten(F.transform(sentences, lambda s: F.when(F.length(s) > most, packed(words(s))).otherwise(F.array(s))))
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.filter(F.transform(packed(units), F.trim), lambda p: p != ""))
+    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.filter(F.transform(packed(units), lambda p: F.trim(p)), lambda p: p != ""))
 
 
 def locate(text: Column, quote: Column) -> Column:
