@@ -66,8 +66,8 @@ def locate(text: Column, quote: Column) -> Column:
     """
     squeeze = lambda c: F.lower(F.regexp_replace(c, "\\s+", ""))
     at = F.instr(squeeze(text), squeeze(quote)) - 1
-    pattern = F.concat(F.lit("^((?:\\s*\\S){"), at.cast("string"), F.lit("}\\s*)"))
-    return F.when((at >= 0) & (squeeze(quote) != ""), F.when(at == 0, F.length(F.regexp_extract(text, "^(\\s*)", 1))).otherwise(F.length(F.regexp_extract(text, pattern, 1))))
+    pattern = F.concat(F.lit("^(?:\\s*\\S){"), at.cast("string"), F.lit("}\\s*"))
+    return F.when((at >= 0) & (squeeze(quote) != ""), F.when(at == 0, F.length(text) - F.length(F.ltrim(text))).otherwise(F.length(F.regexp_substr(text, pattern))))
 
 
 def minutes_left(count: Column, progress: Column, per_minute: int = 230) -> Column:
