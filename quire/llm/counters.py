@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quire.llm.store import small_batches
+
 PIECES = 64
 
 
@@ -24,7 +26,8 @@ def counters(df: DataFrame, indices: Callable[[pa.RecordBatch], Iterable[np.ndar
         total = np.zeros(width * PIECES, np.uint32)
         for batch in batches:
             for at in indices(batch):
-                total += np.bincount(at, minlength=len(total)).astype(np.uint32)
+                numbers, times = np.unique(at, return_counts=True)
+                total[numbers] += times.astype(np.uint32)
         if total.any():
             for k in range(PIECES):
                 piece = total[k * width : (k + 1) * width]
@@ -41,7 +44,8 @@ def counters(df: DataFrame, indices: Callable[[pa.RecordBatch], Iterable[np.ndar
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["piece", "counts"])
 
     schema = "piece int, counts binary"
-    found = df.mapInArrow(count, schema).repartition("piece").mapInArrow(add, schema).toArrow()
+    with small_batches(df.sparkSession):
+        found = df.mapInArrow(count, schema).repartition("piece").mapInArrow(add, schema).toArrow()
     out = np.zeros(width * PIECES, np.uint64)
     for k, blob in zip(found["piece"].to_pylist(), found["counts"], strict=True):
         out[k * width : (k + 1) * width] = np.frombuffer(blob.as_buffer(), np.uint64)
