@@ -128,16 +128,21 @@ def inbox_order() -> list[Column]:
 
 
 def inbox_posts(v: Views, limit: int = INBOX_LIMIT, where: Column | None = None, category: str | None = None) -> DataFrame:
-    """Each user's undismissed posts, unread first, newest first, the first ``limit``."""
-    rows = subscribed(v, "words", "title").where(F.col("dismissed_at").isNull())
+    """Each user's undismissed posts, unread first, newest first, the first ``limit``.
+
+    Reading times are joined to the page that is left: words counted below the join with followers would be
+    counted again for each of them.
+    """
+    rows = subscribed(v, "words").where(F.col("dismissed_at").isNull())
     if where is not None:
         rows = rows.where(where)
     if category is not None:
         placed = v.item_categories.where((F.col("primary_slug") == category) | (F.col("secondary_slug") == category))
         rows = rows.join(placed.select("user_id", "entry_id"), ["user_id", "entry_id"], "left_semi")
-    return top_per(rows, ["user_id"], [*inbox_order(), F.desc_nulls_last("link_id")], limit).select(
-        "user_id", "entry_id", "feed_id", "entry_date", F.col("read_at").isNull().alias("unread"), "link_id", minutes(F.col("words")).alias("minutes")
-    )
+    rows = rows.select("user_id", "entry_id", "feed_id", "entry_date", "read_at", "link_id")
+    page = top_per(rows, ["user_id"], [*inbox_order(), F.desc_nulls_last("link_id")], limit)
+    times = v.entries.select("entry_id", minutes(F.col("words")).alias("minutes"))
+    return page.join(times, "entry_id").select("user_id", "entry_id", "feed_id", "entry_date", F.col("read_at").isNull().alias("unread"), "link_id", "minutes")
 
 
 def inbox_short(v: Views) -> DataFrame:
