@@ -560,6 +560,11 @@ from places p join entries e on e.entry_id = p.entry_id""",
         "places", "entries",
     ),
     "token_hashes": with_views("select user_id, sha256('qt_' || user_id) as hash from users", "users"),
+    "link_json": with_views(
+        """, ts as (select link_id, list(tag order by tag) as tags from link_tags group by link_id)
+select link_id, cast(to_json({'id': link_id, 'url': url, 'tags': tags, 'starred': is_reference}) as varchar) as json from links left join ts using (link_id)""",
+        "links", "link_tags",
+    ),
     "entry_links": with_views(
         """, posts as (select entry_id, 'https://feed.example.com/' || (entry_id % 97) as url, entry_date from entries),
 found as (select l.link_id, p.entry_id, p.entry_date, case when p.entry_id = l.source_entry_id then 0 else 1 end as how
@@ -632,6 +637,7 @@ select user_id, link_id, url, title, tags, status, is_reference, note, strftime(
 }
 
 
+ORACLES["dispatch_counts"] = f"select status, coalesce(source, 'none') as source, count(*) as n from ({ORACLES['capture_archives']}) group by all"
 ORACLES["stream_fold_entry_state"] = ORACLES["fold_entry_state"]
 
 
