@@ -4,8 +4,9 @@ Linear support vector machines over hashed letter pairs and triples: one machine
 the rest) names the language family, then one-versus-one machines separate the languages inside it by
 votes.  Texts are read whole: a document's features are the shares of all its letter pairs and triples.
 
-The machines are fitted on a bounded sample (about PER_LANGUAGE labelled rows a language, chosen by a hash)
-by dual coordinate descent on the driver; its features are counted on the executors.  All texts are
+The machines are fitted on a bounded sample (about PER_LANGUAGE different labelled texts a language, chosen by a
+hash of the text; copies count once) by dual coordinate descent on the driver, in an order that does not depend on
+how the table is split; its features are counted on the executors.  All texts are
 then scored in one scan without a shuffle.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; texts of fewer than two
@@ -118,14 +119,20 @@ def machine(x: np.ndarray, y: np.ndarray, seed: int = 0) -> tuple[np.ndarray, fl
 
 
 def train(docs: DataFrame, label: str = "lang", text_col: str = "text", per_language: int = PER_LANGUAGE) -> Machines | None:
-    """Fit the machines on about ``per_language`` rows of each language."""
+    """Fit the machines on about ``per_language`` different texts of each language."""
     rows = docs.where(F.col(label).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label).cast("string").alias("__label"), text_col)
-    counts = {r["__label"]: r["count"] for r in rows.groupBy("__label").count().collect()}  # one row a language
+    texts = F.approx_count_distinct(F.xxhash64(text_col)).alias("count")
+    counts = {r["__label"]: r["count"] for r in rows.groupBy("__label").agg(texts).collect()}  # one row a language
     if not counts:
         return None
     share = F.create_map(*[v for k, n in counts.items() for v in (F.lit(k), F.lit(min(1.0, per_language / n)))])[F.col("__label")]
-    drawn = F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) / float(1 << 20)
-    sample = features(rows.where(drawn < share), "__label", text_col).toArrow()
+    drawn = F.pmod(F.xxhash64(text_col), F.lit(1 << 48)) / float(1 << 48)
+    # copies count once, or a text that makes up much of the table would come to the driver as often
+    sample = features(rows.where(drawn < share).distinct(), "__label", text_col).toArrow()
+    if not len(sample):
+        return None
+    label_of, at_of, share_of = (sample[c].to_pylist() for c in ("label", "at", "share"))
+    sample = sample.take(pa.array(sorted(range(len(sample)), key=lambda r: (label_of[r], at_of[r], share_of[r])), pa.int64()))
     names = np.array(sample["label"].to_pylist())
     x = np.zeros((len(names), DIMENSIONS), np.float32)
     for r, (at, shares) in enumerate(zip(sample["at"], sample["share"], strict=True)):

@@ -443,6 +443,15 @@ def test_language(spark, docs, no_docs):
     assert {r.lang_pred for r in language.held_out_predictions(blank).collect()} == {"und"}
 
 
+def test_copies_do_not_enlarge_the_sample(spark):
+    df = table(spark, "documents").where("lang is not null")
+    one = df.orderBy("doc_id").limit(1)
+    copied = df.unionByName(one.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(400)))).drop("k")).repartition(7)
+    few, many = (language.train(x, per_language=20) for x in (df, copied))
+    assert few.families == many.families and few.pairs == many.pairs
+    assert np.array_equal(few.weights, many.weights) and np.array_equal(few.bias, many.bias)
+
+
 # ---- op10
 
 
