@@ -131,8 +131,8 @@ def train(docs: DataFrame, label: str = "lang", text_col: str = "text", per_lang
     sample = features(rows.where(drawn < share).distinct(), "__label", text_col).toArrow()
     if not len(sample):
         return None
-    label_of, at_of, share_of = (sample[c].to_pylist() for c in ("label", "at", "share"))
-    sample = sample.take(pa.array(sorted(range(len(sample)), key=lambda r: (label_of[r], at_of[r], share_of[r])), pa.int64()))
+    keys = [(x.as_py(), *(y.values.to_numpy().tobytes() for y in z)) for x, *z in zip(*(sample[c] for c in ("label", "at", "share")), strict=True)]
+    sample = sample.take(pa.array(sorted(range(len(keys)), key=keys.__getitem__), pa.int64()))
     names = np.array(sample["label"].to_pylist())
     x = np.zeros((len(names), DIMENSIONS), np.float32)
     for r, (at, shares) in enumerate(zip(sample["at"], sample["share"], strict=True)):
