@@ -251,6 +251,58 @@ def test_line_dedup(spark, docs, no_docs):
     assert lines.dedup(no_docs).count() == 0
 
 
+def near_lines(texts, percent):
+    """Dropped (doc, line) by edit similarity alone; every line is words with spaces between."""
+    found = {(i, k): x.split() for i, t in texts.items() for k, x in enumerate(t.split("\n"))}
+    root = {k: k for k in found}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in combinations(sorted(found), 2):
+        most = max(len(found[a]), len(found[b]))
+        if 100 * (most - lines.distance(found[a], found[b])) >= percent * most:
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    return {k for k in found if top(k) != k}
+
+
+@pytest.mark.parametrize(("percent", "hot"), [(80, 64), (80, 2), (65, 64)])
+def test_every_near_line_is_found(spark, monkeypatch, percent, hot):
+    from quire.llm import graph
+
+    monkeypatch.setattr(graph, "HOT", hot)
+    monkeypatch.setattr(graph, "BLOCK", 300)
+    rng = np.random.default_rng(11)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    made = []
+    for k in range(130):
+        size = int(rng.choice([3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 20, 31, 60, 700]) if k % 40 else 700)
+        vocabulary = ["".join(rng.choice(letters, 4)) for _ in range(400)] if k % 2 else ["in", "of", "to", "the", "and", "a", "on", "it"]
+        line = list(rng.choice(vocabulary, size))
+        made.append(" ".join(line))
+        for _ in range(int(rng.integers(0, 3))):
+            other = list(line)
+            for _ in range(int(rng.integers(1, max(2, size // 4 + 1)))):
+                at = int(rng.integers(0, len(other)))
+                kind = rng.integers(0, 3)
+                if kind == 0 and len(other) > 1:
+                    del other[at]
+                elif kind == 1:
+                    other.insert(at, "".join(rng.choice(letters, 5)))
+                else:
+                    other[at] = "".join(rng.choice(letters, 5))
+            made.append(" ".join(other))
+    made = [made[k] for k in rng.permutation(len(made))]
+    texts = {i: "\n".join(made[i::40]) for i in range(40)}
+    expected = near_lines(texts, percent)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert {(r.doc, k) for r in lines.drops(df, percent).collect() for k in r.gone} == expected
+    assert len(expected) > 50
+
+
 # ---- op6
 
 
