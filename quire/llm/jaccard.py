@@ -124,7 +124,7 @@ def adapt(postings: DataFrame, percent: int, tables: Tables) -> DataFrame:
     """
     last = F.least(F.greatest(F.lit(MORE), F.floor(F.col("shortest") / 4)).cast("int"), F.col("size") - F.col("shortest")) + 1
     least = F.ceil(F.col("size") * percent / 100).cast("int")
-    options = [F.least(x, last, least).cast("int") for x in (F.lit(1), F.lit(2), F.lit(3), F.floor(last / 2), last)]
+    options = [F.least(x, last, least).cast("int") for x in (F.lit(1), F.lit(2), F.lit(3), F.greatest(F.lit(1), F.floor(last / 2)), last)]
     touched = [F.sum(F.when(F.col("pos") < F.col("shortest") + l - 1, F.col("n") - 1).otherwise(0)) for l in options]
     sums = postings.groupBy("id").agg(*[t.alias(f"t{k}") for k, t in enumerate(touched)], *[F.min(l).alias(f"l{k}") for k, l in enumerate(options)])
     costs = F.array(*[F.struct((F.col(f"t{k}") * (1 + VERIFY_COST / F.col(f"l{k}"))).alias("cost"), F.col(f"l{k}").alias("need")) for k in range(len(options))])

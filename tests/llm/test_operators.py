@@ -477,6 +477,12 @@ def test_jaccard_tables(spark, no_docs, docs):
     assert {r.doc_id for r in left.collect()} == firsts | {None}
 
 
+def test_jaccard_of_one_shared_shingle(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, "a b c d"), (3, "a b c")], "doc_id long, text string")
+    assert collected(jaccard.groups(df)) == [(1, 1, 1), (2, 2, 2), (3, 1, 1)]
+    assert {r.component_id for r in jaccard.groups(df, percent=50).collect()} == {1}
+
+
 # ---- op9
 
 
