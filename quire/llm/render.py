@@ -27,7 +27,10 @@ DEPTH = 120
 # Element names by how they behave, from the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("script style title head template noscript iframe noembed noframes object audio video canvas datalist svg math textarea select".split())
+UNSEEN = frozenset("script style title head template noscript iframe noembed noframes object audio video canvas datalist annotation annotation-xml".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head".split())
+FOREIGN = frozenset("svg math".split())
+SVG_UNSEEN = frozenset("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
     "hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split()
@@ -45,15 +48,17 @@ IMPLIED = {
     "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, {"html"}),
+    "option": ({"option"}, {"select", "optgroup", "datalist"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
 }
 SCOPE = frozenset("table td th caption html template".split())
 
 TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>`]+)))?""")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 SIMPLE = re.compile(r"([a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)\Z")
-NONE = re.compile(r"display\s*:\s*none")
-VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)")
+DECLARED = re.compile(r"(?<![\w-])(display|visibility)\s*:\s*([\w-]+)[^;!]*(!\s*important)?")
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\Z|(?:^|\s)[^\s=\"']*/\Z")
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -97,6 +102,8 @@ def build(source: str) -> Node:
             m = TAG.match(source, begin) if begin >= 0 else None
         text = source[at:begin] if begin >= 0 else source[at:]
         if text:
+            if stack[-1].tag == "head" and text.strip(" \t\n\r\f"):
+                stack.pop()
             stack[-1].children.append(unescape(text) if "&" in text else text)
         if begin < 0:
             return root
@@ -120,6 +127,8 @@ def build(source: str) -> Node:
             for k, v in attributes(m[3]).items():
                 root.attrs.setdefault(k, v)
             continue
+        if stack[-1].tag == "head" and tag not in IN_HEAD:
+            stack.pop()
         if tag in IMPLIED:
             close(*IMPLIED[tag])
         if tag in CLOSES_P:
@@ -130,10 +139,13 @@ def build(source: str) -> Node:
         else:  # too deep: beside its parent, in order
             stack.pop()
             stack[-1].children.append(node)
+        if (tag in FOREIGN or any(n.tag in FOREIGN for n in stack)) and SELF_CLOSED.search(m[3]):
+            continue
         if tag in RAW:
             lowered = source.lower() if lowered is None else lowered
             end = lowered.find(f"</{tag}", at)
-            node.children.append(source[at : end if end >= 0 else len(source)])
+            inner = source[at : end if end >= 0 else len(source)]
+            node.children.append(unescape(inner).removeprefix("\n") if tag == "textarea" else inner)
             if end < 0:
                 return root
             at = (source.find(">", end) + 1) or len(source)
@@ -141,23 +153,52 @@ def build(source: str) -> Node:
             stack.append(node)
 
 
+def on_screen(prelude: str) -> bool:
+    """Whether the rules inside a block with this prelude hold when a page is shown."""
+    name, _, rest = prelude.partition(" ")
+    if name.startswith("@media"):
+        queries = [q.split() for q in prelude[len("@media") :].split(",")]
+        media = [next((x for x in q if x != "only"), "") for q in queries]
+        return any(x not in ("print", "speech") and not (x == "not" and q[1:2] in (["screen"], ["all"])) for x, q in zip(media, queries, strict=True))
+    return name.startswith(("@supports", "@layer", "@container", "@scope"))
+
+
+def rules(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules that hold when a page is shown, in order."""
+    css, at, held = COMMENT.sub(" ", css), 0, [True]
+    for m in re.finditer(r"[{}]", css):
+        before = css[at : m.start()]
+        if m[0] == "{":
+            at = m.end()
+            prelude = before.rpartition(";")[2].strip()
+            if prelude.startswith("@"):
+                held.append(held[-1] and on_screen(prelude.lower()))
+                continue
+            stop = css.find("}", at)
+            if held[-1]:
+                yield prelude, css[at : stop if stop >= 0 else len(css)].lower()
+            held.append(False)
+        else:
+            at = m.end()
+            if len(held) > 1:
+                held.pop()
+
+
 def style_rules(node: Node) -> list[tuple[str, set[str], str, str]]:
-    """(element, classes, id, declarations) of the simple rules in style elements that bear on visibility."""
+    """(element, classes, id, declarations) of the simple rules in style elements that bear on visibility, the strongest last."""
     out, todo = [], [node]
     while todo:
         n = todo.pop()
-        for child in n.children:
-            if isinstance(child, Node):
-                if child.tag != "style":
-                    todo.append(child)
-                    continue
-                for selectors, body in RULE.findall(child.children[0] if child.children else ""):
-                    if NONE.search(body) or VISIBILITY.search(body):
-                        for s in selectors.split(","):
-                            if (m := SIMPLE.match(s.strip())) and s.strip():
-                                marks = re.findall(r"([.#])([\w-]+)", m[2])
-                                out.append(((m[1] or "").lower(), {x for k, x in marks if k == "."}, next((x for k, x in marks if k == "#"), ""), body))
-    return out
+        if n.tag == "style":
+            for selectors, body in rules(n.children[0] if n.children and isinstance(n.children[0], str) else ""):
+                if DECLARED.search(body):
+                    for s in selectors.split(","):
+                        if (m := SIMPLE.match(s.strip())) and s.strip():
+                            marks = re.findall(r"([.#])([\w-]+)", m[2])
+                            out.append(((m[1] or "").lower(), {x for k, x in marks if k == "."}, next((x for k, x in marks if k == "#"), ""), body))
+            continue
+        todo += [c for c in reversed(n.children) if isinstance(c, Node)]
+    return sorted(out, key=lambda r: (bool(r[2]), len(r[1]), bool(r[0])))
 
 
 class Lines:
@@ -231,12 +272,26 @@ class Renderer:
         styles = [body for tag, classes, ident, body in self.rules if tag in ("", node.tag) and (not ident or ident == attrs.get("id")) and (not classes or classes <= set(attrs.get("class", "").split()))]
         if "style" in attrs:
             styles.append(attrs["style"].lower())
+        found: dict[str, tuple[bool, str]] = {}
         for body in styles:
-            if NONE.search(body):
-                return None
-            if m := VISIBILITY.search(body):
-                visible = m[1] == "visible"
-        return visible
+            for name, value, important in DECLARED.findall(body):
+                if important or not found.get(name, (False, ""))[0]:
+                    found[name] = bool(important), value
+        if found.get("display", (False, ""))[1] == "none":
+            return None
+        value = found.get("visibility", (False, ""))[1]
+        return value == "visible" if value in ("hidden", "collapse", "visible") else visible
+
+    def drawing(self, node: Node, out: Lines, visible: bool) -> None:
+        """Of an svg element only its text elements and foreign objects show words."""
+        for child in node.children:
+            if isinstance(child, Node) and child.tag not in SVG_UNSEEN and (seen := self.shown(child, visible)) is not None:
+                if child.tag in ("text", "foreignobject"):
+                    out.space = True
+                    self.inside(child, out, seen, False)
+                    out.space = True
+                else:
+                    self.drawing(child, out, seen)
 
     def inside(self, node: Node, out: Lines, visible: bool, exact: bool) -> None:
         closed = node.tag == "details" and "open" not in node.attrs
@@ -263,6 +318,10 @@ class Renderer:
             out.apart()
             out.block(self.table(node, seen))
             out.apart()
+        elif tag == "svg":
+            self.drawing(node, out, seen)
+        elif tag == "textarea":
+            self.inside(node, out, seen, True)
         elif tag in ("ul", "ol", "menu", "dir"):
             self.items(node, out, seen, exact)
         elif tag == "blockquote":

@@ -179,6 +179,27 @@ def test_rendering(html, text):
     assert render.render(html).strip("\n") == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<head><title>T</title><p>text", "text"),
+        ("<html><head><meta charset=utf-8>words<div>more", "words\nmore"),
+        ("<p>a <svg width='5'/> b <math/> c</p><p>d", "a b c\n\nd"),
+        ("<svg><title>no</title><path d='x'/><g><text x='1'>in</text></g><defs><text>no</text></defs></svg> out", "in out"),
+        ("<math><mi>x</mi><mo>=</mo><mn>1</mn></math>", "x=1"),
+        ("<textarea>\na &amp; <b></textarea>", "a & <b>"),
+        ("<select><option>one<option selected>two</select>", "one\ntwo"),
+        ("<style>@media print{p{display:none}}</style><p>kept", "kept"),
+        ("<style>@media screen{p{display:none}} b{color:red}</style><p>gone</p>kept", "kept"),
+        ("<style>p{display:none} p{display:block}</style><p>kept", "kept"),
+        ("<style>p{display:block} .x{display:none}</style><p class=x>gone</p>kept", "kept"),
+        ("<style>p{display:none}</style><p style='display:block'>kept", "kept"),
+    ],
+)
+def test_rendering_keeps_visible_text(html, text):
+    assert render.render(html).strip("\n") == text
+
+
 def test_rendering_tables(spark):
     pages = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "<p>x", 5), (3, "<p>x", 5)], "page_id long, html string, n_lines int")
     assert collected(render.extract(pages)) == [(1, None, None, None), (2, "", 0, 0), (3, "x", 1, 1), (3, "x", 1, 1)]
