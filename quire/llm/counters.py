@@ -6,47 +6,53 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quire.llm.store import small_batches
 
-PIECES = 64
+PIECES, SHARES = 64, 64
+NAMES = ["piece", "share", "counts"]
 
 
 def counters(df: DataFrame, indices: Callable[[pa.RecordBatch], Iterable[np.ndarray]], size: int) -> np.ndarray:
     """How often ``indices`` names each number below ``size``, over all rows.
 
-    Each task counts in a table of its own and sends it in PIECES pieces; equal pieces meet in one task, which
-    adds them as they stream in.  What is shuffled follows the number of tasks, so the input; the driver
-    gets one table of ``size`` numbers.
+    Each task counts in a table of its own and sends it in PIECES pieces.  Equal pieces are added as they stream in, on two
+    levels: first those of a share of the tasks, then the sums.  What is shuffled follows the number of tasks, so the input; the
+    driver gets one table of ``size`` numbers.
     """
     width = -(-size // PIECES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width * PIECES, np.uint32)
+        total = np.zeros(width * PIECES, np.uint64)
+        share = TaskContext.get().partitionId() % SHARES
         for batch in batches:
             for at in indices(batch):
                 numbers, times = np.unique(at, return_counts=True)
-                total[numbers] += times.astype(np.uint32)
+                total[numbers] += times.astype(np.uint64)
         if total.any():
             for k in range(PIECES):
                 piece = total[k * width : (k + 1) * width]
-                kind = np.uint16 if piece.max() < 1 << 16 else np.uint32
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([piece.astype(kind).tobytes()], pa.binary())], ["piece", "counts"])
+                kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if piece.max() <= np.iinfo(t).max)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([share], pa.int32()), pa.array([piece.astype(kind).tobytes()], pa.binary())], NAMES)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = np.frombuffer(blob.as_buffer(), np.uint16 if len(blob.as_buffer()) == 2 * width else np.uint32)
-                sums[k] = sums[k] + part if k in sums else part.astype(np.uint64)
-        for k, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["piece", "counts"])
-
-    schema = "piece int, counts binary"
+            for piece, share, blob in zip(*(batch.column(c).to_pylist() for c in (0, 1)), batch.column(2), strict=True):
+                part = np.frombuffer(blob.as_buffer(), f"u{len(blob.as_buffer()) // width}")
+                at = piece, share
+                sums[at] = sums[at] + part if at in sums else part.astype(np.uint64)
+        for (piece, share), x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([share], pa.int32()), pa.array([x.tobytes()], pa.binary())], NAMES)
+
+    schema = "piece int, share int, counts binary"
     with small_batches(df.sparkSession):
-        found = df.mapInArrow(count, schema).repartition("piece").mapInArrow(add, schema).toArrow()
+        parts = df.mapInArrow(count, schema).repartition("piece", "share").mapInArrow(add, schema).withColumn("share", F.lit(0))
+        found = parts.repartition("piece").mapInArrow(add, schema).toArrow()
     out = np.zeros(width * PIECES, np.uint64)
-    for k, blob in zip(found["piece"].to_pylist(), found["counts"], strict=True):
-        out[k * width : (k + 1) * width] = np.frombuffer(blob.as_buffer(), np.uint64)
+    for piece, blob in zip(found["piece"].to_pylist(), found["counts"], strict=True):
+        out[piece * width : (piece + 1) * width] = np.frombuffer(blob.as_buffer(), np.uint64)
     return out[:size]

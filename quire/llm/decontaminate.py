@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.store import Tables, bitmap, present
+from quire.llm.store import Tables, bitmap, present, unused
 from quire.llm.text import STEP, mix, parts, tokens
 
 WINDOW, ALLOWED, MIN_TOKENS = 13, 3, 8
@@ -121,10 +121,13 @@ def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """One row a (document, item) that overlap: ``matched`` tokens of the best window, and ``n_hits``."""
     # written, so that Spark knows its true size when it chooses the join
-    item_seeds = Tables(docs.sparkSession, "seeds").keep(seed_table(items, item_col, text_col, items=True), "items")
-    words = bitmap(item_seeds.select("h"))
-    doc_seeds = seed_table(docs, id_col, text_col, items=False, filter_by=words)
-    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for df, c in ((docs, id_col), (items, item_col))]
+    tables = Tables(docs.sparkSession, "seeds")
+    item_seeds = seed_table(items.select(F.col(item_col).alias("item"), text_col), "item", text_col, items=True)
+    item_seeds = tables.keep(item_seeds.withColumn("c", F.xxhash64("h", "item_ctx", "need")), "items")
+    # what several items hold is compared once
+    distinct = tables.keep(item_seeds.groupBy("c").agg(*[F.any_value(c).alias(c) for c in ("h", "item_ctx", "need")]), "contexts")
+    words = bitmap(distinct.select("h"))
+    doc_seeds = seed_table(docs.select(F.col(id_col).alias("doc"), text_col), "doc", text_col, items=False, filter_by=words)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,14 +136,18 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, AROUND) for c in ("ctx", "item_ctx"))
             matched = overlap(a, b)
             some = pa.array(matched >= batch.column("need").to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column(item_col), pa.array(matched.astype(np.int32))], [id_col, item_col, "matched"]).filter(some)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("c"), pa.array(matched.astype(np.int32))], ["doc", "c", "matched"]).filter(some)
 
-    hits = doc_seeds.join(item_seeds, "h").select(id_col, item_col, "ctx", "item_ctx", "need")
-    found = hits.mapInArrow(check, f"{kinds[0]}, {kinds[1]}, matched int")
-    return found.groupBy(id_col, item_col).agg(F.max("matched").alias("matched"), F.count("*").alias("n_hits"))
+    hits = doc_seeds.join(distinct, "h").select("doc", "c", "ctx", "item_ctx", "need")
+    found = hits.mapInArrow(check, f"doc {docs.schema[id_col].dataType.simpleString()}, c long, matched int")
+    found = found.groupBy("doc", "c").agg(F.max("matched").alias("matched"), F.count("*").alias("n"))
+    named = found.join(item_seeds.groupBy("item", "c").agg(F.count("*").alias("times")), "c")
+    return named.groupBy(F.col("doc").alias(id_col), F.col("item").alias(item_col)).agg(F.max("matched").alias("matched"), F.sum(F.col("n") * F.col("times")).alias("n_hits"))
 
 
-def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that overlap no item, with all their columns; one without an id is never removed."""
-    hit = overlaps(docs, items, id_col, text_col=text_col).select(id_col).distinct()
-    return docs.join(hit, id_col, "left_anti").select(*docs.columns)
+def remove(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents that overlap no item, with all their columns.  The text alone decides, whatever the id."""
+    key = unused("h", docs)
+    keyed = docs.withColumn(key, F.xxhash64(text_col))
+    hit = overlaps(keyed, items, key, text_col=text_col).select(key).distinct()
+    return keyed.join(hit, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -15,10 +15,13 @@ Scans: one for the sketch, one for sets and prefixes, one per verification for t
 (behind a fixed-size bitmap).  Shuffled: packed sketches, prefixes (about a tenth of the shingles for
 t = 0.9), candidate sets.  Shingles are compared by 64-bit hashes.
 
+Rows are addressed by a hash of their set, never by their id, so an id with several texts is several documents.
+
 Defined results: a text with fewer words than a shingle is one shingle of all its words; null or
 wordless texts have an empty set and link with nothing; a null id keeps its row, with a null component and
-no links; rows that repeat an id with the same text are one document, each with its row; empty tables
-give no rows; extra columns are ignored.
+no links; every row of the input is one row of the result, also where rows repeat an id, with the same text or
+with others (each has the component of its own text); of equal ids as the smallest one, either stands for the group;
+ids are integers, others raise a TypeError; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,15 +32,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import IntegralType
 
 from quire.llm.counters import counters
 from quire.llm.graph import connect, shared_postings
-from quire.llm.store import Tables, bitmap, present
+from quire.llm.store import Tables, bitmap, present, unused
 from quire.llm.text import LOWER, SPACE, mix, ngrams, parts, span_hashes, spans
 
 MORE = 3  # an l of up to MORE + 1, or a quarter of the shortest prefix, may be chosen
-SKETCH_BITS = 22
+SKETCH_BITS = 20
 VERIFY_COST = 40.0  # of one candidate, in postings
 
 
@@ -85,33 +88,42 @@ def frequency_classes(docs: DataFrame, text_col: str, size: int, bits: int = SKE
     return np.minimum(63, np.ceil(over, out=over), out=over).astype(np.uint8)
 
 
+def set_ids(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A hash of each set of shingles, by two sums of their hashes and their number."""
+    out = np.diff(offsets).astype(np.uint64)
+    for salted in (hashes ^ np.uint64(0x5BD1), hashes + np.uint64(0x9E37)):
+        sums = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(mix(salted), out=sums[1:])
+        out = mix(out ^ (sums[offsets[1:]] - sums[offsets[:-1]]))
+    return out
+
+
 def prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """(id, n_shingles, two set hashes, shortest, prefix): the longest prefix that may be used, and the least needed."""
+    """(doc, row, n_shingles, set, shortest, prefix): the longest prefix that may be used, and the least needed.
+
+    ``row`` is a hash of id and text, ``set`` one of the shingles.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(classes)
     bits = int(np.log2(len(classes)))
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, hashes, offsets in shingle_sets(batch.column(1), size):
+            for first, last, hashes, offsets in shingle_sets(batch.column(2), size):
                 rows = last - first
                 counts = np.diff(offsets)
                 owners = np.repeat(np.arange(rows), counts)
                 rank = shared.value[(hashes >> np.uint64(64 - bits)).astype(np.int64)]
                 ordered = hashes[np.lexsort((hashes, rank, owners))]
-                sums = [np.zeros(len(hashes) + 1, np.uint64) for _ in range(2)]
-                np.cumsum(mix(hashes ^ np.uint64(0x5BD1)), out=sums[0][1:])
-                np.cumsum(mix(hashes + np.uint64(0x9E37)), out=sums[1][1:])
-                one, two = ((s[offsets[1:]] - s[offsets[:-1]]).view(np.int64) for s in sums)
                 shortest = np.where(counts > 0, counts - -(-percent * counts // 100) + 1, 0)
                 longest = np.minimum(counts, shortest + np.maximum(MORE, shortest // 4))
                 place = np.arange(len(hashes)) - np.repeat(offsets[:-1], counts)
                 values = pa.array(ordered[place < np.repeat(longest, counts)].view(np.int64))
                 lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(longest)).astype(np.int32), values)
-                columns = [batch.column(0).slice(first, rows), pa.array(counts.astype(np.int64)), pa.array(one), pa.array(two), pa.array(shortest.astype(np.int32)), lists]
-                yield pa.RecordBatch.from_arrays(columns, [id_col, "n_shingles", "one", "two", "shortest", "prefix"])
+                made = [pa.array(counts.astype(np.int64)), pa.array(set_ids(hashes, offsets).view(np.int64)), pa.array(shortest.astype(np.int32)), lists]
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(first, rows) for c in (0, 1)] + made, ["doc", "row", "n_shingles", "set", "shortest", "prefix"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_shingles long, one long, two long, shortest int, prefix array<long>")
+    narrow = docs.select(F.col(id_col).cast("long"), F.xxhash64(id_col, text_col), text_col)
+    return narrow.mapInArrow(run, "doc long, row long, n_shingles long, set long, shortest int, prefix array<long>")
 
 
 def adapt(postings: DataFrame, percent: int, tables: Tables) -> DataFrame:
@@ -133,21 +145,25 @@ def adapt(postings: DataFrame, percent: int, tables: Tables) -> DataFrame:
     return tables.keep(kept.select("token", "id", "need", "size", "n", "center"), "adapted")
 
 
-def fetcher(docs: DataFrame, id_col: str, text_col: str, size: int):
-    """A function that gives (id, record), the sorted shingle hashes, of the documents with given ids."""
-    narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_col, F.xxhash64(F.col(id_col).cast("long")).alias("h"))
+def fetcher(docs: DataFrame, id_col: str, text_col: str, size: int, sets: DataFrame):
+    """A function that gives (id, record), the sorted shingle hashes, of the sets with given ids.
+
+    ``sets`` (id, row) names one row of each set; a row that is not named is not even split into words.
+    """
+    narrow = docs.select(F.xxhash64(id_col, text_col).alias("row"), text_col)
 
     def fetch(ids: DataFrame) -> DataFrame:
-        words = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("id").alias("h"))))
+        named = sets.join(ids, "id")
+        words = docs.sparkSession.sparkContext.broadcast(bitmap(named.select("row")))
 
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                batch = batch.filter(pa.array(present(words.value, batch.column(2).to_numpy().view(np.uint64))))
-                for first, last, hashes, offsets in shingle_sets(batch.column(1), size):
+                batch = batch.filter(pa.array(present(words.value, batch.column(0).to_numpy().view(np.uint64))))
+                for _, _, hashes, offsets in shingle_sets(batch.column(1), size):
                     blobs = [hashes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(blobs, pa.binary())], ["id", "record"])
+                    yield pa.RecordBatch.from_arrays([pa.array(set_ids(hashes, offsets).view(np.int64)), pa.array(blobs, pa.binary())], ["id", "record"])
 
-        return narrow.mapInArrow(sets, "id long, record binary").join(ids, "id").dropDuplicates(["id"])
+        return narrow.mapInArrow(records, "id long, record binary").join(ids, "id").dropDuplicates(["id"])
 
     return fetch
 
@@ -170,34 +186,49 @@ def jaccard_at_least(percent: int):
     return similar
 
 
-def groups(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row: the smallest id that links reach, itself included."""
-    if not isinstance(docs.schema[id_col].dataType, LongType):
-        docs = docs.withColumn(id_col, F.col(id_col).cast("long"))
-    spark = docs.sparkSession
-    tables = Tables(spark, "jaccard")
+def linked(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, *, nameless: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc, row, n_shingles, set), and (set, root, least) of every set: its group, and its smallest id.
+
+    Rows without an id have a set only if ``nameless``.
+    """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be an integer")
+    tables = Tables(docs.sparkSession, "jaccard")
     classes = frequency_classes(docs, text_col, size)
     made = tables.keep(prefixes(docs, id_col, text_col, size, percent, classes), "prefixes")
-    rows = made.where(f"`{id_col}` is not null and n_shingles > 0")
-    # equal sets: one representative, the smallest id
-    same = rows.groupBy("one", "two", "n_shingles").agg(F.min_by(F.struct(F.col(id_col).alias("id"), "shortest", "prefix"), id_col).alias("rep"))
-    same = tables.keep(same.select("one", "two", "n_shingles", "rep.*"), "sets")
-    postings = same.select("id", F.col("n_shingles").cast("int").alias("size"), "shortest", F.posexplode("prefix").alias("pos", "token"))
+    some = made.where("n_shingles > 0" if nameless else "n_shingles > 0 and doc is not null")
+    # equal sets: one representative
+    same = some.groupBy(F.col("set").alias("id")).agg(F.min("doc").alias("least"), F.min("row").alias("row"), F.any_value("n_shingles").alias("n"), F.any_value("shortest").alias("shortest"), F.any_value("prefix").alias("prefix"))
+    same = tables.keep(same, "sets")
+    postings = same.select("id", F.col("n").cast("int").alias("size"), "shortest", F.posexplode("prefix").alias("pos", "token"))
     postings = adapt(shared_postings(postings, tables, "join"), percent, tables)
-    found = connect(postings, percent, fetcher(docs, id_col, text_col, size), jaccard_at_least(percent), tables, "join")
-    found = tables.keep(found, "roots")
-    by_root = same.select("id").join(found, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-    least = tables.keep(by_root.groupBy("root").agg(F.min("id").alias("component_id")), "least")
-    named = by_root.join(least, "root").select("id", "component_id")
-    by_set = tables.keep(same.select("one", "two", "n_shingles", "id").join(named, "id").drop("id"), "by-set")
-    tables.drop("sets")
-    out = made.select(id_col, "n_shingles", "one", "two").join(by_set, ["one", "two", "n_shingles"], "left")
+    roots = connect(postings, percent, fetcher(docs, id_col, text_col, size, same.select("id", "row")), jaccard_at_least(percent), tables, "join")
+    sets = same.select("id", "least").join(tables.keep(roots, "roots"), "id", "left")
+    return made.select("doc", "row", "n_shingles", "set"), tables.keep(sets.select(F.col("id").alias("set"), F.coalesce("root", "id").alias("root"), "least"), "named")
+
+
+def groups(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) of every row: the smallest id that links reach, itself included."""
+    rows, sets = linked(docs, size, percent, id_col, text_col, nameless=False)
+    least = sets.groupBy("root").agg(F.min("least").alias("component_id"))
+    out = rows.where("doc is not null").join(sets.join(least, "root").select("set", "component_id"), "set", "left")
     # without shingles a document stands alone; without an id it has no component
-    component = F.when(F.col(id_col).isNotNull(), F.coalesce("component_id", F.col(id_col)))
-    return out.select(id_col, "n_shingles", component.alias("component_id"))
+    out = out.select("doc", "n_shingles", F.coalesce("component_id", "doc").alias("component_id"))
+    out = out.union(rows.where("doc is null").select("doc", "n_shingles", F.lit(None).cast("long")))
+    return out.select(F.col("doc").cast(docs.schema[id_col].dataType).alias(id_col), "n_shingles", "component_id")
 
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, the one with the smallest id, with all its columns."""
-    gone = groups(docs, size, percent, id_col, text_col).where(f"component_id <> `{id_col}`").select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """One document of each group, the one with the smallest id, with all its columns.
+
+    A row without an id comes after all ids; of rows with an equal id the smaller hash of the text comes first; rows with equal id and
+    text are one document and one of them stays.  Texts without words stand alone.
+    """
+    rows, sets = linked(docs, size, percent, id_col, text_col, nameless=True)
+    member = rows.where("n_shingles > 0").join(sets.select("set", "root"), "set").select("root", "row", F.struct(F.col("doc").isNull().alias("last"), "doc", "row").alias("place"))
+    stays = member.groupBy("root").agg(F.min("place")["row"].alias("stays"))
+    gone = member.join(stays, "root").where("row <> stays").select("row").distinct()
+    row = unused("row", docs)
+    # merged at every size: the rows are then dealt by their hash already when the repeated ones go
+    left = docs.withColumn(row, F.xxhash64(id_col, text_col)).join(gone.withColumnRenamed("row", row).hint("merge"), row, "left_anti")
+    return left.dropDuplicates([row]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -48,6 +48,14 @@ class Tables:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, lengthened until no frame has a column of that name in upper or lower case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bitmap(keys: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
     """A bitmap of the hashes in the single column of ``keys``: 2**bits bits whatever the row count.
 
