@@ -16,6 +16,12 @@ PIECES, SHARES = 64, 64
 NAMES = ["piece", "share", "counts"]
 
 
+def row(piece: int, share: int, counts: np.ndarray) -> pa.RecordBatch:
+    """One piece, in the smallest whole numbers that hold its counts."""
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if counts.max() <= np.iinfo(t).max)
+    return pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([share], pa.int32()), pa.array([counts.astype(kind).tobytes()], pa.binary())], NAMES)
+
+
 def counters(df: DataFrame, indices: Callable[[pa.RecordBatch], Iterable[np.ndarray]], size: int) -> np.ndarray:
     """How often ``indices`` names each number below ``size``, over all rows.
 
@@ -35,8 +41,7 @@ def counters(df: DataFrame, indices: Callable[[pa.RecordBatch], Iterable[np.ndar
         if total.any():
             for k in range(PIECES):
                 piece = total[k * width : (k + 1) * width]
-                kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if piece.max() <= np.iinfo(t).max)
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([share], pa.int32()), pa.array([piece.astype(kind).tobytes()], pa.binary())], NAMES)
+                yield row(k, share, piece)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
@@ -46,13 +51,14 @@ def counters(df: DataFrame, indices: Callable[[pa.RecordBatch], Iterable[np.ndar
                 at = piece, share
                 sums[at] = sums[at] + part if at in sums else part.astype(np.uint64)
         for (piece, share), x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([share], pa.int32()), pa.array([x.tobytes()], pa.binary())], NAMES)
+            yield row(piece, share, x)
 
     schema = "piece int, share int, counts binary"
     with small_batches(df.sparkSession):
         parts = df.mapInArrow(count, schema).repartition("piece", "share").mapInArrow(add, schema).withColumn("share", F.lit(0))
         found = parts.repartition("piece").mapInArrow(add, schema).toArrow()
-    out = np.zeros(width * PIECES, np.uint64)
-    for piece, blob in zip(found["piece"].to_pylist(), found["counts"], strict=True):
-        out[piece * width : (piece + 1) * width] = np.frombuffer(blob.as_buffer(), np.uint64)
+    blobs = {piece: np.frombuffer(blob.as_buffer(), f"u{len(blob.as_buffer()) // width}") for piece, blob in zip(found["piece"].to_pylist(), found["counts"], strict=True)}
+    out = np.zeros(width * PIECES, max((x.dtype for x in blobs.values()), key=lambda t: t.itemsize, default=np.dtype(np.uint8)))
+    for piece, x in blobs.items():
+        out[piece * width : (piece + 1) * width] = x
     return out[:size]

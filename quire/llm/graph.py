@@ -63,9 +63,12 @@ def components(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
             return roots
 
 
-def shared_postings(postings: DataFrame, tables: Tables, name: str) -> DataFrame:
-    """The postings whose token more than one id has, with that number ``n`` and the token's first id ``center``."""
-    shared = postings.groupBy("token").agg(F.count("*").alias("n"), F.min("id").alias("center")).where("n > 1")
+def shared_postings(postings: DataFrame, tables: Tables, name: str, rank: str = "id") -> DataFrame:
+    """The postings whose token more than one id has, with that number ``n`` and the token's first id ``center`` by ``rank``.
+
+    What stands earlier is more often the source of copies than one of them, so a rank by age makes the stars larger.
+    """
+    shared = postings.groupBy("token").agg(F.count("*").alias("n"), F.min_by("id", rank).alias("center")).where("n > 1")
     return tables.keep(postings.join(tables.keep(shared, f"{name}-shared"), "token"), f"{name}-postings")
 
 

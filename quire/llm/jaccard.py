@@ -40,7 +40,7 @@ from quire.llm.store import Tables, bitmap, present, unused
 from quire.llm.text import LOWER, SPACE, mix, ngrams, parts, span_hashes, spans
 
 MORE = 3  # an l of up to MORE + 1, or a quarter of the shortest prefix, may be chosen
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 VERIFY_COST = 40.0  # of one candidate, in postings
 
 
@@ -200,8 +200,8 @@ def linked(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str,
     # equal sets: one representative
     same = some.groupBy(F.col("set").alias("id")).agg(F.min("doc").alias("least"), F.min("row").alias("row"), F.any_value("n_shingles").alias("n"), F.any_value("shortest").alias("shortest"), F.any_value("prefix").alias("prefix"))
     same = tables.keep(same, "sets")
-    postings = same.select("id", F.col("n").cast("int").alias("size"), "shortest", F.posexplode("prefix").alias("pos", "token"))
-    postings = adapt(shared_postings(postings, tables, "join"), percent, tables)
+    postings = same.select("id", F.coalesce("least", F.lit((1 << 63) - 1)).alias("rank"), F.col("n").cast("int").alias("size"), "shortest", F.posexplode("prefix").alias("pos", "token"))
+    postings = adapt(shared_postings(postings, tables, "join", "rank"), percent, tables)
     roots = connect(postings, percent, fetcher(docs, id_col, text_col, size, same.select("id", "row")), jaccard_at_least(percent), tables, "join")
     sets = same.select("id", "least").join(tables.keep(roots, "roots"), "id", "left")
     return made.select("doc", "row", "n_shingles", "set"), tables.keep(sets.select(F.col("id").alias("set"), F.coalesce("root", "id").alias("root"), "least"), "named")
