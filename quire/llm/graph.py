@@ -19,6 +19,8 @@ HOT = 64  # records that share a token, above which they are compared in blocks
 BLOCK = 32_000  # sizes of a block's records together
 # which of the records a given one is linked with
 Similar = Callable[[np.ndarray, Sequence[np.ndarray]], np.ndarray]
+# whether a pair is worth a look, by columns of both
+Close = Callable[[dict[str, Column], dict[str, Column]], Column]
 
 
 def _first(column: Column) -> Column:
@@ -148,12 +150,15 @@ def block_links(rows: DataFrame, held: DataFrame, similar: Similar) -> DataFrame
     return rows.join(held, "id").groupBy("pair").applyInArrow(compare, "u long, v long")
 
 
-def connect(postings: DataFrame, percent: int, fetch: Callable[[DataFrame], DataFrame], similar: Similar, tables: Tables, name: str) -> DataFrame:
+def connect(
+    postings: DataFrame, percent: int, fetch: Callable[[DataFrame], DataFrame], similar: Similar, tables: Tables, name: str, close: Close = lambda a, b: F.lit(True), marks: tuple[str, ...] = ()
+) -> DataFrame:
     """(id, root) of the groups that links make among records that share tokens.
 
     ``postings`` (token, id, need, size, n, center): a pair is a candidate if it shares at least the smaller ``need``
     of tokens and the smaller size is at least ``percent`` of the larger, which any link implies.
-    ``fetch(ids)`` gives (id, record), ``similar`` tells which records are linked.
+    ``fetch(ids)`` gives (id, record), ``similar`` tells which records are linked.  ``close`` may rule out pairs before their
+    records are fetched, by the columns ``marks`` of the postings of each.
 
     Pairs within a group are not all made, and no link between groups is lost:
     1. each record meets the first record of its tokens (a star, linear in the postings) and verified stars
@@ -167,14 +172,18 @@ def connect(postings: DataFrame, percent: int, fetch: Callable[[DataFrame], Data
     def alike(a: str, b: str) -> Column:
         return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-    heads = tables.keep(postings.where("id = center").select(F.col("id").alias("center"), F.col("size").alias("csize")).distinct(), f"{name}-heads")
+    def by(prefix: str) -> dict[str, Column]:
+        return {c: F.col(prefix + c) for c in marks}
+
+    heads = postings.where("id = center").select(F.col("id").alias("center"), *[F.col(c).alias(f"c_{c}") for c in ("size", *marks)])
+    heads = tables.keep(heads.dropDuplicates(["center"]), f"{name}-heads")
     stars = (
         postings.where("id <> center")
         .groupBy("center", "id")
-        .agg(F.count("*").alias("shared"), F.min("need").alias("need"), F.min("size").alias("size"))
+        .agg(F.count("*").alias("shared"), F.min("need").alias("need"), F.min("size").alias("size"), *[F.min(c).alias(c) for c in marks])
         .where("shared >= need")
         .join(heads, "center")
-        .where(alike("size", "csize"))
+        .where(alike("size", "c_size") & close(by(""), by("c_")))
         .select(F.col("center").alias("u"), F.col("id").alias("v"))
     )
     stars = tables.keep(stars, f"{name}-stars")
@@ -186,17 +195,17 @@ def connect(postings: DataFrame, percent: int, fetch: Callable[[DataFrame], Data
     clustered, rows = clusters(postings, groups, tables, name)
     rows = tables.keep(rows, f"{name}-rows")
 
-    cold = postings.where(F.col("n") <= HOT).select("token", "id", "need", "size").join(groups.withColumnRenamed("root", "comp"), "id", "left")
+    cold = postings.where(F.col("n") <= HOT).select("token", "id", "need", "size", *marks).join(groups.withColumnRenamed("root", "comp"), "id", "left")
     cold = cold.join(clustered, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     cold = tables.keep(cold, f"{name}-cold")
     mixed = cold.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     rest = tables.keep(cold.join(tables.keep(mixed, f"{name}-mixed"), "token"), f"{name}-rest")
-    x, y = (rest.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "need", "size", "comp", "cluster")]) for k in "xy")
+    x, y = (rest.select("token", *[F.col(c).alias(f"{k}_{c}") for c in ("id", "need", "size", "comp", "cluster", *marks)]) for k in "xy")
     cross = (
         x.join(y, "token")
-        .where((F.col("id_x") < F.col("id_y")) & (F.col("comp_x") != F.col("comp_y")) & alike("size_x", "size_y") & F.coalesce(F.col("cluster_x") != F.col("cluster_y"), F.lit(True)))
-        .groupBy(F.col("id_x").alias("u"), F.col("id_y").alias("v"))
-        .agg(F.count("*").alias("shared"), F.min(F.least("need_x", "need_y")).alias("need"))
+        .where((F.col("x_id") < F.col("y_id")) & (F.col("x_comp") != F.col("y_comp")) & alike("x_size", "y_size") & close(by("x_"), by("y_")) & F.coalesce(F.col("x_cluster") != F.col("y_cluster"), F.lit(True)))
+        .groupBy(F.col("x_id").alias("u"), F.col("y_id").alias("v"))
+        .agg(F.count("*").alias("shared"), F.min(F.least("x_need", "y_need")).alias("need"))
         .where("shared >= need")
         .select("u", "v")
     )

@@ -227,103 +227,114 @@ def test_distance():
         assert lines.distance(a, b) == d[-1, -1]
 
 
-def brute_lines(texts):
-    """Dropped (doc, line) by the same definition, in plain Python; ids are distinct and not null."""
-    from quire.llm.text import parts
-    import pyarrow as pa
-    import pyarrow.compute as pc
+def line_words(text):
+    """(line number, words) of the lines with a word, by the same normal form in plain Python; ASCII only."""
+    for k, line in enumerate(text.split("\n")):
+        if found := re.findall("[a-z0-9]+", re.sub("[0-9]", "0", line.lower())):
+            yield k, found
+
 
-    found = {}
-    for i, t in sorted(texts.items()):
-        for _, _, data, offsets in parts(pc.utf8_lower(pa.array([t], pa.large_string()))):
-            made = lines.Lines(data, offsets)
-            for k, b in enumerate(made.simhash()):
-                found[i, int(made.number[k])] = (tuple(made.words[made.begins[k] : made.stops[k]].tolist()), tuple(lines.tokens_of(b[None]).ravel().tolist()))
-    keys = sorted(found)
-    parent = {k: k for k in keys}
+def near_lines(texts, percent=80):
+    """Dropped (doc, line) by edit similarity alone, without any block or SimHash."""
+    found = {(i, k): w for i, t in texts.items() for k, w in line_words(t)}
+    root = {k: k for k in found}
 
     def top(x):
-        while parent[x] != x:
-            x = parent[x]
+        while root[x] != x:
+            x = root[x]
         return x
 
-    for a, b in combinations(keys, 2):
-        (wa, ba), (wb, bb) = found[a], found[b]
-        if wa == wb or (any(x == y for x, y in zip(ba, bb, strict=True)) and 100 * (max(len(wa), len(wb)) - lines.distance(list(wa), list(wb))) >= 80 * max(len(wa), len(wb))):
-            x, y = top(a), top(b)
-            parent[max(x, y)] = min(x, y)
-    return {k for k in keys if top(k) != k}
+    for a, b in combinations(sorted(found), 2):
+        most = max(len(found[a]), len(found[b]))
+        if 100 * abs(len(found[a]) - len(found[b])) <= (100 - percent) * most and 100 * (most - lines.distance(found[a], found[b])) >= percent * most:
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    return {k for k in found if top(k) != k}
 
 
 def test_line_dedup(spark, docs, no_docs):
     rng = np.random.default_rng(8)
-    base = [" ".join(f"v{x}" for x in rng.integers(0, 300, 40)) for _ in range(6)]
+    base = [" ".join(f"{x:x}g" for x in rng.integers(0, 300, 40)) for _ in range(6)]
     texts = {}
     for i in range(30):
         picked = [base[k] for k in rng.integers(0, 6, 4)]
         picked = [line.replace(line.split()[5], f"changed{i}", 1) if rng.random() < 0.5 else line for line in picked]
-        texts[i] = "\n".join([*picked, "", "...", f"Only {i} here: unique{i}", "Page 12!" if i % 2 else "page 7"])
+        texts[i] = "\n".join([*picked, "", "...", f"Only {i} here: unique{i}", "Page 12!" if i % 2 else "page 70"])
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    expected = brute_lines(texts)
-    got = {(r.doc, k) for r in lines.drops(df).collect() for k in r.gone}
-    assert got == expected and len(expected) > 40
-    for r in lines.dedup(df).collect():
+    expected = near_lines(texts)
+    assert len(expected) > 40
+    for r in lines.dedup(df.withColumn("key", F.lit(1)).withColumn("gone", F.lit(2))).collect():
         assert r.text == "\n".join(x for k, x in enumerate(texts[r.doc_id].split("\n")) if (r.doc_id, k) not in expected)
+        assert r.n_lines == 8 and r.n_dropped == sum(i == r.doc_id for i, _ in expected)
     odd = {(r.doc_id, r.text, r.n_dropped) for r in lines.dedup(docs).collect()}
     assert (200, None, 0) in odd and (201, "", 0) in odd and (202, " \n\t ", 0) in odd and any(i is None for i, _, _ in odd)
     assert lines.dedup(no_docs).count() == 0
 
 
-def near_lines(texts, percent):
-    """Dropped (doc, line) by edit similarity alone; every line is words with spaces between."""
-    found = {(i, k): x.split() for i, t in texts.items() for k, x in enumerate(t.split("\n"))}
-    root = {k: k for k in found}
-
-    def top(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in combinations(sorted(found), 2):
-        most = max(len(found[a]), len(found[b]))
-        if 100 * (most - lines.distance(found[a], found[b])) >= percent * most:
-            x, y = sorted((top(a), top(b)))
-            root[y] = x
-    return {k for k in found if top(k) != k}
-
-
-@pytest.mark.parametrize(("percent", "hot"), [(80, 64), (80, 2), (65, 64)])
-def test_every_near_line_is_found(spark, monkeypatch, percent, hot):
+def test_lines_of_repeated_ids(spark):
+    once = "precious unique sentence never seen elsewhere at all"
+    rows = [(1, f"a line that comes twice in all\n{once}"), (1, "a line that comes twice in all\nother words stand here alone"), (2, "x"), (2, "x"), (None, "x"), (3, "y\ny\nx")]
+    got = Counter(tuple(r) for r in lines.dedup(spark.createDataFrame(rows, "doc_id int, text string")).collect())
+    assert sum(n for (_, t, _, _), n in got.items() if once in (t or "")) == 1
+    assert sum(n for (_, t, _, _), n in got.items() if "twice" in (t or "")) == 1
+    assert got[2, "x", 1, 0] == 2 and got[None, "x", 1, 0] == 1 and got[3, "y", 3, 2] == 1
+    with pytest.raises(TypeError):
+        lines.drops(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+@pytest.mark.parametrize(("size", "changes"), [(5, 1), (8, 1), (10, 1), (10, 2), (20, 1), (20, 4), (37, 7), (40, 4), (40, 8), (100, 20), (600, 120)])
+def test_recall_of_blocks(size, changes):
+    """Of near pairs at and below the limit, those that share a block, and those that do not hang on one block; all pass the SimHash."""
+    rng = np.random.default_rng(size * 100 + changes)
+    words = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    pairs = 400 if size < 200 else 60
+    shared, several, close = 0, 0, 0
+    for _ in range(pairs):
+        a = words(size)
+        b = a.copy()
+        b[rng.choice(size, changes, replace=False)] = words(changes)
+        keys = [set(lines.blocks(lines.features(x, np.array([size])), np.array([size]), 80)[2].tolist()) for x in (a, b)]
+        both = len(keys[0] & keys[1])
+        shared, several = shared + (both > 0), several + (both > 1)
+        sims = [lines.simhash(lines.features(x, np.array([size])), np.array([size]))[0] for x in (a, b)]
+        close += np.bitwise_count(sims[0] ^ sims[1]).sum() <= lines.bits_apart(80)
+    assert shared >= 0.95 * pairs and several >= 0.88 * pairs and close >= 0.99 * pairs
+
+
+@pytest.mark.parametrize(("percent", "hot", "refine"), [(80, 64, 32), (80, 4, 4), (70, 64, 32)])
+def test_near_lines_are_found(spark, monkeypatch, percent, hot, refine):
     from quire.llm import graph
 
     monkeypatch.setattr(graph, "HOT", hot)
     monkeypatch.setattr(graph, "BLOCK", 300)
+    monkeypatch.setattr(lines, "REFINE", refine)
     rng = np.random.default_rng(11)
     letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    word = lambda n: "".join(rng.choice(letters, n))
     made = []
     for k in range(130):
         size = int(rng.choice([3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 20, 31, 60, 700]) if k % 40 else 700)
-        vocabulary = ["".join(rng.choice(letters, 4)) for _ in range(400)] if k % 2 else ["in", "of", "to", "the", "and", "a", "on", "it"]
+        vocabulary = [word(4) for _ in range(400)] if k % 2 else ["in", "of", "to", "the", "and", "a", "on", "it"]
         line = list(rng.choice(vocabulary, size))
         made.append(" ".join(line))
         for _ in range(int(rng.integers(0, 3))):
             other = list(line)
             for _ in range(int(rng.integers(1, max(2, size // 4 + 1)))):
-                at = int(rng.integers(0, len(other)))
-                kind = rng.integers(0, 3)
+                at, kind = int(rng.integers(0, len(other))), rng.integers(0, 3)
                 if kind == 0 and len(other) > 1:
                     del other[at]
                 elif kind == 1:
-                    other.insert(at, "".join(rng.choice(letters, 5)))
+                    other.insert(at, word(5))
                 else:
-                    other[at] = "".join(rng.choice(letters, 5))
+                    other[at] = word(5)
             made.append(" ".join(other))
     made = [made[k] for k in rng.permutation(len(made))]
     texts = {i: "\n".join(made[i::40]) for i in range(40)}
     expected = near_lines(texts, percent)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
-    assert {(r.doc, k) for r in lines.drops(df, percent).collect() for k in r.gone} == expected
-    assert len(expected) > 50
+    keys = {r.key: r.doc_id for r in df.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id").collect()}
+    got = {(keys[r.key], k) for r in lines.drops(df, percent).collect() for k in r.gone}
+    assert got <= expected and len(got) >= 0.9 * len(expected) > 50, (len(got), len(expected))
 
 
 # ---- op6
