@@ -12,6 +12,7 @@ TAGS = "a abbr b blockquote br caption cite code dd del details div dl dt em fig
 ATTRIBUTES = "href src alt title colspan rowspan start cite datetime".split()
 DROPPED = "script style iframe object embed form noscript template svg math textarea select button".split()
 MAX_UTTERANCE = 280
+STOPS, CLOSERS = ".!?…", "\"'”’)\\]"
 
 
 def sanitize(html: Column) -> Column:
@@ -43,7 +44,8 @@ def block_text(html: Column) -> Column:
 def spoken(text: Column, most: int = MAX_UTTERANCE) -> Column:
     """Sentences packed into pieces of at most ``most`` characters; a longer sentence is broken between words."""
     clean = F.trim(F.regexp_replace(text, "\\s+", " "))
-    sentences = F.regexp_extract_all(clean, F.lit("[^.!?…]+(?:[.!?…]+[\"'”’)\\]]*|$)\\s*"), F.lit(0))
+    # a sentence ends at a blank after a stop, which quotes and brackets may follow
+    sentences = F.transform(F.split(clean, f"(?<=[{STOPS}][{CLOSERS}]{{0,3}}) ", -1), lambda s: F.concat(s, F.lit(" ")))
     words = lambda s: F.regexp_extract_all(s, F.lit("\\S+\\s*|\\s+"), F.lit(0))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
 

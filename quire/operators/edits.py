@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.display import chosen_canonical, shown_title, site, slug, sortable_time, time_of, tone, yes_chance
 from quire.functions.texts import first_words, merge_note, summary, words
-from quire.operators.reading import top_per
+from quire.operators.reading import newest_left, top_per
 from quire.plans.views import Views, now
 
 ARTICLE_WORDS, MAX_ATTEMPTS, READ_CHARS, BATCH = 100, 3, 30_000, 20
@@ -113,8 +113,7 @@ def read_entries(v: Views) -> DataFrame:
 
 def suggestion_sample(v: Views) -> DataFrame:
     """The newest 25 posts of each user's feeds and 15 newest starred links: each cut by itself, then together."""
-    posts = v.entries.select("entry_id", "feed_id", "entry_date").join(v.subscriptions.select("user_id", "feed_id"), "feed_id")
-    newest = top_per(posts, ["user_id"], [F.desc("entry_date"), F.desc("entry_id")], 25).select("user_id", F.lit("post").alias("kind"), F.col("entry_id").alias("id"))
+    newest = top_per(newest_left(v, v.entries, 25), ["user_id"], [F.desc("entry_date"), F.desc("entry_id")], 25).select("user_id", F.lit("post").alias("kind"), F.col("entry_id").alias("id"))
     stars = top_per(v.links.where("is_reference"), ["user_id"], [F.desc("starred_at"), F.desc("link_id")], 15).select("user_id", F.lit("link").alias("kind"), F.col("link_id").alias("id"))
     return newest.unionByName(stars)
 
@@ -122,7 +121,7 @@ def suggestion_sample(v: Views) -> DataFrame:
 def link_display(v: Views) -> DataFrame:
     """Titles, sites, tones and slugs of saved pages."""
     title = F.when(F.col("link_id") % 4 != 0, F.col("title"))
-    return v.links.select("link_id", shown_title(title, F.col("url")).alias("shown"), site(F.col("url")).alias("site"), tone(site(F.col("url"))).alias("tone"), slug(F.substring("title", 1, 60)).alias("slug"))
+    return v.links.select("link_id", shown_title(title, F.col("url")).alias("shown"), site(F.col("url")).alias("site"), tone(site(F.col("url"))).alias("tone"), slug(F.col("title")).alias("slug"))
 
 
 def link_json(v: Views) -> DataFrame:

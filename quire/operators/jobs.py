@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators.reading import long, top_per, unread_pairs
+from quire.operators.reading import handled, newest_left, top_per
 from quire.plans.views import Views, days_ago, now
 
 BUDGET = 2000
@@ -19,26 +19,33 @@ def hours_ago(n: Column) -> Column:
     return now() - F.make_dt_interval(hours=n.cast("int"))
 
 
-def score_candidates(v: Views, days: int = 7, limit: int = 20) -> DataFrame:
-    """Unread posts of the last days and queued links whose copy is there (or an hour late), without a prediction that counts.
+def blocking(predictions: DataFrame) -> DataFrame:
+    """The predictions that stand: a failed one only until its wait is over, an hour for each attempt, three attempts at most."""
+    return predictions.where(F.col("error").isNull() | (F.col("attempts") >= 3) | (F.col("updated_at") > hours_ago(F.col("attempts"))))
 
-    A failed prediction counts only until its wait is over: an hour for each attempt, three attempts at most.
-    """
-    posts = unread_pairs(v).where(F.col("entry_date") >= days_ago(days)).select("user_id", F.lit("post").alias("kind"), F.col("entry_id").alias("id"), F.col("entry_date").alias("stamp"))
-    counts = v.predictions.where(F.col("error").isNull() | (F.col("attempts") >= 3) | (F.col("updated_at") > hours_ago(F.col("attempts"))))
-    posts = posts.join(counts.select("user_id", F.col("entry_id").alias("id")), ["user_id", "id"], "left_anti").select("user_id", "kind", "id", "stamp")
+
+def newest_candidates(v: Views, posts_gone: DataFrame, links: DataFrame, days: int, limit: int) -> DataFrame:
+    """(user_id, kind, id, stamp) of unread posts of the last days that are not gone, ``limit`` a feed at least, and of links."""
+    recent = v.entries.where(F.col("created_at") >= days_ago(days))
+    posts = newest_left(v, recent, limit, handled(v).union(posts_gone).distinct())
+    rows = posts.select("user_id", F.lit("post").alias("kind"), F.col("entry_id").alias("id"), F.col("entry_date").alias("stamp"))
+    return rows.unionByName(links.select("user_id", F.lit("link").alias("kind"), F.col("link_id").alias("id"), F.col("saved_at").alias("stamp")))
+
+
+def score_candidates(v: Views, days: int = 7, limit: int = 20) -> DataFrame:
+    """The newest ``limit`` over all users: unread posts of the last days and queued links whose copy is there (or an hour late), without a standing prediction."""
     copies = v.links.where("status = 'queued'").join(v.archives.select("link_id", F.col("status").alias("copy")), "link_id", "left")
-    ready = F.col("copy").isNull() | F.col("copy").isin("ready", "failed") | (F.col("saved_at") <= now() - F.expr("interval '1' hour"))
-    links = copies.where(ready).select("user_id", F.lit("link").alias("kind"), F.col("link_id").alias("id"), F.col("saved_at").alias("stamp"))
-    return top_per(posts.unionByName(links), ["user_id"], [F.desc("stamp"), F.asc("kind"), F.desc("id")], limit)
+    ready = F.col("copy").isNull() | F.col("copy").isin("ready", "failed") | (F.col("saved_at") < now() - F.expr("interval '1' hour"))
+    links = copies.where(ready).join(blocking(v.link_predictions).select("user_id", "link_id"), ["user_id", "link_id"], "left_anti")
+    rows = newest_candidates(v, blocking(v.predictions).select("user_id", "entry_id"), links, days, limit)
+    return rows.orderBy(F.desc("stamp"), F.asc("kind"), F.desc("id"), F.asc("user_id")).limit(limit)
 
 
-def categorize_candidates(v: Views, days: int = 7, limit: int = 20) -> DataFrame:
-    """Unread posts of the last days and queued or starred links that have no category yet."""
-    posts = unread_pairs(v).where(F.col("entry_date") >= days_ago(days)).select("user_id", F.lit("post").alias("kind"), F.col("entry_id").alias("id"), F.col("entry_date").alias("stamp"))
-    posts = posts.join(v.item_categories.select("user_id", F.col("entry_id").alias("id")), ["user_id", "id"], "left_anti").select("user_id", "kind", "id", "stamp")
-    links = v.links.where("status = 'queued' or is_reference").select("user_id", F.lit("link").alias("kind"), F.col("link_id").alias("id"), F.col("saved_at").alias("stamp"))
-    return top_per(posts.unionByName(links), ["user_id"], [F.desc("stamp"), F.asc("kind"), F.desc("id")], limit)
+def categorize_candidates(v: Views, days: int = 7, limit: int = 20, starred: bool = True) -> DataFrame:
+    """By user the newest ``limit`` items without a category: unread posts of the last days, queued and, if asked for, starred links."""
+    links = v.links.where("status = 'queued' or is_reference" if starred else "status = 'queued'").join(v.link_categories, ["user_id", "link_id"], "left_anti")
+    rows = newest_candidates(v, v.item_categories.select("user_id", "entry_id"), links, days, limit)
+    return top_per(rows, ["user_id"], [F.desc("stamp"), F.asc("kind"), F.desc("id")], limit)
 
 
 def doomed(v: Views, keep: int = 50, days: int = 30, place_days: int = 60) -> DataFrame:
@@ -58,8 +65,8 @@ def prune_history(v: Views) -> DataFrame:
 
 
 def orphan_feeds(v: Views) -> DataFrame:
-    """Feeds that no user of an even number follows."""
-    return v.feeds.join(v.subscriptions.where("user_id % 2 = 0 and feed_id % 4 <> 3").select("feed_id"), "feed_id", "left_anti").select("feed_id", "url")
+    """Feeds that nobody follows."""
+    return v.feeds.join(v.subscriptions.select("feed_id"), "feed_id", "left_anti").select("feed_id", "url")
 
 
 def poll_minutes(latest: Column) -> Column:
@@ -85,14 +92,15 @@ def due_feeds(v: Views, limit: int = 40) -> DataFrame:
     return due.orderBy(F.asc_nulls_first("next_fetch_at"), "feed_id").limit(limit).select("feed_id", "next_fetch_at")
 
 
-def claim_archives(v: Views) -> DataFrame:
-    """Copies to fetch now, and stale third attempts that fail."""
+def claim_archives(v: Views, limit: int = 5) -> DataFrame:
+    """Stale third attempts, which fail, and the copies to fetch now: the ``limit`` that were asked for last."""
     stale = (F.col("status") == "fetching") & (F.col("updated_at") < now() - F.expr("interval '10' minute"))
-    waited = F.col("updated_at") <= hours_ago(F.col("attempts"))
-    action = F.when(stale & (F.col("attempts") >= 3), F.lit("fail")).when(
-        (F.col("status") == "pending") | stale | ((F.col("status") == "failed") & (F.col("attempts") < 3) & waited), F.lit("claim")
-    )
-    return v.archives.select("link_id", action.alias("action")).where("action is not null")
+    waited = F.col("updated_at") < hours_ago(F.col("attempts"))
+    spent = F.col("attempts") >= 3
+    due = (F.col("status") == "pending") | (stale & ~spent) | ((F.col("status") == "failed") & ~spent & waited)
+    failed = v.archives.where(stale & spent).select("link_id", F.lit("fail").alias("action"))
+    claimed = v.archives.where(due).orderBy(F.desc("updated_at"), F.desc("link_id")).limit(limit)
+    return failed.union(claimed.select("link_id", F.lit("claim").alias("action")))
 
 
 def prune_archives(v: Views) -> DataFrame:
@@ -137,9 +145,19 @@ def mark_all_read(v: Views) -> DataFrame:
 
 
 def opened_backfill(v: Views) -> DataFrame:
-    """Old rows: reading within a minute of opening was opening; the rest keep no opening time."""
-    close = F.abs(F.unix_micros(F.col("read_at").cast("timestamp")) - F.unix_micros(F.col("cited_at").cast("timestamp"))) <= 3_600_000_000
-    return v.entry_state.where("read_at is not null").select("user_id", "entry_id", F.when(close, F.col("read_at")).otherwise(F.col("opened_at")).alias("opened_at"))
+    """Old rows with a read: the time of reading was that of opening, unless it was set otherwise.
+
+    "Done" sets it in the same second as the dismissal, a new feed's backlog within a minute of the post's arrival or of following
+    the feed; those keep what they have.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    after = lambda c: micros("read_at") - micros(c) > 60_000_000
+    posts = v.entries.select("entry_id", "feed_id", "created_at")
+    follows = v.subscriptions.select("user_id", "feed_id", "followed_at")
+    rows = v.entry_state.where("read_at is not null").join(posts, "entry_id", "left").join(follows, ["user_id", "feed_id"], "left")
+    done = F.coalesce(micros("dismissed_at") - micros("read_at") <= 1_000_000, F.lit(False))
+    opened = ~done & F.coalesce(after("created_at"), F.lit(False)) & F.coalesce(after("followed_at"), F.lit(True))
+    return rows.select("user_id", "entry_id", F.when(opened, F.col("read_at")).otherwise(F.col("opened_at")).alias("opened_at"))
 
 
 def neurons(tokens: Column, model: str) -> Column:
@@ -188,11 +206,13 @@ def budget_ledger(v: Views, cap: int = BUDGET) -> DataFrame:
     return ordered.select("day", "asked").mapInPandas(replay, "day date, accepted long, refused long, spent long").unionByName(calm)
 
 
-def stub_probabilities(text: Column, slugs: list[str]) -> Column:
-    """Deterministic stand-in for a model: 0.7 to the choice that the text's checksum names, the rest shared."""
+def stub_probabilities(question: Column, slugs: list[str]) -> Column:
+    """Deterministic stand-in for a model: 0.7 to the choice that the sum of the question's character codes names, the rest shared."""
     n = len(slugs)
-    pick = F.crc32(text.cast("binary")) % n
-    return F.array(*[F.struct(F.when(pick == k, F.lit(0.7)).otherwise(F.lit(0.3 / (n - 1)) + F.lit(k * 0.001)).alias("p"), F.lit(s).alias("slug")) for k, s in enumerate(slugs)])
+    codes = F.transform(F.filter(F.split(question, ""), lambda c: c != ""), lambda c: F.ascii(c))
+    pick = F.aggregate(codes, F.lit(0), lambda total, code: total + code) % n
+    rest = 0.3 / max(1, n - 1)
+    return F.array(*[F.struct(F.when(pick == k, F.lit(0.7)).otherwise(F.lit(rest)).alias("p"), F.lit(s).alias("slug")) for k, s in enumerate(slugs)])
 
 
 SLUGS = ["c0", "c1", "c2", "c3", "other"]

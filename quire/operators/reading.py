@@ -68,26 +68,37 @@ def top_per(df: DataFrame, keys: list[str], order: list[Column], n: int) -> Data
     return ranked.where(F.col("__rank") <= n).drop("__rank")
 
 
-def subscribed(v: Views, *columns: str) -> DataFrame:
-    """Posts of followed feeds with the user's state; two links to one post give it twice, as in the source."""
-    links = v.links.where("source_entry_id is not null").select("user_id", F.col("source_entry_id").alias("entry_id"), "link_id")
-    keys = ["user_id", "entry_id"]
-    return (
-        v.entries.select("entry_id", "feed_id", "entry_date", *columns)
-        .join(v.subscriptions, "feed_id")
-        .join(v.entry_state, keys, "left")
-        .join(links, keys, "left")
-    )
-
-
 def is_unread() -> Column:
     return F.col("read_at").isNull() & F.col("dismissed_at").isNull()
 
 
-def unread_pairs(v: Views, *columns: str) -> DataFrame:
-    """(user, post) pairs without a read or dismissal: no link fan-out."""
-    base = v.entries.select("entry_id", "feed_id", "entry_date", *columns).join(v.subscriptions, "feed_id")
-    return base.join(v.entry_state, ["user_id", "entry_id"], "left").where(is_unread())
+def handled(v: Views) -> DataFrame:
+    """(user, post) pairs with a read or dismissal."""
+    return v.entry_state.where(~is_unread()).select("user_id", "entry_id")
+
+
+def newest_left(v: Views, posts: DataFrame, limit: int, gone: DataFrame | None = None, follows: DataFrame | None = None) -> DataFrame:
+    """(user_id, entry_id, feed_id, entry_date): by user and followed feed the newest ``limit`` of ``posts`` that are not ``gone``, and some more.
+
+    Users are never paired with all posts.  Posts are numbered once a feed, newest first; of a feed where h posts are gone for
+    a user, the first limit + h hold the newest ``limit`` that are left.  The number is that of newer days plus the place in the
+    day, so no task sorts a feed, and days that nobody needs are not numbered.  ``gone`` has distinct pairs.
+    """
+    follows = (v.subscriptions if follows is None else follows).select("user_id", "feed_id")
+    narrow = posts.select("entry_id", "feed_id", "entry_date", F.to_date("entry_date").alias("day"))
+    need = F.lit(limit).cast("long")
+    asked = follows.withColumn("need", need)
+    if gone is not None:
+        counts = gone.join(narrow.select("entry_id", "feed_id"), "entry_id").groupBy("user_id", "feed_id").agg(F.count("*").alias("h"))
+        asked = follows.join(counts, ["user_id", "feed_id"], "left").select("user_id", "feed_id", (need + F.coalesce("h", F.lit(0))).alias("need"))
+    most = asked.groupBy("feed_id").agg(F.max("need").alias("most"))
+    later = Window.partitionBy("feed_id").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = narrow.groupBy("feed_id", "day").agg(F.count("*").alias("n")).select("feed_id", "day", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("newer"))
+    days = days.join(most, "feed_id").where("newer < most")
+    place = F.row_number().over(Window.partitionBy("feed_id", "day").orderBy(F.desc("entry_date"), F.desc("entry_id")))
+    numbered = narrow.join(days, ["feed_id", "day"]).withColumn("place", F.col("newer") + place).where("place <= most").select("entry_id", "feed_id", "entry_date", "place")
+    pairs = asked.join(numbered, "feed_id").where("place <= need").select("user_id", "entry_id", "feed_id", "entry_date")
+    return pairs if gone is None else pairs.join(gone, ["user_id", "entry_id"], "left_anti")
 
 
 def subscription_list(v: Views) -> DataFrame:
@@ -127,20 +138,26 @@ def inbox_order() -> list[Column]:
     return [F.col("read_at").isNotNull().asc(), F.desc("entry_date"), F.desc("entry_id")]
 
 
-def inbox_posts(v: Views, limit: int = INBOX_LIMIT, where: Column | None = None, category: str | None = None) -> DataFrame:
-    """Each user's undismissed posts, unread first, newest first, the first ``limit``.
+def inbox_posts(v: Views, limit: int = INBOX_LIMIT, where: Column | None = None, follows: Column | None = None, category: str | None = None) -> DataFrame:
+    """Each user's undismissed posts, unread first, newest first, the first ``limit``; two links to one post give it twice.
 
-    Reading times are joined to the page that is left: words counted below the join with followers would be
-    counted again for each of them.
+    ``where`` is on posts, ``follows`` on subscriptions.  The unread ones come from ``newest_left``, the read ones (or those of a
+    category) from the user's own rows.  Reading times are joined to the page that is left.
     """
-    rows = subscribed(v, "words").where(F.col("dismissed_at").isNull())
-    if where is not None:
-        rows = rows.where(where)
+    keys = ["user_id", "entry_id"]
+    posts = v.entries if where is None else v.entries.where(where)
+    followed = (v.subscriptions if follows is None else v.subscriptions.where(follows)).select("user_id", "feed_id")
+    narrow = posts.select("entry_id", "feed_id", "entry_date")
     if category is not None:
-        placed = v.item_categories.where((F.col("primary_slug") == category) | (F.col("secondary_slug") == category))
-        rows = rows.join(placed.select("user_id", "entry_id"), ["user_id", "entry_id"], "left_semi")
-    rows = rows.select("user_id", "entry_id", "feed_id", "entry_date", "read_at", "link_id")
-    page = top_per(rows, ["user_id"], [*inbox_order(), F.desc_nulls_last("link_id")], limit)
+        placed = v.item_categories.where((F.col("primary_slug") == category) | (F.col("secondary_slug") == category)).select(*keys)
+        rows = placed.join(v.entry_state.select(*keys, "read_at", "dismissed_at"), keys, "left").where("dismissed_at is null")
+        rows = rows.join(narrow, "entry_id").join(followed, ["user_id", "feed_id"]).select(*keys, "feed_id", "entry_date", "read_at")
+    else:
+        read = v.entry_state.where("read_at is not null and dismissed_at is null").select(*keys, "read_at").join(narrow, "entry_id").join(followed, ["user_id", "feed_id"])
+        unread = newest_left(v, posts, limit, handled(v), followed).withColumn("read_at", F.lit(None).cast("timestamp_ntz"))
+        rows = unread.unionByName(read.select(*unread.columns))
+    links = v.links.where("source_entry_id is not null").select("user_id", F.col("source_entry_id").alias("entry_id"), "link_id")
+    page = top_per(rows.join(links, keys, "left"), ["user_id"], [*inbox_order(), F.desc_nulls_last("link_id")], limit)
     times = v.entries.select("entry_id", minutes(F.col("words")).alias("minutes"))
     return page.join(times, "entry_id").select("user_id", "entry_id", "feed_id", "entry_date", F.col("read_at").isNull().alias("unread"), "link_id", "minutes")
 
@@ -185,7 +202,7 @@ def continue_reading(v: Views, newest: int = 50, limit: int = 4) -> DataFrame:
 
 def next_item(v: Views) -> DataFrame:
     """The newest unread post or queued link of each user."""
-    posts = unread_pairs(v).select("user_id", F.struct(F.col("entry_date").alias("stamp"), F.lit("post").alias("kind"), F.col("entry_id").alias("id")).alias("item"))
+    posts = newest_left(v, v.entries, 1, handled(v)).select("user_id", F.struct(F.col("entry_date").alias("stamp"), F.lit("post").alias("kind"), F.col("entry_id").alias("id")).alias("item"))
     queued = v.links.where("status = 'queued'").select("user_id", F.struct(F.col("saved_at").alias("stamp"), F.lit("link").alias("kind"), F.col("link_id").alias("id")).alias("item"))
     return posts.unionByName(queued).groupBy("user_id").agg(F.max("item").alias("item")).select("user_id", "item.kind", "item.id", "item.stamp")
 

@@ -56,13 +56,22 @@ def saved_categories(v: Views) -> DataFrame:
     return v.item_categories.where(F.col("corrected") & (F.col("primary_slug") != "c4")).select("user_id", "entry_id", "primary_slug")
 
 
+def free_slugs(slugs: Column) -> Column:
+    """The slugs in order, each with the first of -2, -3, ... that is still free; what is reserved is taken from the start."""
+
+    def take(taken: Column, wanted: Column) -> Column:
+        more = F.transform(F.sequence(F.lit(2), F.size(taken) + 2), lambda n: F.concat(F.substring(wanted, 1, 36), F.lit("-"), n.cast("string")))
+        return F.concat(taken, F.array(F.filter(F.concat(F.array(wanted), more), lambda s: ~F.array_contains(taken, s))[0]))
+
+    return F.slice(F.aggregate(slugs, F.array(F.lit(RESERVED)), take), 2, F.size(slugs))
+
+
 def drafted_slugs(v: Views) -> DataFrame:
-    """Slugs of category drafts: unique by user with -2, -3, ...; "other" is taken, so it gets -2 at once."""
+    """Slugs of category drafts, unique by user; "other" is taken, so it gets a number at once."""
     names = v.links.select("user_id", "link_id", F.when(F.col("link_id") % 7 == 0, F.lit("Other")).otherwise(F.concat(F.lit("Topic "), (F.col("link_id") % 3).cast("string"))).alias("name"))
-    made = names.withColumn("slug", slug(F.col("name")))
-    nth = F.row_number().over(Window.partitionBy("user_id", "slug").orderBy("link_id")) + F.when(F.col("slug") == RESERVED, 1).otherwise(0)
-    rows = made.withColumn("nth", nth).withColumn("slug", F.when(F.col("nth") > 1, F.concat(F.substring("slug", 1, 36), F.lit("-"), F.col("nth").cast("string"))).otherwise(F.col("slug")))
-    return top_per(rows, ["user_id"], [F.asc("link_id")], MAX_CATEGORIES).select("user_id", "link_id", "slug")
+    few = top_per(names, ["user_id"], [F.asc("link_id")], MAX_CATEGORIES).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("link_id", slug(F.col("name")).alias("slug")))).alias("drafts"))
+    named = F.arrays_zip(F.col("drafts.link_id").alias("link_id"), free_slugs(F.col("drafts.slug")).alias("slug"))
+    return few.select("user_id", F.inline(named))
 
 
 def placed_inbox(v: Views) -> DataFrame:
@@ -89,13 +98,23 @@ def check_summary(v: Views) -> DataFrame:
     return rows.groupBy("slug").agg(F.count("*").alias("n"), F.count_if("unsure").alias("unsure"), F.array_join(F.transform(titles, lambda t: t["title"]), " | ").alias("examples"))
 
 
-def settled_budget(v: Views) -> DataFrame:
-    """Cost by day after settlement: estimates are replaced by true costs, failures refunded, never below nothing."""
+def settled_budget(v: Views, minutes: int = 30) -> DataFrame:
+    """Neurons by day: estimates are added when a call begins, what it cost beyond or below them when it ends, and then the total is no less than nothing.
+
+    A call that ends after midnight corrects the next day, which is where the floor acts.  A total with a floor after each step is the
+    plain sum less its lowest prefix (if below nothing); prefixes are taken within an hour, then over the hours of a day.
+    """
     asked = F.ceil("value").cast("long")
-    true_cost = F.when(F.col("event_type") == "error", 0).otherwise(neurons(asked * 1000, "small"))
-    rows = v.raw("events").select(F.to_date("ts").alias("day"), asked.alias("asked"), true_cost.cast("long").alias("cost"))
-    spent = F.greatest(F.lit(0), F.sum("asked") + F.sum(F.col("cost") - F.col("asked")))
-    return rows.groupBy("day").agg(spent.cast("long").alias("neurons"), F.count("*").alias("calls"))
+    cost = F.when(F.col("event_type") == "error", 0).otherwise(neurons(asked * 1000, "small")).cast("long")
+    step = lambda at, order, by: F.struct(at.alias("at"), F.lit(order).alias("order"), by.alias("by"))
+    ends = F.col("ts") + F.make_dt_interval(mins=F.lit(minutes))
+    steps = v.raw("events").select("event_id", F.inline(F.array(step(F.col("ts"), 0, asked), step(ends, 1, cost - asked))))
+    steps = steps.withColumn("hour", F.date_trunc("hour", "at"))
+    within = Window.partitionBy("hour").orderBy("at", "order", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    hours = steps.withColumn("sum", F.sum("by").over(within)).groupBy("hour").agg(F.sum("by").alias("total"), F.min("sum").alias("low"), F.count_if(F.col("order") == 0).alias("calls"))
+    before = Window.partitionBy("day").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    days = hours.withColumn("day", F.to_date("hour")).withColumn("low", F.col("low") + F.coalesce(F.sum("total").over(before), F.lit(0)))
+    return days.groupBy("day").agg((F.sum("total") - F.least(F.lit(0), F.min("low"))).cast("long").alias("neurons"), F.sum("calls").alias("calls"))
 
 
 def reader_states(v: Views) -> DataFrame:
@@ -131,7 +150,7 @@ def highlights_of(v: Views) -> DataFrame:
 
 
 def page_block_text(v: Views) -> DataFrame:
-    return v.raw("pages").select("page_id", block_text(F.regexp_extract("html", "(?is)<article\\b[^>]*>(.*)</article>", 1)).alias("text"))
+    return v.raw("pages").select("page_id", block_text(F.col("html")).alias("text"))
 
 
 def place_labels(v: Views) -> DataFrame:
@@ -141,7 +160,7 @@ def place_labels(v: Views) -> DataFrame:
 
 
 def spoken_posts(v: Views) -> DataFrame:
-    pieces = spoken(F.substring("content", 1, 2000))
+    pieces = spoken(F.col("content"))
     return v.entries.select("entry_id", F.size(pieces).cast("long").alias("pieces"), F.array_max(F.transform(pieces, lambda p: F.length(p))).cast("long").alias("longest"))
 
 

@@ -84,18 +84,23 @@ select user_id, kind, id, stamp from (select *, row_number() over (partition by
     )
 
 
-def candidates_sql(extra_posts: str, links: str, *views: str) -> str:
+def candidates_sql(extra_posts: str, links: str, last: str, *views: str) -> str:
     return with_views(
         f""", rows as (
   select s.user_id, 'post' as kind, e.entry_id as id, e.entry_date as stamp from entries e join subs s on s.feed_id = e.feed_id
   left join state st on st.user_id = s.user_id and st.entry_id = e.entry_id
-  where {UNREAD} and e.entry_date >= {SINCE.format(7)} and not exists ({extra_posts})
+  where {UNREAD} and e.created_at >= {SINCE.format(7)} and not exists ({extra_posts})
   union all {links})
-select user_id, kind, id, stamp from (select *, row_number() over (partition by user_id order by stamp desc, kind, id desc) as rn from rows) where rn <= 20""",
+{last}""",
         "entries", "subs", "state", "links", *views,
     )
 
 
+def standing(item: str) -> str:
+    """SQL of the predictions p of an item that keep it from being scored again."""
+    return f"p.user_id = {item} and (p.error is null or p.attempts >= 3 or p.updated_at > timestamp '{NOW}' - to_hours(cast(p.attempts as int)))"
+
+
 def search_filter_only(v: Views) -> DataFrame:
     """tag:t3 site:example.com is:queued: tags and states all hold, the site or any below it; newest saved first."""
     from quire.operators.search import filtered, parse_search
@@ -131,7 +136,7 @@ def page_text(v: Views) -> DataFrame:
 
 
 def parsed_tags(v: Views) -> DataFrame:
-    return v.raw("documents").select("doc_id", F.array_join(tags(F.substring("text", 1, 120)), ",").alias("tags"))
+    return v.raw("documents").select("doc_id", F.array_join(tags(F.col("text")), ",").alias("tags"))
 
 
 def export_links(v: Views) -> DataFrame:
@@ -165,8 +170,8 @@ def feed_parse(v: Views) -> DataFrame:
 
     i = F.col("doc_id").cast("string")
     body = F.concat(
-        F.lit('<rss version="2.0"><channel><title>t</title><link>https://example.com/</link><item><title>'), escaped(F.substring("text", 1, 60)),
-        F.lit('</title><link>/p/'), i, F.lit("</link><guid>g"), i, F.lit("</guid><description>"), escaped(F.substring("text", 1, 600)),
+        F.lit('<rss version="2.0"><channel><title>t</title><link>https://example.com/</link><item><title>'), escaped(F.concat_ws(" ", F.lit("Post"), i, F.col("source"))),
+        F.lit('</title><link>/p/'), i, F.lit("</link><guid>g"), i, F.lit("</guid><description>"), escaped(F.col("text")),
         F.lit("</description><pubDate>Mon, 01 Jan 2024 0"), (F.col("doc_id") % 10).cast("string"), F.lit(":30:00 GMT</pubDate></item></channel></rss>"),
     )
     feeds = v.raw("documents").select(F.col("doc_id").alias("feed_id"), F.lit("https://example.com/rss").alias("feed_url"), body.alias("body"))
@@ -204,7 +209,7 @@ QUERIES: dict[str, Plan] = {
     "inbox_posts": reading.inbox_posts,
     "inbox_short": reading.inbox_short,
     "inbox_by_category": lambda v: reading.inbox_posts(v, category="c2"),
-    "inbox_by_folder": lambda v: reading.inbox_posts(v, where=F.col("folder") == "f1"),
+    "inbox_by_folder": lambda v: reading.inbox_posts(v, follows=F.col("folder") == "f1"),
     "inbox_likely": reading.inbox_likely,
     "inbox_merged": reading.inbox_merged,
     "continue_reading": reading.continue_reading,
@@ -400,16 +405,18 @@ from links l left join hs h on h.user_id = l.user_id and h.entry_id = l.source_e
     "profile_skipped": profile_sql("select user_id, 'post' as kind, entry_id as id, dismissed_at as stamp from both_states where dismissed_at is not null and opened_at is null"),
     "profile_starred": profile_sql("select user_id, 'link' as kind, link_id as id, starred_at as stamp from links where is_reference"),
     "score_candidates": candidates_sql(
-        f"""select 1 from predictions p where p.user_id = s.user_id and p.entry_id = e.entry_id
-    and (p.error is null or p.attempts >= 3 or p.updated_at > timestamp '{NOW}' - to_hours(cast(p.attempts as int)))""",
+        f"select 1 from predictions p where {standing('s.user_id')} and p.entry_id = e.entry_id",
         f"""select l.user_id, 'link', l.link_id, l.saved_at from links l left join archives a on a.link_id = l.link_id
-  where l.status = 'queued' and (a.status is null or a.status in ('ready', 'failed') or l.saved_at <= timestamp '{NOW}' - interval '1' hour)""",
-        "predictions", "archives",
+  where l.status = 'queued' and (a.status is null or a.status in ('ready', 'failed') or l.saved_at < timestamp '{NOW}' - interval '1' hour)
+  and not exists (select 1 from link_predictions p where {standing('l.user_id')} and p.link_id = l.link_id)""",
+        "select user_id, kind, id, stamp from rows order by stamp desc, kind, id desc, user_id limit 20",
+        "predictions", "link_predictions", "archives",
     ),
     "categorize_candidates": candidates_sql(
         "select 1 from item_categories c where c.user_id = s.user_id and c.entry_id = e.entry_id",
-        "select user_id, 'link', link_id, saved_at from links where status = 'queued' or is_reference",
-        "item_categories",
+        "select l.user_id, 'link', l.link_id, l.saved_at from links l where (l.status = 'queued' or l.is_reference) and not exists (select 1 from link_categories c where c.user_id = l.user_id and c.link_id = l.link_id)",
+        "select user_id, kind, id, stamp from (select *, row_number() over (partition by user_id order by stamp desc, kind, id desc) as rn from rows) where rn <= 20",
+        "item_categories", "link_categories",
     ),
     "prune_doomed": with_views(DOOMED + " select entry_id, feed_id from doomed", "entries", "links", "places", "highlights"),
     "prune_history": with_views(
@@ -417,7 +424,7 @@ from links l left join hs h on h.user_id = l.user_id and h.entry_id = l.source_e
 where (s.opened_at is not null or s.cited_at is not null or s.dismissed_at is not null) and not exists (select 1 from history h where h.user_id = s.user_id and h.entry_id = s.entry_id)""",
         "entries", "links", "places", "highlights", "state", "history",
     ),
-    "prune_orphan_feeds": with_views("select feed_id, url from feeds f where not exists (select 1 from subs s where s.feed_id = f.feed_id and s.user_id % 2 = 0 and s.feed_id % 4 <> 3)", "feeds", "subs"),
+    "prune_orphan_feeds": with_views("select feed_id, url from feeds f where not exists (select 1 from subs s where s.feed_id = f.feed_id)", "feeds", "subs"),
     "poll_schedule": with_views(
         f""", latest as (select feed_id, max(published_at) as latest from entries group by feed_id),
 ages as (select f.feed_id, latest, error_count, (epoch_us(timestamp '{NOW}') - epoch_us(latest)) / 60000000.0e0 as age from feeds f left join latest l on l.feed_id = f.feed_id)
@@ -431,10 +438,10 @@ order by next_fetch_at nulls first, feed_id limit 40""",
         "feeds", "subs",
     ),
     "claim_archives": with_views(
-        f""", rows as (select *, status = 'fetching' and updated_at < timestamp '{NOW}' - interval '10' minute as stale from archives),
-named as (select link_id, case when stale and attempts >= 3 then 'fail' when status = 'pending' or stale
-  or (status = 'failed' and attempts < 3 and updated_at <= timestamp '{NOW}' - to_hours(cast(attempts as int))) then 'claim' end as action from rows)
-select link_id, action from named where action is not null""",
+        f""", failing as (select link_id from archives where status = 'fetching' and updated_at < timestamp '{NOW}' - interval '10' minute and attempts >= 3),
+due as (select link_id, updated_at from archives where link_id not in (select link_id from failing) and (status = 'pending' or (status = 'fetching' and updated_at < timestamp '{NOW}' - interval '10' minute)
+  or (status = 'failed' and attempts < 3 and updated_at < timestamp '{NOW}' - to_hours(cast(attempts as int)))) order by updated_at desc, link_id desc limit 5)
+select link_id, 'fail' as action from failing union all select link_id, 'claim' from due""",
         "archives",
     ),
     "prune_archives": with_views(f"select link_id, keep_until from archives where keep_until < timestamp '{NOW}'", "archives"),
@@ -456,7 +463,12 @@ where not exists (select 1 from state st where st.user_id = s.user_id and st.ent
 where st.read_at is null group by s.user_id""",
         "subs", "entries", "state",
     ),
-    "opened_backfill": with_views("select user_id, entry_id, case when abs(epoch_us(read_at) - epoch_us(cited_at)) <= 3600000000 then read_at else opened_at end as opened_at from state where read_at is not null", "state"),
+    "opened_backfill": with_views(
+        """select st.user_id, st.entry_id, case when (dismissed_at is null or epoch_us(dismissed_at) - epoch_us(read_at) > 1000000) and epoch_us(read_at) - epoch_us(e.created_at) > 60000000
+  and epoch_us(read_at) - coalesce((select epoch_us(s.followed_at) from subs s where s.user_id = st.user_id and s.feed_id = e.feed_id), 0) > 60000000 then read_at else opened_at end as opened_at
+from state st left join entries e on e.entry_id = st.entry_id where read_at is not null""",
+        "state", "entries", "subs",
+    ),
     "word_counts": with_views("select entry_id, words, case when words > 0 then cast(greatest(1, round(words / 230.0e0)) as bigint) end as minutes, words >= 1035 as is_long from entries", "entries"),
     "neuron_costs": """select doc_id as entry_id, cast(ceil(length(text) / 4.0e0) as bigint) as tokens, cast(ceil(ceil(length(text) / 4.0e0) * 8182 / 1000000.0e0) as bigint) as small,
 cast(ceil(ceil(length(text) / 4.0e0) * 21818 / 1000000.0e0) as bigint) as large from documents""",
@@ -478,9 +490,12 @@ select least(a, b) || '/' || greatest(a, b) as pair, count(*) as n from p where
     "strip_tags": f"""with p as (select page_id, {strip_tags_sql('html')} as plain from pages)
 select page_id, plain, case when plain = '' then null when length(plain) > 400 then regexp_replace(substr(plain, 1, 400), '\\s+\\S*$', '') || '…' else plain end as summary,
 array_to_string(regexp_extract_all(plain, '\\S+')[1:20], ' ') || case when len(regexp_extract_all(plain, '\\S+')) > 20 then ' …' else '' end as head from p""",
-    "parse_tags": r"""with t as (select doc_id, list_filter(list_transform(regexp_split_to_array(substr(text, 1, 120), '[\s,]+'),
-  lambda t: substr(regexp_replace(lower(regexp_replace(t, '^#+', '')), '[^\p{L}\p{N}_-]+', '', 'g'), 1, 40)), lambda t: t <> '') as ts from documents)
-select doc_id, coalesce(array_to_string(list_transform(list_filter(list_transform(ts, lambda t, i: {'t': t, 'i': i}), lambda s: list_position(ts, s.t) = s.i), lambda s: s.t)[1:20], ','), '') as tags from t""",
+    "parse_tags": r"""with t as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '[\s,]+'),
+  lambda t: substr(regexp_replace(lower(regexp_replace(t, '^#+', '')), '[^\p{L}\p{N}_-]+', '', 'g'), 1, 40)), lambda t: t <> '') as ts from documents),
+f as (select doc_id, tag, min(pos) as pos from (select doc_id, unnest(ts) as tag, unnest(range(1, len(ts) + 1)) as pos from t) group by all),
+k as (select *, row_number() over (partition by doc_id order by pos) as rn from f),
+j as (select doc_id, string_agg(tag, ',' order by pos) as tags from k where rn <= 20 group by doc_id)
+select d.doc_id, coalesce(j.tags, '') as tags from documents d left join j on j.doc_id = d.doc_id""",
     "search_filter_only": with_views(
         """select user_id, link_id, canonical_url, saved_at from links l where status = 'queued' and exists (select 1 from link_tags t where t.link_id = l.link_id and t.tag = 't3')
 and (canonical_url ilike 'https://example.com/%' or canonical_url ilike 'https://example.com:%' or canonical_url ilike 'https://%.example.com/%' or lower(site_name) = 'example.com')""",
@@ -494,7 +509,7 @@ from (select *, replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp
   '(?i)</?(?:p|div|li|h[1-6]|pre|blockquote|tr|table|ul|ol|section|figure|br)\\b[^>]*>') as pieces from pages),
 b as (select page_id, array_to_string(list_filter(list_transform(pieces, lambda p: {strip_tags_sql('p')}), lambda p: p <> ''), chr(10) || chr(10)) as text from a)
 select page_id, text, len(regexp_extract_all(text, '\\S+')) as words from b""",
-    "feed_parse": r"""with t as (select doc_id, trim(regexp_replace(substr(text, 1, 600), '\s+', ' ', 'g')) as plain, trim(regexp_replace(substr(text, 1, 60), '\s+', ' ', 'g')) as title from documents)
+    "feed_parse": r"""with t as (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as plain, concat_ws(' ', 'Post', doc_id, source) as title from documents)
 select doc_id as feed_id, 'g' || doc_id as guid, 'https://example.com/p/' || doc_id as url, title,
 case when length(plain) > 400 then regexp_replace(substr(plain, 1, 400), '\s+\S*$', '') || '…' else plain end as summary,
 timestamp '2024-01-01 00:30:00' + to_hours(doc_id % 10) as published_at from t""",
@@ -537,8 +552,10 @@ k as (select *, row_number() over (partition by slug order by entry_id) as rn fr
 select slug, count(*) as n, count(case when unsure then 1 end) as unsure, string_agg(title, ' | ' order by rn) filter (where rn <= 3) as examples from k group by slug""",
         "entries",
     ),
-    "settled_budget": """select cast(ts as date) as day, cast(greatest(0, sum(case when event_type = 'error' then 0 else ceil(ceil(value) * 1000 * 8182 / 1000000.0e0) end)) as bigint) as neurons, count(*) as calls
-from events group by 1""",
+    "settled_budget": """with c as (select event_id, ts, cast(ceil(value) as bigint) as asked, case when event_type = 'error' then 0 else cast(ceil(ceil(value) * 1000 * 8182 / 1000000.0e0) as bigint) end as cost from events),
+s as (select event_id, ts as moment, 0 as o, asked as d from c union all select event_id, ts + interval 30 minute, 1, cost - asked from c),
+p as (select cast(moment as date) as day, o, d, sum(d) over (partition by cast(moment as date) order by moment, o, event_id rows unbounded preceding) as prefix from s)
+select day, cast(sum(d) - least(0, min(prefix)) as bigint) as neurons, count(case when o = 0 then 1 end) as calls from p group by day""",
     "reader_states": with_views(
         f""", both_states as (
   select s.user_id, e.feed_id, s.opened_at, s.dismissed_at from state s join entries e on e.entry_id = s.entry_id union all select user_id, feed_id, opened_at, dismissed_at from history),

@@ -58,7 +58,7 @@ class Views:
         return self.raw("documents").select(
             F.col("doc_id").alias("entry_id"),
             (F.expr("try_cast(substring(source, 4) as bigint)") % N_FEEDS).alias("feed_id"),
-            F.substring_index(F.substring("text", 1, 200), ".", 1).alias("title"),
+            F.substring_index("text", ".", 1).alias("title"),
             F.col("text").alias("content"),
             "lang",
             words(F.col("text")).alias("words"),
@@ -69,8 +69,8 @@ class Views:
 
     @cached_property
     def feeds(self) -> DataFrame:
-        """Feeds, with the state of their last poll."""
-        return self.spark.range(N_FEEDS).select(
+        """Feeds, with the state of their last poll; nobody follows the last one."""
+        return self.spark.range(N_FEEDS + 1).select(
             F.col("id").alias("feed_id"),
             F.concat(F.lit("https://feed"), F.col("id").cast("string"), F.lit(".example.com/rss")).alias("url"),
             F.when(F.col("id") % 3 != 0, F.concat(F.lit("Feed "), F.col("id").cast("string"))).alias("title"),
@@ -87,6 +87,7 @@ class Views:
             "feed_id",
             F.when(F.col("feed_id") % 4 != 0, F.concat(F.lit("f"), (F.col("feed_id") % 4).cast("string"))).alias("folder"),
             F.when((F.col("user_id") + F.col("feed_id")) % 7 == 0, F.lit("Renamed")).alias("title_override"),
+            minutes_after("2024-01-01 00:00:00", "(user_id * 37 + feed_id * 101) % 30000").alias("followed_at"),
         )
 
     @cached_property
@@ -145,6 +146,18 @@ class Views:
             )
         )
 
+    @cached_property
+    def link_predictions(self) -> DataFrame:
+        """Predictions of a third of the saved pages, some of them failed."""
+        k = F.col("link_id")
+        late = F.expr(f"timestamp_ntz'{NOW}' - make_dt_interval(0, 0, cast(link_id % 300 as int), 0)")
+        return self.links.where("link_id % 3 = 1").select("user_id", "link_id", F.when(k % 2 == 0, F.lit("unreadable")).alias("error"), (k % 4).alias("attempts"), late.alias("updated_at"))
+
+    @cached_property
+    def link_categories(self) -> DataFrame:
+        """The saved pages that have a category."""
+        return self.links.where("link_id % 4 = 2").select("user_id", "link_id")
+
     @cached_property
     def links(self) -> DataFrame:
         """Saved pages."""
@@ -242,7 +255,7 @@ CTES = {
     "k_users": ("select count(distinct user_id) as n from events", ()),
     "users": ("select distinct user_id from events", ()),
     "entries": (
-        f"""select doc_id as entry_id, try_cast(substr(source, 4) as bigint) % {N_FEEDS} as feed_id, split_part(substr(text, 1, 200), '.', 1) as title,
+        f"""select doc_id as entry_id, try_cast(substr(source, 4) as bigint) % {N_FEEDS} as feed_id, split_part(text, '.', 1) as title,
         text as content, lang, len(regexp_extract_all(text, '\\S+')) as words,
         timestamp '2023-12-01' + to_minutes((doc_id * 7919) % 89280) as created_at,
         case when doc_id % 11 <> 0 then timestamp '2023-12-01' + to_minutes((doc_id * 7919) % 89280) end as published_at,
@@ -251,12 +264,13 @@ CTES = {
     ),
     "feeds": (
         f"""select range as feed_id, 'https://feed' || range || '.example.com/rss' as url, case when range % 3 <> 0 then 'Feed ' || range end as title,
-        case when range % 5 <> 0 then timestamp '{NOW}' + to_minutes((range * 37) % 120 - 60) end as next_fetch_at, range % 4 as error_count from range({N_FEEDS})""",
+        case when range % 5 <> 0 then timestamp '{NOW}' + to_minutes((range * 37) % 120 - 60) end as next_fetch_at, range % 4 as error_count from range({N_FEEDS + 1})""",
         (),
     ),
     "subs": (
         f"""select user_id, range as feed_id, case when range % 4 <> 0 then 'f' || (range % 4) end as folder,
-        case when (user_id + range) % 7 = 0 then 'Renamed' end as title_override from users, range({N_FEEDS}) where (user_id + range) % 3 <> 0""",
+        case when (user_id + range) % 7 = 0 then 'Renamed' end as title_override,
+        timestamp '2024-01-01' + to_minutes((user_id * 37 + range * 101) % 30000) as followed_at from users, range({N_FEEDS}) where (user_id + range) % 3 <> 0""",
         ("users",),
     ),
     "actions": ("select user_id, (user_id * 31 + event_id % 20) % n as entry_id, event_type, ts as stamp, event_id, value from events, k_docs", ("k_docs",)),
@@ -288,6 +302,11 @@ CTES = {
         from (select *, timestamp '2024-01-01' + to_minutes((page_id * 7919) % 44640) as saved_at from pages), k_users, (select n as d from k_docs)""",
         ("k_users", "k_docs"),
     ),
+    "link_predictions": (
+        f"""select user_id, link_id, case when link_id % 2 = 0 then 'unreadable' end as error, link_id % 4 as attempts, {_ago('link_id % 300')} as updated_at from links where link_id % 3 = 1""",
+        ("links",),
+    ),
+    "link_categories": ("select user_id, link_id from links where link_id % 4 = 2", ("links",)),
     "link_tags": (
         """select page_id as link_id, unnest(list_distinct(list_filter(['t' || (page_id % 7), 'u' || (page_id % 60), regexp_extract(url, '://[^/]+/([a-z]{2})/', 1)],
         lambda t: t <> ''))) as tag from pages""",

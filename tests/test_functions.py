@@ -61,6 +61,15 @@ def test_schedule(spark):
     assert values(spark, [3000, 1_000_000], lambda t: jobs.neurons(t, "small"), "long") == [25, 8182]
 
 
+def test_rules_of_jobs(spark):
+    from quire.operators import upkeep
+
+    df = spark.createDataFrame([(["topic", "topic", "topic-2", "other", "topic", "other"],), ([],)], "s array<string>")
+    assert [r.f for r in df.select(upkeep.free_slugs(F.col("s")).alias("f")).collect()] == [["topic", "topic-2", "topic-2-2", "other-2", "topic-3", "other-3"], []]
+    picked = values(spark, ["a", "ab", ""], lambda q: F.array_max(jobs.stub_probabilities(q, ["x", "y", "z"]))["slug"])
+    assert picked == [["x", "y", "z"][n % 3] for n in (97, 97 + 98, 0)]
+
+
 def test_ranking(spark):
     rows = spark.createDataFrame([(0.8, 3), (None, 0)], "p double, days int")
     date = F.expr("timestamp_ntz'2024-02-01 00:00:00' - make_dt_interval(days, 0, 0, 0)")
@@ -80,10 +89,27 @@ def test_placement(spark):
 
 
 def test_search_language():
-    q = search.parse_search('boring tech tag:Architecture site:https://www.mcf.com/x is:done "two words" -rewrite #go is:zzz foo:bar -"no way"')
-    assert (q.terms, q.phrases, q.excluded) == (["boring", "tech", "foo:bar"], ["two words"], ["rewrite", "no way"])
-    assert (q.tags, q.sites, q.states) == (["architecture", "go"], ["mcf.com"], ["archived"])
-    assert search.parse_search("-x").is_empty and search.match_text(search.parse_search("tag:a -x")) is None and search.match_text(search.parse_search("!!!")) is None
+    """Each rule on its own, then several in one search."""
+    for text, field, expected in (
+        ("slow cooking", "terms", ["slow", "cooking"]),
+        ("8:30 key:val", "terms", ["8:30", "key:val"]),
+        ('"  deep sea  " ""', "phrases", ["deep sea"]),
+        ('-"loud noise" -raw', "excluded", ["loud noise", "raw"]),
+        ("TAG:#Jazz #Blues tag:jazz", "tags", ["jazz", "blues"]),
+        ("site:HTTPS://www.Example.ORG/path site:example.org", "sites", ["example.org"]),
+        ("is:reference IS:queue is:unknown is:ref", "states", ["ref", "queued"]),
+        ("-site:a.example", "excluded", ["site:a.example"]),
+        ('"open end', "terms", ['"open', "end"]),
+        ("- # tag:", "terms", ["-", "#", "tag:"]),
+    ):
+        assert getattr(search.parse_search(text), field) == expected, text
+    q = search.parse_search('wine tag:red "old vines" -corked is:finished')
+    assert (q.terms, q.phrases, q.excluded, q.tags, q.states) == (["wine"], ["old vines"], ["corked"], ["red"], ["archived"])
+    assert search.match_text(q) == (["wine"], ["old vines"], ["corked"])
+    assert search.match_text(search.parse_search("rock&roll it's")) == (["rock", "roll", "it's"], [], [])
+    for text in ("-corked", "tag:red -corked", "+++"):
+        assert search.match_text(search.parse_search(text)) is None
+    assert search.parse_search(" -corked ").is_empty and not search.parse_search("tag:red").is_empty
 
 
 @pytest.mark.parametrize(
@@ -99,9 +125,13 @@ def test_library_search(spark):
     from quire.plans.views import Views
 
     v = Views(spark, "/root/testdata/sf0.001")
-    assert search.library_search(v, "is:queued").count() == min(50, v.links.where("status = 'queued'").count())
-    found = search.library_search(v, "the -zzzz").collect()
-    assert [r.score for r in found] == sorted((r.score for r in found), reverse=True)
+    user = v.links.where("status = 'queued'").first().user_id
+    newest = search.library_search(v, user, "is:queued").collect()
+    assert [r.id for r in newest] == [r.link_id for r in v.links.where("status = 'queued'").where(F.col("user_id") == user).orderBy(F.desc("saved_at"), F.desc("link_id")).limit(50).collect()]
+    owners = {r.link_id: r.user_id for r in v.links.collect()}
+    for who in list(dict.fromkeys(owners.values()))[:2]:
+        found = search.library_search(v, who, "the -zzzz").collect()
+        assert [r.score for r in found] == sorted((r.score for r in found), reverse=True) and all(owners[r.id] == who for r in found)
     assert search.snippet("one two three four five", ["three"], 3) == "one two \x01three\x02…"
 
 
