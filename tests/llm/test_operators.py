@@ -571,53 +571,58 @@ def test_copies_do_not_enlarge_the_sample(spark):
 # ---- op10
 
 
-def test_scoring(spark, docs, no_docs):
-    good = docs.where("doc_id between 60 and 90")
-    got = {r.doc_id: r for r in perplexity.score_like(docs, good.select("doc_id")).collect()}
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    chosen = [texts[i] for i in range(60, 91)]
-    everything = [r.text for r in docs.collect()]
-    import pyarrow as pa
-
-    def units(text):
-        return [x for _, _, bucket, _ in perplexity.buckets(pa.array([text], pa.string())) for x in bucket.tolist()]
-
-    total = Counter(x for t in everything for x in units(t))
-    counts = np.zeros(1 << perplexity.VOCABULARY_BITS, np.int64)
-    for x, n in total.items():
-        counts[x] = n
-    classes = perplexity.word_classes(counts)
-
-    def model(corpus):
-        words, pairs = Counter(), Counter()
-        for t in corpus:
-            before = perplexity.CLASSES
-            for x in units(t):
-                words[x] += 1
-                pairs[before, int(classes[x])] += 1
-                before = int(classes[x])
-        return words, pairs
-
-    size = np.bincount(classes, minlength=perplexity.CLASSES)
-
-    def loss(text, words, pairs):
-        in_class, after = Counter(), Counter()
-        for x, n in words.items():
-            in_class[int(classes[x])] += n
-        for (a, _), n in pairs.items():
-            after[a] += n
-        all_words, out, before, n = sum(words.values()), 0.0, perplexity.CLASSES, 0
-        for x in units(text):
-            c = int(classes[x])
-            usual = (in_class[c] + 1) / (all_words + perplexity.CLASSES)
-            out -= np.log((words[x] + 1) / (in_class[c] + size[c])) + np.log((pairs[before, c] + 64 * usual) / (after[before] + 64))
-            before, n = c, n + 1
-        return out / n
-
-    target, background = model(chosen), model(everything)
-    for i in (3, 40, 65, 104, 203, 206):
-        assert abs(got[i].target_loss - loss(texts[i], *target)) < 1e-3 and abs(got[i].background_loss - loss(texts[i], *background)) < 1e-3
-        assert abs(got[i].score - (got[i].target_loss - got[i].background_loss)) < 1e-9
-    assert got[200].n_tokens == 0 and got[200].score is None and got[201].score is None
-    assert np.mean([got[i].score for i in range(60, 91)]) < np.mean([got[i].score for i in range(0, 60)])
-    assert perplexity.score_like(no_docs, good.select("doc_id")).count() == 0
+def brute_scores(texts, chosen):
+    """By row (n, target loss, background loss) in plain Python: texts by row, the rows of the target."""
+    from math import log
+
+    said = [re.findall(r"[^\W_]+", (t or "").lower()) for t in texts]
+
+    def counted(rows):
+        words, pairs, starts = Counter(), Counter(), 0
+        for r in rows:
+            words.update(said[r])
+            pairs.update(zip(["<s>", *said[r]], said[r], strict=False))
+            starts += bool(said[r])
+        return words, pairs, starts
+
+    models = [counted(chosen), counted(range(len(texts)))]
+    size = len(set().union(*said)) + 1
+    out = []
+    for r, words in enumerate(said):
+        loss = []
+        for k, (c, p, starts) in enumerate(models):
+            own = counted([r]) if k or r in chosen else (Counter(), Counter(), 0)
+            total, n = 0.0, sum(c.values()) - sum(own[0].values())
+            for v, w in zip(["<s>", *words], words, strict=False):
+                before = starts - own[2] if v == "<s>" else c[v] - own[0][v]
+                one = (c[w] - own[0][w] + perplexity.ALPHA) / (n + perplexity.ALPHA * size)
+                two = (p[v, w] - own[1][v, w] + perplexity.MU / size) / (before + perplexity.MU)
+                total -= (log(one) + log(two)) / 2
+            loss.append(total / len(words) if words else None)
+        out.append((len(words), *loss))
+    return out
+
+
+@pytest.mark.parametrize("share", [1 << 14, 20])
+def test_scoring(spark, docs, clashing, no_docs, monkeypatch, share):
+    monkeypatch.setattr(perplexity, "HOT_SHARE", share)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    expected = brute_scores([t for _, t in rows], {k for k, (i, _) in enumerate(rows) if i is not None and 60 <= i <= 90})
+    good = spark.createDataFrame([(i,) for i in range(60, 91)] + [(60,), (None,)], "doc_id long")
+    got = perplexity.score_like(clashing, good).collect()
+    assert len(got) == len(rows)
+    by_id = defaultdict(list)
+    for (i, _), e in zip(rows, expected, strict=True):
+        by_id[i].append(e)
+    for r in got:
+        n, a, b = by_id[r.doc_id][0]
+        assert r.n_tokens == n
+        if n:
+            assert abs(r.target_loss - a) < 1e-3 and abs(r.background_loss - b) < 1e-3 and abs(r.score - (r.target_loss - r.background_loss)) < 1e-9
+        else:
+            assert r.target_loss is None and r.background_loss is None and r.score is None
+    mean = lambda ids: np.mean([r.score for r in got if r.doc_id in ids])
+    assert mean(range(60, 91)) < mean(range(0, 60))
+    assert perplexity.score_like(no_docs, good).count() == 0
+    alone = perplexity.score_like(docs, good.limit(0)).collect()
+    assert len(alone) == len(rows) and all(r.target_loss is not None for r in alone if r.n_tokens)
