@@ -46,9 +46,9 @@ START = np.uint64(0x5BF03635F0935AD1)
 BUCKET_BYTES = 32 << 20  # text for which there is one bucket
 FEWEST_BITS = 4
 HOT_SHARE = 1 << 14  # a word or pair is looked up in place if it makes more than this part of all tokens
-HELD = 1 << 20  # keys that a task adds up at once
+HELD = 1 << 22  # keys that a task adds up at once
 UNIT = float(1 << 20)  # losses are whole numbers of this part of a nat
-WORDS, PAIRS = 1, 2
+WORDS, PAIRS, LOCAL = 1, 2, 3
 
 
 @dataclass(frozen=True)
@@ -73,14 +73,24 @@ def units(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Whole numbers in the fewest bytes that hold the largest."""
+    """Whole numbers in the fewest bytes that hold the largest, their bytes by place, so that empty places compress away."""
     kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(values) or values.max() <= np.iinfo(t).max)
-    return np.uint8(np.dtype(kind).itemsize).tobytes() + values.astype(kind).tobytes()
+    width = np.dtype(kind).itemsize
+    return np.uint8(width).tobytes() + values.astype(kind).view(np.uint8).reshape(-1, width).T.tobytes()
 
 
 def unpacked(blob: pa.Scalar) -> np.ndarray:
-    data = blob.as_buffer()
-    return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.uint64)
+    data = np.frombuffer(blob.as_buffer(), np.uint8)
+    return np.ascontiguousarray(data[1:].reshape(int(data[0]), -1).T).view(f"u{data[0]}").ravel().astype(np.uint64)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys, as the steps between them."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(blob: pa.Scalar) -> np.ndarray:
+    return np.cumsum(unpacked(blob), dtype=np.uint64)
 
 
 def added(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -111,7 +121,7 @@ def count_rows(df: DataFrame, text_col: str, bits: int, side: int) -> DataFrame:
             full = np.flatnonzero(np.diff(at))
             short = low(keys, bits)
             columns = [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), kind, np.int32)), pa.array(np.full(len(full), side, np.int32))]
-            columns += [pa.array([packed(x[at[b] : at[b + 1]]) for b in full], pa.binary()) for x in (short, counts)]
+            columns += [pa.array([pack(x[at[b] : at[b + 1]]) for b in full], pa.binary()) for x, pack in ((short, packed_keys), (counts, packed))]
             yield pa.RecordBatch.from_arrays(columns, ["bucket", "kind", "side", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,13 +148,13 @@ def train(target: DataFrame, background: DataFrame, tables: Tables, text_col: st
 
     def merge(table: pa.Table) -> pa.Table:
         sides = table["side"].to_numpy()
-        keys, counts = ([unpacked(x) for x in table[c]] for c in ("keys", "counts"))
+        keys, counts = [unpacked_keys(x) for x in table["keys"]], [unpacked(x) for x in table["counts"]]
         of = [np.concatenate([c if s == side else np.zeros(len(c), np.uint64) for c, s in zip(counts, sides, strict=True)]) for side in (0, 1)]
         keys, *both = added(np.concatenate(keys), *of)
         bucket, kind = table["bucket"][0].as_py(), table["kind"][0].as_py()
         words = (keys != mine[0]) | (bucket != mine[1]) if kind == WORDS else np.zeros(len(keys), bool)
         sums = [[int(b[words].sum()), int(b[~words].sum()) if kind == WORDS else 0] for b in both]
-        made = {"bucket": [bucket], "kind": [kind], "keys": [packed(keys)], "target": [packed(both[0])], "background": [packed(both[1])]}
+        made = {"bucket": [bucket], "kind": [kind], "keys": [packed_keys(keys)], "target": [packed(both[0])], "background": [packed(both[1])]}
         return pa.table(made | {"words": [int(words.sum())], "n0": [sums[0][0]], "d0": [sums[0][1]], "n1": [sums[1][0]], "d1": [sums[1][1]]}, schema=schema)
 
     schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("target", pa.binary()), ("background", pa.binary()), *[(c, pa.int64()) for c in ("words", "n0", "d0", "n1", "d1")]])
@@ -157,7 +167,7 @@ def train(target: DataFrame, background: DataFrame, tables: Tables, text_col: st
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket, kind, keys, a, b in zip(*(batch.column(c) for c in range(5)), strict=True):
-                keys, a, b = (unpacked(x) for x in (keys, a, b))
+                keys, a, b = unpacked_keys(keys), unpacked(a), unpacked(b)
                 whole = (np.uint64(bucket.as_py()) << np.uint64(64 - bits)) | (keys << np.uint64(32 - bits))
                 some = (a + b > least) | ((keys == mine[0]) & (bucket.as_py() == mine[1]) & (kind.as_py() == WORDS))
                 columns = [pa.array(np.full(some.sum(), kind.as_py(), np.int32)), *[pa.array(x[some].view(np.int64)) for x in (whole, a, b)]]
@@ -201,10 +211,11 @@ def sums_by(owner: np.ndarray, n: int, kind: int, own: np.ndarray, said: np.ndar
 
 
 SUMS = ["t", "t_left", "b", "b_left"]
-SENT = ["bucket", "kind", "texts", "keys", "places", "owns", "key", "n", *SUMS]
+SENT = ["bucket", "kind", "texts", "keys", "places", "owns"]
+FOUND = ["key", "n", "rows", *SUMS]
 
 
-def losses(docs: DataFrame, models: Models, text_col: str, tables: Tables) -> DataFrame:
+def losses(docs: DataFrame, models: Models, text_col: str) -> DataFrame:
     """(key, n, rows, t, t_left, b, b_left) of each different row key: tokens, rows and sums, those times the number of rows."""
     bits, vocabulary = models.bits, models.vocabulary
     hot = docs.sparkSession.sparkContext.broadcast(models.hot)
@@ -247,40 +258,54 @@ def losses(docs: DataFrame, models: Models, text_col: str, tables: Tables) -> Da
                     for b in np.flatnonzero(np.diff(at)):
                         some = slice(at[b], at[b + 1])
                         texts, place = np.unique(row[some], return_inverse=True)
-                        blobs = [packed(low(key[some], bits)), packed(place.astype(np.uint64)), packed(own[some] * np.uint64(2) + (last_word[some] if kind == WORDS else np.uint64(0)))]
+                        blobs = [packed_keys(low(key[some], bits)), packed(place.astype(np.uint64)), packed(own[some] * np.uint64(2) + (last_word[some] if kind == WORDS else np.uint64(0)))]
                         made.append([int(b), kind, names[texts].tobytes(), *blobs])
-                    cold = list(zip(*made, strict=True)) or [[] for _ in range(6)]
-                    empty = [pa.nulls(len(cold[0]), pa.int64()) for _ in range(6)]
-                    yield pa.RecordBatch.from_arrays([pa.array(cold[0], pa.int32()), pa.array(cold[1], pa.int32()), *[pa.array(x, pa.binary()) for x in cold[2:]], *empty], SENT)
-                nothing = [pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([*nothing, batch.column(0).slice(first, n), pa.array(np.bincount(rows, minlength=n).astype(np.int64)), *map(pa.array, local)], SENT)
-
-    sent = tables.keep(docs.select("key", text_col).mapInArrow(run, "bucket int, kind int, texts binary, keys binary, places binary, owns binary, key long, n long, " + ", ".join(f"{c} long" for c in SUMS)), "sent")
+                    yield sent_rows(made)
+                # what was looked up here goes to a bucket by the row's key
+                counts = np.bincount(rows, minlength=n)
+                home = (names >> np.uint64(64 - bits)).astype(np.int64)
+                made = []
+                for b in np.unique(home):
+                    some = np.flatnonzero(home == b)
+                    made.append([int(b), LOCAL, names[some].tobytes(), packed(counts[some].astype(np.uint64)), np.stack([x[some] for x in local]).tobytes(), b""])
+                yield sent_rows(made)
+
+    def sent_rows(made: list[list]) -> pa.RecordBatch:
+        columns = list(zip(*made, strict=True)) or [()] * len(SENT)
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in columns[:2]), *(pa.array(x, pa.binary()) for x in columns[2:])], SENT)
+
+    sent = docs.select("key", text_col).mapInArrow(run, "bucket int, kind int, texts binary, keys binary, places binary, owns binary")
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table([pa.array([], pa.int64()) for _ in FOUND], names=FOUND)
+        kind = left["kind"][0].as_py()
+        if kind == LOCAL:
+            who = [np.frombuffer(x.as_buffer(), np.int64) for x in left["texts"]]
+            counts = np.concatenate([unpacked(x) for x in left["keys"]]).astype(np.int64)
+            sums = np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(len(SUMS), -1) for x in left["places"]], axis=1)
+            keys, *values = added(np.concatenate(who), counts, np.ones(len(counts), np.int64), *sums)
+            return pa.table([pa.array(keys), *map(pa.array, values)], names=FOUND)
         if right.num_rows:
-            keys, a, b = (unpacked(right[c][0]) for c in ("keys", "target", "background"))
+            keys, a, b = unpacked_keys(right["keys"][0]), unpacked(right["target"][0]), unpacked(right["background"][0])
         else:
             keys = a = b = np.zeros(0, np.uint64)
         table = np.stack([keys, a, b])
         texts, totals = [], [[] for _ in SUMS]
         for names, keys, places, owns in zip(*(left[c] for c in ("texts", "keys", "places", "owns")), strict=True):
             who = np.frombuffer(names.as_buffer(), np.int64)
-            keys, places, owns = unpacked(keys), unpacked(places).astype(np.int64), unpacked(owns)
+            keys, places, owns = unpacked_keys(keys), unpacked(places).astype(np.int64), unpacked(owns)
             own = owns >> np.uint64(1)
             at, known = found(table, keys)
             counts = tuple(np.where(known, table[c][at], 0) if table.shape[1] else np.zeros(len(keys), np.uint64) for c in (1, 2))
-            kind = left["kind"][0].as_py()
             for out, x in zip(totals, sums_by(places, len(who), kind, own, own, own - (owns & np.uint64(1)), counts, vocabulary), strict=True):
                 out.append(x)
             texts.append(who)
         keys, *sums = added(np.concatenate(texts), *map(np.concatenate, totals))
-        return pa.table([pa.array(keys), *map(pa.array, sums)], names=["key", *SUMS])
+        zeros = pa.array(np.zeros(len(keys), np.int64))
+        return pa.table([pa.array(keys), zeros, zeros, *map(pa.array, sums)], names=FOUND)
 
-    cold = sent.where("bucket is not null").select("bucket", "kind", "texts", "keys", "places", "owns")
-    far = cold.groupBy("bucket", "kind").cogroup(models.counts.groupBy("bucket", "kind")).applyInArrow(look_up, "key long, " + ", ".join(f"{c} long" for c in SUMS))
-    near = sent.where("bucket is null").select("key", "n", F.lit(1).cast("long").alias("rows"), *SUMS)
-    every = near.unionByName(far.select("key", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("rows"), *SUMS))
+    every = sent.groupBy("bucket", "kind").cogroup(models.counts.groupBy("bucket", "kind")).applyInArrow(look_up, ", ".join(f"{c} long" for c in FOUND))
     return every.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "rows", *SUMS)])
 
 
@@ -305,7 +330,7 @@ def score_like(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", t
     # a merge join at every size: the ids are not broadcast just because a corpus is small
     target = tables.keep(some.join(wanted.hint("merge"), "id", "left_semi").select("text"), "target")
     models = train(target, rows.select("text"), tables)
-    known = tables.keep(losses(rows, models, "text", tables), "losses")
+    known = tables.keep(losses(rows, models, "text"), "losses")
 
     own = F.col("mine").isNotNull()
     n = (F.col("n") / F.col("rows")).cast("double")
