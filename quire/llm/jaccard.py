@@ -227,8 +227,11 @@ def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     rows, sets = linked(docs, size, percent, id_col, text_col, nameless=True)
     member = rows.where("n_shingles > 0").join(sets.select("set", "root"), "set").select("root", "row", F.struct(F.col("doc").isNull().alias("last"), "doc", "row").alias("place"))
     stays = member.groupBy("root").agg(F.min("place")["row"].alias("stays"))
-    gone = member.join(stays, "root").where("row <> stays").select("row").distinct()
+    # written, so that Spark knows their true sizes when it chooses the joins: few rows go and fewer repeat
+    tables = Tables(docs.sparkSession, "first")
     row = unused("row", docs)
-    # merged at every size: the rows are then dealt by their hash already when the repeated ones go
-    left = docs.withColumn(row, F.xxhash64(id_col, text_col)).join(gone.withColumnRenamed("row", row).hint("merge"), row, "left_anti")
-    return left.dropDuplicates([row]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = tables.keep(member.join(stays, "root").where("row <> stays").select(F.col("row").alias(row)).distinct(), "gone")
+    repeated = tables.keep(rows.groupBy(F.col("row").alias(row)).agg(F.count("*").alias("n")).where("n > 1").select(row), "repeated")
+    left = docs.withColumn(row, F.xxhash64(id_col, text_col)).join(gone, row, "left_anti")
+    once = left.join(repeated, row, "left_anti").unionByName(left.join(repeated, row, "left_semi").dropDuplicates([row]))
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])

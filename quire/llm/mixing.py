@@ -12,7 +12,8 @@ rows in proportion to the target, never to the square of a group.
 Defined results: a null source is a source of its own; sources without a stated weight get the share
 ``rest`` (default: none of them is kept when weights are given, all equal when none are); a null or
 empty text has size 0; a source of size 0 in all keeps each document once; no documents, no rows;
-repeated rows are drawn alike; extra columns stay, ``copy`` and ``mix_key`` are replaced.
+repeated rows are drawn alike, as are rows of equal or null ids in one source; equal order keys (rows of equal ids) are not
+ordered further; extra columns stay, ``copy`` and ``mix_key`` are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.store import Tables
+from quire.llm.store import Tables, unused
 
 NO_SOURCE = "\x00null"
 MAX_RATE = 500.0
@@ -57,7 +58,7 @@ def poisson_count(seed: Column, key: Column, rate: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, rest: float = 0.0, source: str = "source", text: str = "text") -> DataFrame:
-    """(source, rate) of every source: the mean number of copies of each of its documents."""
+    """(source, rate) of every source: the mean number of copies of each of its documents, null without any text."""
     name = F.coalesce(F.col(source), F.lit(NO_SOURCE))
     sizes = docs.groupBy(name.alias("__source")).agg(F.sum(F.coalesce(F.length(text), F.lit(0)).cast("long")).alias("size"))
     if weights is None:
@@ -66,7 +67,8 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, rest: flo
         share = F.coalesce(F.create_map(*[x for k, w in weights.items() for x in (F.lit(k), F.lit(float(w)))])[F.col("__source")], F.lit(float(rest)))
     shares = sizes.withColumn("share", share)
     total, all_shares = (shares.agg(F.sum(c)).scalar() for c in ("size", "share"))
-    rate = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(F.col("share") * total / (all_shares * F.col("size")))
+    # no rate for a source without text: it is kept as it is
+    rate = F.when(F.col("size") > 0, F.col("share") * total / (all_shares * F.col("size")))
     return shares.select("__source", rate.alias("__rate"))
 
 
@@ -75,10 +77,12 @@ def replicate(
 ) -> DataFrame:
     """Every document as often as drawn, with ``copy`` (from 0) and ``mix_key``; not yet in shuffled order."""
     known = Tables(docs.sparkSession, "mix").keep(rates(docs, weights, rest, source, text), "rates")
-    rated = docs.withColumn("__source", F.coalesce(F.col(source), F.lit(NO_SOURCE))).join(known, "__source")
-    count = poisson_count(F.lit(seed), F.col(key), F.col("__rate"))
-    drawn = rated.withColumn("__count", count).where("__count > 0").drop("__source", "__rate", "copy", "mix_key")
-    copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__count") - 1))).drop("__count")
+    name, rate, times = (unused(c, docs) for c in ("source_name", "rate", "times"))
+    known = known.select(F.col("__source").alias(name), F.col("__rate").alias(rate))
+    rated = docs.withColumn(name, F.coalesce(F.col(source), F.lit(NO_SOURCE))).join(known, name)
+    count = F.when(F.col(rate).isNull(), 1).otherwise(poisson_count(F.lit(seed), F.col(key), F.coalesce(rate, F.lit(0.0))))
+    drawn = rated.withColumn(times, count).where(F.col(times) > 0).drop(name, rate, "copy", "mix_key")
+    copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(times) - 1))).drop(times)
     order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col("copy").cast("string")).cast("binary"))
     return copies.withColumn("mix_key", order)
 

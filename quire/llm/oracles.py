@@ -41,10 +41,10 @@ select doc_id, item_id, cast(max(matched) as int) as matched from c where matche
 UNIFORM = "((('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, 'null') || ':1'), 1, 13))::bigint)::double + 0.5e0) / 4503599627370496.0e0"
 
 MIXING = f"""with recursive sizes as (select coalesce(source, '{NO_SOURCE.encode('unicode_escape').decode()}') as s, sum(length(coalesce(text, ''))) as size from documents group by 1),
-rates as (select s, case when size = 0 then 1.0e0 else 1.0e0 * (select sum(size) from sizes) / ((select sum(1.0e0) from sizes) * size) end as rate from sizes),
+rates as (select s, 1.0e0 * (select sum(size) from sizes) / ((select sum(1.0e0) from sizes) * size) as rate from sizes where size > 0),
 cdf as (select s, rate, 0 as k, exp(-rate) as p, exp(-rate) as c from rates
   union all select s, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) from cdf where k < rate + 12 * sqrt(rate) + 30),
-drawn as (select doc_id, source, (select count(*) from cdf where cdf.s = coalesce(d.source, '{NO_SOURCE.encode('unicode_escape').decode()}') and cdf.c < {UNIFORM}) as n from documents d)
+drawn as (select doc_id, source, case when not exists (select 1 from rates where rates.s = coalesce(d.source, '{NO_SOURCE.encode('unicode_escape').decode()}')) then 1 else (select count(*) from cdf where cdf.s = coalesce(d.source, '{NO_SOURCE.encode('unicode_escape').decode()}') and cdf.c < {UNIFORM}) end as n from documents d)
 select doc_id, source, cast(copy as int) as copy, md5('mix:' || coalesce(doc_id::varchar, 'null') || ':' || copy) as mix_key from (select doc_id, source, unnest(range(0, n)) as copy from drawn)"""
 
 JACCARD = rf"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),

@@ -330,13 +330,14 @@ def listed(spans: Column) -> Column:
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts of the base spans by kind, their hash, all spans as text, and how many the model added."""
-    def count(kind: str) -> Column:
-        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    """Counts of the base spans by kind, their hash, all spans as text, how many the model added, and all spans by kind."""
+    def count(kind: str, spans: str, name: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"{name}_{kind}")
 
-    counts = [count(k) for k in BASE_KINDS]
+    counts = [count(k, "base", "n") for k in BASE_KINDS]
+    every = [F.size("spans").cast("long").alias("n_spans"), *[count(k, "spans", "all") for k in KINDS]]
     added = (F.size("spans") - F.size("base")).cast("long").alias("n_added")
-    return found.select(id_col, *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), added)
+    return found.select(id_col, *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), added, *every)
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.store import unused
+
 ROWS_PER_BUCKET = 20_000
 
 
@@ -40,11 +42,12 @@ def assign(df: DataFrame, weights: Sequence[float], key: str = "doc_id", grown:
     """Add ``shard``, and ``grown_shard`` if one more shard of weight ``grown`` were there.  No shuffle."""
     if not weights or min(weights) <= 0 or (grown is not None and grown <= 0):
         raise ValueError("shard weights must be positive")
-    out = df.withColumn("__taken", cheapest(F.col(key), weights)).withColumn("shard", F.col("__taken.shard"))
+    taken = unused("taken", df)
+    out = df.withColumn(taken, cheapest(F.col(key), weights)).withColumn("shard", F.col(f"{taken}.shard"))
     if grown is not None:
         new = cost(F.col(key), F.lit(len(weights)), F.lit(float(grown)))
-        out = out.withColumn("grown_shard", F.when(new < F.col("__taken.cost"), F.lit(len(weights))).otherwise(F.col("shard")))
-    return out.drop("__taken")
+        out = out.withColumn("grown_shard", F.when(new < F.col(f"{taken}.cost"), F.lit(len(weights))).otherwise(F.col("shard")))
+    return out.drop(taken)
 
 
 def slots(df: DataFrame, order: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -53,17 +56,14 @@ def slots(df: DataFrame, order: Sequence[str], rows_per_bucket: int = ROWS_PER_B
     The number of buckets follows the row count, so a task numbers about ``rows_per_bucket`` rows.
     """
     buckets = max(1, df.count() // rows_per_bucket)
-    rows = df.withColumn("__bucket", F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(buckets)).cast("int"))
-    counts = rows.groupBy("shard", "__bucket").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("shard", "__bucket").orderBy(*order))
-    return (
-        rows.withColumn("__rank", rank)
-        .join(offsets, ["shard", "__bucket"])
-        .withColumn("slot", F.col("__before") + F.col("__rank") - 1)
-        .drop("__bucket", "__rank", "__before")
-    )
+    bucket, before, rank = (unused(c, df) for c in ("bucket", "before", "rank"))
+    rows = df.withColumn(bucket, F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(buckets)).cast("int"))
+    counts = rows.groupBy("shard", bucket).agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("shard", bucket, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))
+    place = F.row_number().over(Window.partitionBy("shard", bucket).orderBy(*order))
+    numbered = rows.withColumn(rank, place).join(offsets, ["shard", bucket]).withColumn("slot", F.col(before) + F.col(rank) - 1)
+    return numbered.drop(bucket, rank, before)
 
 
 def digest(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

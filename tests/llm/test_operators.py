@@ -444,6 +444,12 @@ def test_mixing(spark, docs, rows, clashing, no_docs):
     assert mixing.mix(no_docs).count() == 0
     keys = [r.mix_key for r in mixing.mix(docs).collect()]
     assert keys == sorted(keys)
+    named = docs.selectExpr("*", "1 as rate", "2 as times", "3 as source_name", "4 as `__rate`", "5 as `__count`", "6 as bucket", "7 as taken")
+    mixed = mixing.mix(named)
+    assert mixed.columns == [*named.columns, "copy", "mix_key"] and Counter(r.doc_id for r in mixed.collect()) == got
+    assert {(r.bucket, r.taken) for r in shards.slots(shards.assign(named, [1.0, 2.0]), ["doc_id"]).collect()} == {(6, 7)}
+    blank = spark.createDataFrame([(k, None, "empty") for k in range(50)] + [(k, "text", "full") for k in range(50, 60)], "doc_id long, text string, source string")
+    assert Counter(r.source for r in mixing.mix(blank).collect())["empty"] == 50
 
 
 def test_mean_counts(spark):
