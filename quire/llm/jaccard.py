@@ -226,9 +226,9 @@ def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     """
     rows, sets = linked(docs, size, percent, id_col, text_col, nameless=True)
     member = rows.where("n_shingles > 0").join(sets.select("set", "root"), "set").select("root", "row", F.struct(F.col("doc").isNull().alias("last"), "doc", "row").alias("place"))
-    stays = member.groupBy("root").agg(F.min("place")["row"].alias("stays"))
-    # written, so that Spark knows their true sizes when it chooses the joins: few rows go and fewer repeat
+    # written, so that Spark knows their true sizes when it chooses the joins (few rows go and fewer repeat) and can split a hot group
     tables = Tables(docs.sparkSession, "first")
+    stays = tables.keep(member.groupBy("root").agg(F.min("place")["row"].alias("stays")), "stays")
     row = unused("row", docs)
     gone = tables.keep(member.join(stays, "root").where("row <> stays").select(F.col("row").alias(row)).distinct(), "gone")
     repeated = tables.keep(rows.groupBy(F.col("row").alias(row)).agg(F.count("*").alias("n")).where("n > 1").select(row), "repeated")
