@@ -64,12 +64,12 @@ def spoken(text: Column, most: int = MAX_UTTERANCE) -> Column:
 def locate(text: Column, quote: Column) -> Column:
     """First character (from 0) of a quotation in a text, white space and case aside; null if it is not there.
 
-    Found in the squeezed text, then carried back: the place is where as many non-blank characters stand before.
+    Found in the squeezed text, then carried back: the place is that of the non-blank character with the same number.
     """
     squeeze = lambda c: F.lower(F.regexp_replace(c, "\\s+", ""))
     at = F.instr(squeeze(text), squeeze(quote)) - 1
-    pattern = F.concat(F.lit("^(?:\\s*\\S){"), at.cast("string"), F.lit("}\\s*"))
-    return F.when((at >= 0) & (squeeze(quote) != ""), F.when(at == 0, F.length(text) - F.length(F.ltrim(text))).otherwise(F.length(F.regexp_substr(text, pattern))))
+    places = F.array_compact(F.transform(F.split(text, ""), lambda c, i: F.when(c.rlike("\\S"), i)))
+    return F.when((at >= 0) & (squeeze(quote) != ""), F.get(places, at))
 
 
 def minutes_left(count: Column, progress: Column, per_minute: int = 230) -> Column:

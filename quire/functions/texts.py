@@ -31,8 +31,27 @@ def is_long(count: Column) -> Column:
     return count >= LONG_READ_WORDS
 
 
+def character(code: Column) -> Column:
+    """The character of a code point."""
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
+def decode_numeric(text: Column) -> Column:
+    """Numeric references by their characters; those of no character stay, and an ampersand becomes a named reference."""
+    pieces = F.regexp_extract_all(text, F.lit("&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});|[^&]+|&"), F.lit(0))
+
+    def decoded(piece: Column) -> Column:
+        digits = F.regexp_replace(piece, "^&#[xX]?|;$", "")
+        code = F.when(piece.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
+        real = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+        return F.when(~piece.rlike("^&#.") | ~F.coalesce(real, F.lit(False)), piece).when(code == 38, "&amp;").otherwise(character(code))
+
+    return F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(pieces, decoded), "")).otherwise(text)
+
+
 def decode_named(text: Column) -> Column:
-    """Named references by their characters; the ampersand last, so that nothing is decoded twice."""
+    """Numeric and named references by their characters; the ampersand last, so that nothing is decoded twice."""
+    text = decode_numeric(text)
     for name, char in ENTITIES.items():
         text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
     return text

@@ -311,3 +311,11 @@ def profile_list(v: Views, which: str, limit: int = 15) -> DataFrame:
     else:
         rows = v.links.where("is_reference").select("user_id", F.lit("link").alias("kind"), F.col("link_id").alias("id"), F.col("starred_at").alias("stamp"))
     return top_per(rows, ["user_id"], [F.desc("stamp"), F.asc("kind"), F.asc("id")], limit)
+
+
+def link_words(v: Views) -> DataFrame:
+    """The length of each link: that of its ready copy, else of its post."""
+    copies = v.archives.where("status = 'ready'").select("link_id", F.col("words").alias("copied"))
+    posts = v.entries.select(F.col("entry_id").alias("source_entry_id"), F.col("words").alias("posted"))
+    rows = v.links.select("user_id", "link_id", "source_entry_id").join(copies, "link_id", "left").join(posts, "source_entry_id", "left")
+    return rows.select("user_id", "link_id", F.coalesce("copied", "posted").alias("words"))

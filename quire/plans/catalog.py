@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions.texts import first_words, strip_tags, strip_tags_sql, summary, tags
 from quire.functions.urls import canonical, canonical_sql, host
 from quire.operators import edits, jobs, reading, upkeep
+from quire.plans import formats
 from quire.plans.views import NOW, Views, with_views
 
 SINCE = "(timestamp '" + NOW + "' - interval '{}' day)"
@@ -646,14 +647,11 @@ select page_id, {canonical_sql('url')} as canonical_url from k""",
     "new_users": """with e as (select 'u' || user_id || '@example.com' as email, ts, event_id from events)
 select email, min(ts) as created_at from e where event_id % 97 >= 3 and email not in (select email from e where event_id % 97 < 3) group by email""",
     "long_posts": with_views("select feed_id, cast(sum(words) as bigint) as words, cast(sum(case when words >= 1035 then words else 0 end) as bigint) as long_words from entries group by feed_id", "entries"),
-    "export_links": with_views(
-        """, ts as (select link_id, string_agg(tag, ' ' order by tag) as tags from link_tags group by link_id)
-select user_id, link_id, url, title, tags, status, is_reference, note, strftime(saved_at, '%Y-%m-%dT%H:%M:%S.000Z') as saved_at from links left join ts using (link_id)""",
-        "links", "link_tags",
-    ),
 }
 
 
+QUERIES.update(formats.QUERIES)
+ORACLES.update(formats.ORACLES)
 ORACLES["dispatch_counts"] = f"select status, coalesce(source, 'none') as source, count(*) as n from ({ORACLES['capture_archives']}) group by all"
 ORACLES["stream_fold_entry_state"] = ORACLES["fold_entry_state"]
 

@@ -174,6 +174,9 @@ class Views:
             F.when(k % 3 == 0, F.lit("archived")).otherwise(F.lit("queued")).alias("status"),
             (k % 4 == 1).alias("is_reference"),
             F.when(k % 6 == 0, F.concat(F.lit("note "), k.cast("string"))).alias("note"),
+            F.when(k % 2 == 1, F.concat(F.lit("Author "), (k % 13).cast("string"))).alias("author"),
+            F.when(k % 3 != 2, F.concat(F.lit('=About "'), (k % 17).cast("string"), F.lit('"'))).alias("description"),
+            F.when(k % 5 == 0, F.lit("feed")).otherwise(F.lit("web")).alias("source"),
             F.when(k % 5 == 0, (k * 3) % self.n_docs).alias("source_entry_id"),
             saved.alias("saved_at"),
             F.when(k % 4 == 1, saved + F.expr("interval '1' hour")).alias("starred_at"),
@@ -295,6 +298,8 @@ CTES = {
         f"""select page_id as link_id, page_id % n as user_id, url, {canonical_sql('url')} as canonical_url, regexp_extract(html, '<title>([^<]*)</title>', 1) as title,
         regexp_extract({canonical_sql('url')}, '^https://([^/]+)/', 1) as site_name, case when page_id % 3 = 0 then 'archived' else 'queued' end as status,
         page_id % 4 = 1 as is_reference, case when page_id % 6 = 0 then 'note ' || page_id end as note,
+        case when page_id % 2 = 1 then 'Author ' || page_id % 13 end as author, case when page_id % 3 <> 2 then '=About "' || page_id % 17 || '"' end as description,
+        case when page_id % 5 = 0 then 'feed' else 'web' end as source,
         case when page_id % 5 = 0 then (page_id * 3) % d end as source_entry_id, saved_at,
         case when page_id % 4 = 1 then saved_at + interval 1 hour end as starred_at, case when page_id % 3 = 0 then saved_at + interval 2 hour end as read_at,
         case when page_id % 2 = 0 then saved_at + interval 30 minute end as opened_at, page_id % 5 as cite_count,

@@ -2,30 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.texts import csv_cell
 from quire.plans.views import Views
 
-CSV_COLUMNS = ("link_id", "url", "title", "tags", "status", "is_reference", "note", "saved_at")
+# The heads of the columns of a CSV export, in order, each with the column that it shows.
+CSV_COLUMNS = {
+    "url": "url", "title": "title", "site": "site", "author": "author", "note": "note", "tags": "tags", "status": "status", "reference": "is_reference", "source": "source",
+    "savedAt": "saved_at", "readAt": "read_at", "starredAt": "starred_at", "description": "description",
+}
+
+
+def iso(at: str) -> Column:
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
 
 
 def link_rows(v: Views) -> DataFrame:
-    """Every link with its tags in order and ISO times."""
+    """Every link with its tags in order and ISO times; ``place`` numbers a user's links from 1, newest saved first."""
     tags = v.link_tags.groupBy("link_id").agg(F.array_join(F.array_sort(F.collect_list("tag")), " ").alias("tags"))
-    iso = F.concat(F.date_format("saved_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".000Z"))
-    return v.links.join(tags, "link_id", "left").select("user_id", "link_id", "url", "title", "tags", "status", "is_reference", "note", iso.alias("saved_at"))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("saved_at"), F.desc("link_id"))).cast("long")
+    return v.links.join(tags, "link_id", "left").select(
+        "user_id", place.alias("place"), "link_id", "url", "title", F.col("site_name").alias("site"), "author", "description", "note", "tags", "status", "is_reference", "source",
+        *[iso(c).alias(c) for c in ("saved_at", "read_at", "starred_at")],
+    )
 
 
 def csv_lines(v: Views) -> DataFrame:
-    """The lines of a CSV export; ``write_csv`` puts them in files with a header."""
-    return link_rows(v).select("user_id", F.concat_ws(",", *[csv_cell(F.col(c)) for c in CSV_COLUMNS]).alias("line"))
+    """The lines of each user's CSV export: the heads in place 0, then the links."""
+    rows = link_rows(v).select("user_id", "place", F.concat_ws(",", *[csv_cell(F.col(c)) for c in CSV_COLUMNS.values()]).alias("line"))
+    heads = v.links.select("user_id").distinct().select("user_id", F.lit(0).cast("long").alias("place"), F.lit(",".join(CSV_COLUMNS)).alias("line"))
+    return heads.unionByName(rows)
 
 
 def write_csv(v: Views, path: str) -> None:
-    """One folder a user, lines with CRLF ends."""
-    csv_lines(v).withColumn("line", F.concat("line", F.lit("\r"))).write.partitionBy("user_id").text(path)
+    """One folder a user with one file, lines in order with CRLF ends."""
+    csv_lines(v).repartition("user_id").sortWithinPartitions("user_id", "place").select("user_id", "line").write.partitionBy("user_id").option("lineSep", "\r\n").text(path)
 
 
 def write_json(v: Views, path: str) -> None:
