@@ -5,6 +5,8 @@ Where the tables hold no such input, it is written here around their texts and n
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,10 +119,10 @@ def web_urls(v: Views) -> DataFrame:
 
 
 def located_quotes(v: Views) -> DataFrame:
-    """Where a quotation stands in its post: its fourth to sixth word, in capitals and with other blanks; every third is not there."""
+    """Where a quotation stands in its post: its fourth to sixth word, with ASCII letters in capitals and with other blanks; every third is not there."""
     some = F.slice(F.regexp_extract_all("text", F.lit("\\S+"), F.lit(0)), 4, 3)
-    quote = glued(F.upper(F.array_join(some, "\n ")), F.when(F.col("doc_id") % 3 == 0, F.lit("∅")).otherwise(F.lit("")))
-    return v.raw("documents").select("doc_id", locate(F.col("text"), quote).cast("long").alias("at"))
+    quote = glued(F.translate(F.array_join(some, "\n "), ascii_lowercase, ascii_uppercase), F.when(F.col("doc_id") % 3 == 0, F.lit("∅")).otherwise(F.lit("")))
+    return v.raw("documents").select("doc_id", locate(F.col("text"), quote).cast("long").alias("place"))
 
 
 def stub_picks(v: Views) -> DataFrame:
@@ -202,9 +204,9 @@ select * from found f where not exists (select 1 from entries e where e.created_
     "character_references": """select page_id, '''' || page_id || '''—😀&#39;&lt;<&#0;&#xD800;&#9999999;& &#; &#x;' as text from pages""",
     "web_urls": """select page_id, case page_id % 6 when 0 then url when 1 then 'https://' || regexp_replace(url, '^https?://', '') when 5 then null end as web_url from pages""",
     "located_quotes": """with t as (select doc_id, text, lower(regexp_replace(text, '\\s+', '', 'g')) as squeezed, regexp_extract_all(text, '\\S+')[4:6] as few from documents),
-p as (select *, case when doc_id % 3 <> 0 and len(few) > 0 then instr(squeezed, lower(upper(array_to_string(few, '')))) end as at from t),
-c as (select doc_id, at, string_split(text, '') as chars from p)
-select doc_id, case when at > 0 then list_filter(range(1, len(chars) + 1), lambda i: regexp_matches(chars[i], '\\S'))[at] - 1 end as at from c""",
+p as (select *, case when doc_id % 3 <> 0 and len(few) > 0 then instr(squeezed, lower(array_to_string(few, ''))) end as hit from t),
+c as (select doc_id, hit, string_split(text, '') as chars from p)
+select doc_id, case when hit > 0 then list_filter(range(1, len(chars) + 1), lambda i: regexp_matches(chars[i], '\\S'))[hit] - 1 end as place from c""",
     "stub_picks": with_views(
         """, p as (select link_id, coalesce(list_sum(list_transform(list_filter(string_split(title, ''), lambda c: c <> ''), lambda c: ascii(c))), 0) % 4 as k from links)
 select link_id, ['a', 'b', 'c', 'other'][cast(k as bigint) + 1] as slug, 0.7e0 as p from p""",
