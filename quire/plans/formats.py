@@ -15,6 +15,8 @@ from quire.functions.display import DIGITS, TONES
 from quire.functions.markup import locate
 from quire.functions.texts import ENTITIES, decode_named
 from quire.functions.urls import web_url
+from quire.operators import requests
+from quire.operators.articles import read_articles
 from quire.operators.jobs import stub_probabilities
 from quire.operators.reading import link_words
 from quire.operators.search import filtered, parse_search
@@ -136,7 +138,72 @@ def queue_search(v: Views) -> DataFrame:
     return filtered(v, parse_search("is:queue")).select("user_id", "link_id", "saved_at")
 
 
+def limit_clamps(v: Views) -> DataFrame:
+    """Limits of requests, good and bad."""
+    k = F.col("event_id")
+    asked = F.get(F.array((k % 150).cast("string"), F.lit("-5"), F.lit(" 12.0 "), F.lit("7.5"), F.lit("5d"), F.lit("1e2"), F.lit("")), (k % 8).cast("int"))
+    return v.raw("events").select("event_id", requests.clamped(asked, 20, 50).alias("n"))
+
+
+def question_checks(v: Views) -> DataFrame:
+    """Questions of a request a user, a question a link, with every fault among them."""
+    k = F.col("link_id")
+    name = lambda o: F.concat(F.when((k % 11 == 0) & (o == 2), F.lit("o ")).otherwise(F.lit("o")), o.cast("string"))
+    options = F.transform(F.sequence(F.lit(1).cast("long"), k % 300 + 1), name)
+    asked = v.links.select(
+        F.col("user_id").alias("request_id"), k.alias("place"), F.concat(F.when(k % 9 == 0, F.lit("q ")).otherwise(F.lit("q-")), k.cast("string")).alias("question_id"),
+        F.when(k % 3 == 0, F.lit("noul")).otherwise(F.lit("choice")).alias("kind"), F.when(k % 7 == 0, F.lit(" \t")).otherwise(F.col("title")).alias("instructions"), options.alias("options"),
+    )
+    return requests.question_problems(asked)
+
+
+def fenced_replies(v: Views) -> DataFrame:
+    """Replies of a model: bare, in a fence, in a named fence, and no JSON."""
+    body = F.to_json(F.struct(F.round("value", 2).alias("p")))
+    k = F.col("event_id") % 4
+    reply = F.when(k == 0, body).when(k == 1, glued("```json\n", body, "\n```")).when(k == 2, glued("  ```\n", body, "```\n")).otherwise(glued("It is ", body))
+    found = requests.unfenced(reply)
+    return v.raw("events").select("event_id", found.isNotNull().alias("is_json"), F.round(F.try_variant_get(found, "$.p", "double"), 2).alias("p"))
+
+
+def library_page(v: Views) -> DataFrame:
+    """The library of every user, as its page first shows it."""
+    return requests.library(v, "")
+
+
+def library_tag(v: Views) -> DataFrame:
+    return requests.library(v, "tag:t3 is:queued")
+
+
+def palette_links(v: Views) -> DataFrame:
+    return requests.palette(v, "is:archived")
+
+
+def categorized_users(v: Views) -> DataFrame:
+    return requests.categorized_users(v)
+
+
+def scored_articles(v: Views) -> DataFrame:
+    """The article of every page as it is."""
+    return read_articles(v.raw("pages"))
+
+
+def unmarked_articles(v: Views) -> DataFrame:
+    """The article of every page when nothing but boxes names its parts."""
+    marks = "(?i)(</?)(?:article|main|nav|footer|header|aside)\\b[^>]*>"
+    return read_articles(v.raw("pages").select("page_id", F.regexp_replace("html", marks, "$1div>").alias("html")))
+
+
 QUERIES = {
+    "limit_clamps": limit_clamps,
+    "question_checks": question_checks,
+    "fenced_replies": fenced_replies,
+    "library_page": library_page,
+    "library_tag": library_tag,
+    "palette_links": palette_links,
+    "categorized_users": categorized_users,
+    "scored_articles": scored_articles,
+    "unmarked_articles": unmarked_articles,
     "atom_entries": atom_entries,
     "json_entries": json_entries,
     "feed_kinds": feed_kinds,
@@ -151,6 +218,7 @@ QUERIES = {
     "link_words": link_words,
 }
 
+LIBRARY = "select user_id, link_id, place from (select user_id, link_id, row_number() over (partition by user_id order by {1} desc, link_id desc) as place from links where {0}) where place <= {2}"
 SHORT = "case when plain = '' then null when length(plain) > 400 then regexp_replace(substr(plain, 1, 400), '\\s+\\S*$', '') || '…' else plain end"
 ORIGIN = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
 SITE = "regexp_replace(lower(regexp_extract(url, '^https?://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\\.', '')"
@@ -212,6 +280,18 @@ select doc_id, case when hit > 0 then list_filter(range(1, len(chars) + 1), lamb
 select link_id, ['a', 'b', 'c', 'other'][cast(k as bigint) + 1] as slug, 0.7e0 as p from p""",
         "links",
     ),
+    "limit_clamps": """select event_id, case event_id % 8 when 0 then case when event_id % 150 = 0 then 20 else least(event_id % 150, 50) end when 2 then 12 when 5 then 50 else 20 end as n from events""",
+    "question_checks": with_views(
+        """, p as (select user_id as request_id, link_id, case when link_id % 9 = 0 then 'question id' when link_id % 7 = 0 or trim(title) = '' then 'instructions'
+  when link_id % 3 <> 0 and link_id % 300 + 1 not between 2 and 255 then 'options' when link_id % 3 <> 0 and link_id % 11 = 0 then 'option id' end as problem from links)
+select request_id, count(*) as questions, case when count(*) > 64 then 'count' else arg_min(problem, link_id) filter (where problem is not null) end as problem from p group by request_id""",
+        "links",
+    ),
+    "fenced_replies": "select event_id, event_id % 4 < 3 as is_json, case when event_id % 4 < 3 then round(round(value, 2), 2) end as p from events",
+    "library_page": with_views(LIBRARY.format("is_reference", "coalesce(starred_at, saved_at)", 200), "links"),
+    "library_tag": with_views(LIBRARY.format("is_reference and status = 'queued' and link_id in (select link_id from link_tags where tag = 't3')", "coalesce(starred_at, saved_at)", 200), "links", "link_tags"),
+    "palette_links": with_views(LIBRARY.format("status = 'archived'", "saved_at", 8), "links"),
+    "categorized_users": with_views("select distinct user_id from item_categories", "item_categories"),
     "queue_search": with_views("select user_id, link_id, saved_at from links where status = 'queued'", "links"),
     "link_words": with_views(
         """select l.user_id, l.link_id, coalesce((select a.words from archives a where a.link_id = l.link_id and a.status = 'ready'), (select e.words from entries e where e.entry_id = l.source_entry_id)) as words
