@@ -3,7 +3,7 @@
 A small helper in one scan turns a page into its runs of text, each with the elements around it; what can be no part
 of an article is left out there.  All else are joins and groupings by page: elements are measured, paragraphs give points to
 the five elements above them, the best element of each page is chosen with those beside it that are as good, and
-link lists and poor boxes inside go.  Runs are a written table, so that pages are parsed once.
+link lists and poor boxes inside go.  Runs and elements are written tables, so that pages are parsed and elements measured once.
 
 A page is parsed up to MAX_PAGE characters, as everywhere in the reader, which bounds what one page has.  Page ids are unique.
 A page without a paragraph of 25 characters has no article and no row.  What goes at the end is measured before anything went.
@@ -45,6 +45,7 @@ LINES = BLOCK | {"li", "br", "tr"}
 ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"})}
 
 ELEMENT = pa.struct([("node", pa.int32()), ("tag", pa.string()), ("names", pa.string()), ("alone", pa.bool_())])
+RUNS_PER_BATCH = 4000
 RUNS = "place int, breaks int, text string, path array<struct<node: int, tag: string, names: string, alone: boolean>>"
 
 
@@ -118,19 +119,25 @@ def text_runs(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
     """(id, place, breaks, text, path): runs of text, the lines that end before each, and the elements around it."""
     kind = pages.schema[id_col].dataType.simpleString()
 
+    def packed(keys: list, rows: list[tuple[int, int, str, list[dict]]], key_type: pa.DataType) -> pa.RecordBatch:
+        places, breaks, texts, paths = zip(*rows, strict=True)
+        columns = [pa.array(keys, key_type), pa.array(places, pa.int32()), pa.array(breaks, pa.int32()), pa.array(texts, pa.string()), pa.array(paths, pa.list_(ELEMENT))]
+        return pa.RecordBatch.from_arrays(columns, [id_col, "place", "breaks", "text", "path"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, html in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            keys, rows = [], []
+            for key, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 parser = Runs()
                 parser.feed(html or "")
                 parser.close()
-                n = len(parser.runs)
-                if n:
-                    paths = [[{c: e[c] for c in ("node", "tag", "names", "alone")} for e in path] for _, _, path in parser.runs]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([key.as_py()] * n, batch.column(0).type), pa.array(range(n), pa.int32()), pa.array([r[0] for r in parser.runs], pa.int32()), pa.array([r[1] for r in parser.runs]), pa.array(paths, pa.list_(ELEMENT))],
-                        [id_col, "place", "breaks", "text", "path"],
-                    )
+                keys += [key] * len(parser.runs)
+                rows += [(k, *r) for k, r in enumerate(parser.runs)]
+                if len(rows) > RUNS_PER_BATCH:
+                    yield packed(keys, rows, batch.column(0).type)
+                    keys, rows = [], []
+            if rows:
+                yield packed(keys, rows, batch.column(0).type)
 
     return pages.select(id_col, focused(F.col(html_col)).alias("html")).mapInArrow(run, f"`{id_col}` {kind}, {RUNS}")
 
@@ -200,13 +207,19 @@ def chosen(found: DataFrame, id_col: str) -> DataFrame:
     return marked.groupBy(id_col).agg(F.collect_list(F.when(kept, F.col("node"))).alias("kept"), F.collect_list(F.when(gone, F.col("node"))).alias("gone"))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, read from a table in the shared folder."""
+    where = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return df.sparkSession.read.parquet(where)
+
+
 def read_articles(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(id, text, words) of the article of every page that has one."""
-    where = f"{scratch(pages.sparkSession)}/runs-{uuid.uuid4().hex}"
-    text_runs(pages, id_col, html_col).write.parquet(where)
-    runs = pages.sparkSession.read.parquet(where)
+    runs = written(text_runs(pages, id_col, html_col), "runs")
+    found = written(elements(runs, id_col), "elements")
     nodes = F.transform("path", lambda e: e["node"])
-    inside = runs.join(chosen(elements(runs, id_col), id_col), id_col).where(F.arrays_overlap(nodes, "kept") & ~F.arrays_overlap(nodes, "gone"))
+    inside = runs.join(chosen(found, id_col), id_col).where(F.arrays_overlap(nodes, "kept") & ~F.arrays_overlap(nodes, "gone"))
     pieces = F.array_sort(F.collect_list(F.struct("place", "breaks", "text")))
     joined = inside.groupBy(id_col).agg(pieces.alias("pieces"))
     text = F.array_join(F.transform("pieces", lambda p: F.concat(F.repeat(F.lit("\n"), F.least(p["breaks"], F.lit(2))), p["text"])), "")
