@@ -60,7 +60,7 @@ def palette(v: Views, text: str, limit: int = PALETTE_LIMIT) -> DataFrame:
 
 def newest(links: DataFrame, stamp: Column, limit: int) -> DataFrame:
     """(user_id, place, link_id) of each user's newest; ties by the greater id."""
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy(stamp.desc(), F.desc("link_id")))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(stamp.desc(), F.desc("link_id"))).cast("long")
     return links.select("user_id", "link_id", place.alias("place")).where(F.col("place") <= limit)
 
 
