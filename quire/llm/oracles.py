@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from quire.llm.mixing import NO_SOURCE
+from quire.llm.secretscan import BASE_KINDS, RULES, Rule
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LIMITS = ((5, 25), (7, 22), (10, 20))
@@ -55,3 +58,25 @@ links as (select u, v from pairs join n x on x.doc_id = u join n y on y.doc_id =
 both_ways as (select u, v from links union all select v, u from links),
 reach as (select doc_id as a, doc_id as b from documents union select r.a, l.v from reach r join both_ways l on l.u = r.b)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, m.c as component_id from documents d left join n using (doc_id) join (select a, min(b) as c from reach group by a) m on m.a = d.doc_id"""
+
+
+def _secrets(k: int, rule: Rule) -> str:
+    """Matches and what is between them, in turn; their lengths give the positions."""
+    head = rule.head.replace("(", "(?:").replace("'", "''")
+    if rule.any_case:
+        head = re.sub(r"(?<!\\)[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", head.replace("(?:", "(")).replace("(", "(?:")
+    whole = head + (f"{rule.tail}+" if rule.tail else "")
+    least = f"length(regexp_replace(m, '^{head}', '')) >= {rule.least}" if rule.tail else "true"
+    return f"""select r, {k} as k, '{rule.kind}' as kind, m, sum(length(gap) + length(m)) over (partition by r order by i) as stop, {least} as good
+  from (select r, unnest(ms) as m, unnest(gaps[1:len(ms)]) as gap, unnest(range(len(ms))) as i from (
+    select r, regexp_extract_all(t, '{whole}') as ms, regexp_split_to_array(t, '{whole}') as gaps from d))"""
+
+
+_UNION = " union all ".join(_secrets(k, r) for k, r in enumerate(RULES))
+_BASE = f"kind in ({', '.join(f"'{k}'" for k in BASE_KINDS)})"
+SECRETS = f"""with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+found as (select r, k, kind, cast(stop - length(m) as bigint) as start, kind || ':' || cast(stop - length(m) as bigint) || ':' || cast(stop as bigint) as shown from ({_UNION}) where good),
+told as (select r, {', '.join(f"count(*) filter (where kind = '{k}') as n_{k}" for k in BASE_KINDS)}, count(*) filter (where not {_BASE}) as n_added,
+  coalesce(string_agg(shown, ',' order by start, k) filter (where {_BASE}), '') as base, string_agg(shown, ',' order by start, k) as spans from found group by r)
+select doc_id, {', '.join(f'coalesce(n_{k}, 0) as n_{k}' for k in BASE_KINDS)}, coalesce(n_added, 0) as n_added, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join told using (r)"""
