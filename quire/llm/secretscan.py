@@ -202,7 +202,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """Counts of the base spans by kind, their hash, all spans as text, and how many the other rules added."""
     found = find(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     spans_, base = F.col("found"), F.filter("found", lambda s: s["kind"].isin(*BASE_KINDS))
-    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    counts = [F.size(F.expr(f"filter(found, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     added = (F.size(spans_) - F.size(base)).cast("long").alias("n_added")
     return found.select(F.col("id").alias(id_col), *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(spans_).alias("spans"), added)
 
