@@ -80,3 +80,22 @@ told as (select r, {', '.join(f"count(*) filter (where kind = '{k}') as n_{k}" f
   coalesce(string_agg(shown, ',' order by start, k) filter (where {_BASE}), '') as base, string_agg(shown, ',' order by start, k) as spans from found group by r)
 select doc_id, {', '.join(f'coalesce(n_{k}, 0) as n_{k}' for k in BASE_KINDS)}, coalesce(n_added, 0) as n_added, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
 from d left join told using (r)"""
+
+
+def _nearest(k: int) -> str:
+    return f"""n{k} as (select r, p.part, min(64 * list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) + e) as found from p join c{k} c on c.part = p.part group by r, p.part)"""
+
+
+def _moved(k: int) -> str:
+    return f"""s{k} as (select part, e, i, sum(value) as total, count(*) as n from (select n.part, n.found % 64 as e, unnest(range(1, len(x) + 1)) as i, unnest(x) as value from n{k} n join p on p.r = n.r and p.part = n.part) group by all),
+c{k + 1} as (select c.part, c.e, coalesce(m.c, c.c) as c from c{k} c left join (select part, e, list(cast((total - ((total % n) + n) % n) // n as bigint) order by i) as c from s{k} group by part, e) m on m.part = c.part and m.e = c.e)"""
+
+
+CODES = f"""with v as (select row_number() over (order by vec_id) as r, vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * x::double) as bigint)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select r, part, v[part * len(v) // 16 + 1:(part + 1) * len(v) // 16] as x from v, (select unnest(range(16)) as part)),
+c0 as (select part, r - 1 as e, x as c from p where r <= 64),
+{', '.join(f'{_nearest(k)}, {_moved(k)}' for k in range(2))}, {_nearest(2)},
+codes as (select v.r, vec_id, label, string_agg(lpad(to_hex(found % 64), 2, '0'), '' order by part) as code, cast(sum(found // 64) as bigint) as error from v join n2 using (r) group by all),
+books as (select sha256(string_agg(value::varchar, ',' order by part, e, i)) as h from (select part, e, unnest(range(len(c))) as i, unnest(c) as value from c2))
+select vec_id, lower(code) as code, error, cast(sum(error) over (partition by label) as bigint) as label_error, h as codebooks_sha256 from codes, books"""

@@ -74,6 +74,12 @@ def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame
     return score_like(table(spark, sf_dir, "documents"), good)
 
 
+def op11_anchors_hierarchy_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.codes import digest
+
+    return digest(table(spark, sf_dir, "embeddings"))
+
+
 def op13_combined_automaton_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.secretscan import digest
 
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_hierarchical_language_id": op9_hierarchical_language_id,
     "op10_cross_entropy_difference": op10_cross_entropy_difference,
+    "op11_anchors_hierarchy_codes": op11_anchors_hierarchy_codes,
     "op13_combined_automaton_secrets": op13_combined_automaton_secrets,
 }
 # the others have no SQL form; tests hold them against brute-force versions and held-out accuracy
@@ -99,5 +106,6 @@ ORACLES: dict[str, str] = {
     "op2_spaced_seed_decontamination": oracles.OVERLAPS,
     "op7_poisson_mixing": oracles.MIXING,
     "op8_ngram_jaccard_join": oracles.JACCARD,
+    "op11_anchors_hierarchy_codes": oracles.CODES,
     "op13_combined_automaton_secrets": oracles.SECRETS,
 }

@@ -110,4 +110,4 @@ def test_redact_and_own_rules(spark):
     df = spark.createDataFrame([(1, "my token: abcdefgh, and key-77"), (2, None), (3, "")], "id int, body string")
     assert [r.body for r in redact(df, "body").orderBy("id").collect()] == ["my <assign>, and key-77", None, ""]
     own = (Rule("key", "key-", "[0-9]", 2),)
-    assert [[tuple(s) for s in r.found] for r in find(df, "body", own).orderBy("id").collect()] == [[("key", 23, 29)], [], []]
+    assert [[tuple(s) for s in r.found] for r in find(df, "body", own).orderBy("id").collect()] == [[("key", 24, 30)], [], []]
