@@ -5,7 +5,7 @@ are written once as a table.  A round sends the codebooks, whose size depends on
 walks its trees, adds the cached counts and sums of balls that belong to one entry whole, and returns one row for each part, entry and position.
 Spark adds these up and only the sums, as many numbers as the codebooks have, reach the driver.  The last walk gives every vector its code.
 
-Components become floor(256 x).  Rows take no part if the vector is null, or holds a null or a number that is not finite, or has another length than
+Components become floor(256 x).  Rows take no part if the vector is null or empty, or holds a null or a number that is not finite, or has another length than
 the first kept vector (that with the smallest id, nulls last; ties by the components).  The length must be a multiple of the number of parts, and components
 below 65536 in size, so that all sums are exact; else ValueError.  Ties of distance go to the lower entry.  Repeated rows are rows each, also among the first
 entries; with fewer rows than entries the codebooks are shorter; no rows give no rows.  Other columns are ignored, whatever their names.
@@ -33,10 +33,10 @@ KINDS = {"order": np.int64, "pivot": np.float64, "radius": np.float64, "total":
 
 
 def kept(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """(vec_id, v, label) of the rows whose vector is whole and finite."""
+    """(vec_id, v, label) of the rows whose vector is not empty, whole and finite."""
     named = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return named.where(F.col("v").isNotNull() & fine)
+    return named.where(F.col("v").isNotNull() & (F.size("v") > 0) & fine)
 
 
 def steps(column: pa.Array, dimension: int) -> np.ndarray:
@@ -160,7 +160,7 @@ def compress(vectors: DataFrame, parts: int = 16, entries: int = 64, rounds: int
     if not first:
         return rows.select("vec_id", "label", F.lit("").alias("code"), F.lit(0).cast("long").alias("error")).where("false"), []
     dimension = len(first[0].v)
-    if not dimension or dimension % parts:
+    if dimension % parts:
         raise ValueError(f"vectors of {dimension} components cannot be cut into {parts} equal parts")
     rows = rows.where(F.size("v") == dimension)
     if any(len(r.v) != dimension for r in first):

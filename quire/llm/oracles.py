@@ -99,3 +99,12 @@ c0 as (select part, r - 1 as e, x as c from p where r <= 64),
 codes as (select v.r, vec_id, label, string_agg(lpad(to_hex(found % 64), 2, '0'), '' order by part) as code, cast(sum(found // 64) as bigint) as error from v join n2 using (r) group by all),
 books as (select sha256(string_agg(value::varchar, ',' order by part, e, i)) as h from (select part, e, unnest(range(len(c))) as i, unnest(c) as value from c2))
 select vec_id, lower(code) as code, error, cast(sum(error) over (partition by label) as bigint) as label_error, h as codebooks_sha256 from codes, books"""
+
+NEGATIVES = """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: cast(floor(256 * x::double) as bigint)) as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, cast(list_sum(list_transform(range(1, len(b.v) + 1), lambda i: a.v[i] * b.v[i])) as bigint) as score
+  from v a join v b on b.vec_id <> a.vec_id where a.vec_id % 100 = 0),
+pos as (select anchor_id, id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select p.anchor_id, positive_id, cast(row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.id) as int) as rank, s.id as negative_id, positive_score, s.score as negative_score
+from pos p join s on s.anchor_id = p.anchor_id and not same and 80 * positive_score <= 100 * s.score and 100 * s.score <= 100 * positive_score
+qualify row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.id) <= 5"""

@@ -80,6 +80,15 @@ def op11_anchors_hierarchy_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "embeddings"))
 
 
+def op12_spanning_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quire.llm.negatives import mine
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=moved)
+
+
 def op13_combined_automaton_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.secretscan import digest
 
@@ -98,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_hierarchical_language_id": op9_hierarchical_language_id,
     "op10_cross_entropy_difference": op10_cross_entropy_difference,
     "op11_anchors_hierarchy_codes": op11_anchors_hierarchy_codes,
+    "op12_spanning_tree_negatives": op12_spanning_tree_negatives,
     "op13_combined_automaton_secrets": op13_combined_automaton_secrets,
 }
 # the others have no SQL form; tests hold them against brute-force versions and held-out accuracy
@@ -107,5 +117,6 @@ ORACLES: dict[str, str] = {
     "op7_poisson_mixing": oracles.MIXING,
     "op8_ngram_jaccard_join": oracles.JACCARD,
     "op11_anchors_hierarchy_codes": oracles.CODES,
+    "op12_spanning_tree_negatives": oracles.NEGATIVES,
     "op13_combined_automaton_secrets": oracles.SECRETS,
 }
