@@ -1,4 +1,4 @@
-"""HTML columns: sanitising, block-aware text, lead images, spoken pieces, places in a text."""
+"""HTML columns: block-aware text, spoken pieces, places in a text."""
 
 from __future__ import annotations
 
@@ -7,29 +7,10 @@ from pyspark.sql import functions as F
 
 from quire.functions.texts import decode_named
 
-# What a stored article may hold.
-TAGS = "a abbr b blockquote br caption cite code dd del details div dl dt em figcaption figure h1 h2 h3 h4 h5 h6 hr i img ins kbd li mark ol p pre q s samp small span strong sub summary sup table tbody td tfoot th thead tr u ul".split()
-ATTRIBUTES = "href src alt title colspan rowspan start cite datetime".split()
-DROPPED = "script style iframe object embed form noscript template svg math textarea select button".split()
 MAX_UTTERANCE = 280
 STOPS, CLOSERS = ".!?…", "\"'”’)\\]"
 
 
-def sanitize(html: Column) -> Column:
-    """Only known tags and attributes, http(s) or mail links; scripts, forms and comments go with their contents, other tags are unwrapped."""
-    text = F.regexp_replace(html, "(?s)<!--.*?(?:-->|$)", "")
-    for tag in DROPPED:
-        text = F.regexp_replace(text, f"(?is)<{tag}\\b[^>]*>.*?(?:</{tag}\\s*>|$)", "")
-    text = F.regexp_replace(text, f"(?i)</?(?!(?:{'|'.join(TAGS)})\\b)[a-z!?][^>]*>", "")
-    # attributes: first those whose value is no safe link, then any that is not on the list
-    text = F.regexp_replace(text, "(?i)\\s(?:href|src|cite)\\s*=\\s*(?:\"\\s*(?!https?:|mailto:|/|#)[^\"]*\"|'\\s*(?!https?:|mailto:|/|#)[^']*'|(?![\"'])(?!https?:|mailto:|/|#)[^\\s>]+)", "")
-    known = "|".join(ATTRIBUTES)
-    one = f"\\s(?!(?:{known})\\s*=)[a-z_:@-][\\w:.@-]*(?:\\s*=\\s*(?:\"[^\"]*\"|'[^']*'|[^\\s>\"']+))?(?=[\\s>/])"
-    for _ in range(8):  # a pass may leave what stands next to a removed attribute
-        text = F.regexp_replace(text, f"(?i)(<[a-z][a-z0-9]*(?:\\s(?:{known})\\s*=\\s*(?:\"[^\"]*\"|'[^']*'|[^\\s>\"']+))*){one}", "$1")
-    return text
-
-
 def block_text(html: Column) -> Column:
     """Text with lines for blocks, bullets for list items, and at most one blank line."""
     text = F.regexp_replace(html, "(?is)<(script|style)\\b.*?</\\1>", "")

@@ -1,111 +1,63 @@
 """The readable part of a page, found by scores: for pages that name no article as well as for those that do.
 
-A small helper in one scan turns a page into its runs of text, each with the elements around it; what can be no part
-of an article is left out there.  All else are joins and groupings by page: elements are measured, paragraphs give points to
-the five elements above them, the best element of each page is chosen with those beside it that are as good, and
-link lists and poor boxes inside go.  Runs and elements are written tables, so that pages are parsed and elements measured once.
-
-A page is parsed up to MAX_PAGE characters, as everywhere in the reader, which bounds what one page has.  Page ids are unique.
-A page without a paragraph of 25 characters has no article and no row.  What goes at the end is measured before anything went.
+Pages become tokens (``tokens.py``); what can be no part of an article is left out in that scan.  Elements have numbers where they open and close, so
+sizes, words, commas and ends of sentences of all elements are differences of running sums over the tokens: text is read once, whatever
+it is nested in.  Paragraphs give points to the five elements above them, the best element of each page is chosen with those beside it that are
+as good.  Then link lists and poor or empty boxes go, from the leaves upward: an element is judged by what is left in it.  What stays is
+written as text and as markup of a few elements and attributes, with whole addresses.
+
+A page is parsed up to MAX_PAGE characters, which bounds what one page has.  Page ids are unique; pages may be null or empty.  A page without a
+paragraph of 25 characters has no article and no row.  Sizes count code points.  Tokens and elements are written tables, deleted with ``done``.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
-from html.parser import HTMLParser
+from collections import defaultdict
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.pages import MAX_ARTICLE, MAX_PAGE
-from quire.functions.texts import words
+from quire.functions.pages import MAX_ARTICLE, MAX_PAGE, absolute
+from quire.functions.texts import decode_named, words
+from quire.operators.tokens import BLOCK, CLOSE, OPEN, TEXT, VOID, tokens
 from quire.sources.scratch import scratch
 
 # Elements by what they do, and names that speak for or against an element.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template xmp svg".split())
-BLOCK = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 DROP = frozenset("aside button canvas dialog embed footer form header iframe input link meta nav object select base".split())
 UNLIKELY = "-ad-|ad-break|agegate|banner|breadcrumb|combx|comment|community|cookie|cover-wrap|disqus|extra|footer|gdpr|header|legends|menu|modal|newsletter|pager|pagination|popup|promo|related|remark|replies|rss|share|shoutbox|sidebar|skyscraper|social|sponsor|subscribe|supplemental|yom-remote"
 MAYBE = "and|article|body|column|content|main|shadow"
 POSITIVE = "article|body|content|entry|h-entry|hentry|main|page|post|story|text|blog"
 NEGATIVE = "-ad-|banner|combx|comment|com-|contact|foot|footnote|gdpr|hidden|masthead|media|meta|outbrain|promo|related|scroll|share|shoutbox|sidebar|skyscraper|sponsor|shopping|tags|tool|widget"
+KEPT = frozenset("a abbr b blockquote br caption cite code dd del div dl dt em figcaption figure h2 h3 h4 h5 h6 hr i img ins kbd li mark ol p pre q s small strong sub sup table tbody td tfoot th thead tr u ul".split())
 TIDIED = ("div", "section", "ul", "ol", "table", "p")
 BASE_SCORES = {5: ("div", "article", "main", "section"), 3: ("pre", "td", "blockquote"), -3: ("ol", "ul", "dl", "dd", "dt", "li"), -5: ("h1", "h2", "h3", "h4", "h5", "h6", "th")}
 # points for the five elements above, in 36ths: 1, 1/2, 1/6, 1/9, 1/12
 SHARES, WHOLE = (36, 18, 6, 4, 3), 36
 
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NEVER, PERHAPS = re.compile(UNLIKELY, re.I), re.compile(MAYBE, re.I)
-LINES = BLOCK | {"li", "br", "tr"}
-# an open element of the first kind ends where one of its like begins, unless one of the second stands between
-ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"})}
+LINES = sorted(BLOCK | {"li", "br", "tr"})
+SPACE = "[\\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+LAZY = ("data-src", "data-original", "data-lazy-src")
+
 
-ELEMENT = pa.struct([("node", pa.int32()), ("tag", pa.string()), ("names", pa.string()), ("alone", pa.bool_())])
-RUNS_PER_BATCH = 4000
-RUNS = "place int, breaks int, text string, path array<struct<node: int, tag: string, names: string, alone: boolean>>"
+def declared(style: str) -> dict[str, str]:
+    """The declarations of a style attribute; later ones count."""
+    pairs = (d.partition(":") for d in style.lower().split(";"))
+    return {name.strip(): value.strip() for name, _, value in pairs}
 
 
-def kept_out(tag: str, attrs: dict[str, str | None], names: str) -> bool:
-    if tag in DROP or tag in RAW or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role") in ("navigation", "dialog"):
+def left_out(tag: str, attrs: dict[str, str]) -> bool:
+    """Elements that are never part of an article: by what they are, hidden ones, and those whose names say so."""
+    if tag in DROP or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role") in ("navigation", "dialog"):
         return True
-    if HIDING.search(attrs.get("style") or ""):
+    style = declared(attrs.get("style", ""))
+    if style.get("display", "").startswith("none") or style.get("visibility", "").startswith("hidden"):
         return True
-    return tag not in ("html", "body", "article", "main") and bool(NEVER.search(names)) and not PERHAPS.search(names)
-
-
-class Runs(HTMLParser):
-    """The runs of text of a page with the elements around them, the nearest first; numbers of elements follow the page."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.open: list[dict] = []
-        self.runs: list[tuple[int, str, list[dict]]] = []
-        self.nodes, self.breaks, self.out = 0, 0, 0
-
-    def close_to(self, k: int) -> None:
-        for e in self.open[k:]:
-            self.out -= e["out"]
-            self.breaks += e["tag"] in LINES and not e["out"] and not self.out
-        del self.open[k:]
-
-    def close_like(self, tags: set[str], bounds: set[str]) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k]["tag"] in bounds:
-                return
-            if self.open[k]["tag"] in tags:
-                return self.close_to(k)
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in BLOCK:
-            self.close_like({"p"}, {"td", "th"})
-        self.close_like(*ENDS.get(tag, (set(), set())))
-        first = dict(reversed(attrs))
-        names = f"{first.get('class') or ''} {first.get('id') or ''}"
-        out = kept_out(tag, first, names)
-        if not self.out and not out:
-            self.breaks += tag in LINES
-            if tag in BLOCK and self.open:
-                self.open[-1]["alone"] = False
-        if tag not in VOID:
-            self.nodes += 1
-            self.out += out
-            self.open.append({"node": self.nodes, "tag": tag, "names": names, "alone": True, "out": out})
-        elif tag in LINES and not self.out:
-            self.breaks += 1
-
-    def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k]["tag"] == tag:
-                return self.close_to(k)
-
-    def handle_data(self, data: str) -> None:
-        if not self.out and self.open:
-            self.runs.append((self.breaks, data, self.open[::-1]))
-            self.breaks = 0
+    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
+    return tag not in ("body", "article", "main") and bool(NEVER.search(names)) and not PERHAPS.search(names)
 
 
 def focused(html: Column) -> Column:
@@ -115,33 +67,6 @@ def focused(html: Column) -> Column:
     return F.coalesce(F.when(F.regexp_count(page, F.lit("(?i)<article[\\s>]")) == 1, element("article")), element("main"), page)
 
 
-def text_runs(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, place, breaks, text, path): runs of text, the lines that end before each, and the elements around it."""
-    kind = pages.schema[id_col].dataType.simpleString()
-
-    def packed(keys: list, rows: list[tuple[int, int, str, list[dict]]], key_type: pa.DataType) -> pa.RecordBatch:
-        places, breaks, texts, paths = zip(*rows, strict=True)
-        columns = [pa.array(keys, key_type), pa.array(places, pa.int32()), pa.array(breaks, pa.int32()), pa.array(texts, pa.string()), pa.array(paths, pa.list_(ELEMENT))]
-        return pa.RecordBatch.from_arrays(columns, [id_col, "place", "breaks", "text", "path"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, rows = [], []
-            for key, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parser = Runs()
-                parser.feed(html or "")
-                parser.close()
-                keys += [key] * len(parser.runs)
-                rows += [(k, *r) for k, r in enumerate(parser.runs)]
-                if len(rows) > RUNS_PER_BATCH:
-                    yield packed(keys, rows, batch.column(0).type)
-                    keys, rows = [], []
-            if rows:
-                yield packed(keys, rows, batch.column(0).type)
-
-    return pages.select(id_col, focused(F.col(html_col)).alias("html")).mapInArrow(run, f"`{id_col}` {kind}, {RUNS}")
-
-
 def weight(names: Column) -> Column:
     speaks = lambda pattern: F.when(names.rlike(f"(?i){pattern}"), 25).otherwise(0)
     return speaks(POSITIVE) - speaks(NEGATIVE)
@@ -154,75 +79,196 @@ def base_score(tag: Column, names: Column) -> Column:
     return base + weight(names)
 
 
-def elements(runs: DataFrame, id_col: str) -> DataFrame:
-    """One row an element that holds text: its size, the part of it in links, the elements above, and the text of a paragraph."""
-    size = F.length(F.regexp_replace("text", r"^\s+|\s+$", ""))
-    spread = runs.select(id_col, "place", "text", size.alias("size"), "path", F.posexplode("path").alias("level", "el"))
-    linked = F.exists(F.slice("path", F.lit(1), F.col("level") + 1), lambda e: e["tag"] == "a")
-    paragraph = F.col("el.tag").isin("p", "pre", "td") | ((F.col("el.tag") == "div") & F.col("el.alone"))
-    above = F.transform(F.slice("path", F.col("level") + 2, F.lit(len(SHARES))), lambda e: F.struct(e["node"].alias("node"), e["tag"].alias("tag")))
-    measured = spread.groupBy(id_col, F.col("el.node").alias("node")).agg(
-        F.first("el.tag").alias("tag"),
-        F.first("el.names").alias("names"),
-        F.sum("size").alias("size"),
-        F.sum(F.when(linked, F.col("size")).otherwise(0)).alias("linked"),
-        F.first(above).alias("above"),
-        F.array_sort(F.collect_list(F.when(paragraph, F.struct("place", "text")))).alias("runs"),
-    )
-    text = F.trim(F.regexp_replace(F.array_join(F.transform("runs", lambda r: r["text"]), ""), r"\s+", " "))
-    density = F.when(F.col("size") > 0, F.col("linked") / F.col("size")).otherwise(0.0)
-    return measured.select(id_col, "node", "tag", "names", "size", "above", text.alias("text"), density.alias("density"), F.get("above", F.lit(0)).alias("parent"))
-
-
-def scores(found: DataFrame, id_col: str) -> DataFrame:
+def attribute(name: str) -> Column:
+    """The value of an attribute of the token; null if it has none."""
+    return F.get(F.filter("attrs", lambda a: a["name"] == name), F.lit(0))["value"]
+
+
+def measured(rows: DataFrame) -> DataFrame:
+    """One row an element: where it opens and closes, and what its text has, from running sums over the tokens of its page."""
+    text = decode_named(F.col("text"))
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    facts = rows.withColumns({
+        "size": F.length(F.regexp_replace("text", f"^{SPACE}+|{SPACE}+$", "")),
+        "solid": F.length(F.regexp_replace(text, f"{SPACE}+", "")),
+        "words": count(SPACE.replace("[", "[^", 1) + "+"),
+        "commas": count("[,，]"),
+        "stops": count(f"\\.{SPACE}"),
+        "opens": F.when(text != "", text.rlike(f"^{SPACE}")),  # begins with space; null for what is no text
+        "shuts": F.when(text != "", text.rlike(f"{SPACE}$")),
+        "dot": F.when(text != "", F.endswith(text, F.lit("."))),
+    })
+    onward, back = Window.partitionBy("id").orderBy("place"), Window.partitionBy("id").orderBy(F.col("place").desc())
+    before = onward.rowsBetween(Window.unboundedPreceding, -1)
+    after = back.rowsBetween(Window.unboundedPreceding, -1)
+    # a word that goes on from the text before is none of its own; a stop before the next text's space ends a sentence
+    linked = facts.withColumns({"goes_on": F.when(F.col("opens").isNotNull(), ~F.col("opens") & ~F.coalesce(F.last("shuts", True).over(before), F.lit(True))), "then": F.last("opens", True).over(after)})
+    known = linked.withColumns({"first_goes_on": F.last("goes_on", True).over(after), "stops": F.col("stops") + F.when(F.col("dot") & F.coalesce("then", F.lit(True)), 1).otherwise(0)})
+    upto = onward.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = known.select(
+        "id", "place", "kind", "node", "parent", "tag", "attrs", "alone", "above", "level", "first_goes_on",
+        *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(c) for c in ("size", "solid", "commas", "stops")],
+        F.coalesce(F.sum(F.col("words") - F.when(F.col("goes_on"), 1).otherwise(0)).over(upto), F.lit(0)).alias("words"),
+        F.last("dot", True).over(upto).alias("dot"),
+    )
+    at = lambda c, kind: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    names = F.concat_ws(" ", F.coalesce(attribute("class"), F.lit("")), F.coalesce(attribute("id"), F.lit("")))
+    whole = summed.where(F.col("kind") != TEXT).withColumn("names", F.when(F.col("kind") == OPEN, names)).groupBy("id", "node").agg(
+        F.first("parent").alias("parent"), F.first("tag").alias("tag"), F.max("names").alias("names"), at("alone", CLOSE).alias("alone"), F.first("above", True).alias("above"), F.first("level").alias("level"),
+        at("place", OPEN).alias("enter"), at("place", CLOSE).alias("leave"), F.max("first_goes_on").alias("any_goes_on"), at("first_goes_on", OPEN).alias("first_goes_on"), at("dot", CLOSE).alias("dot"),
+        *[(at(c, CLOSE) - at(c, OPEN)).alias(c) for c in ("size", "solid", "commas", "stops", "words")],
+    )
+    length = F.when(F.col("solid") > 0, F.col("solid") + F.col("words") + F.when(F.col("first_goes_on"), 1).otherwise(0) - 1).otherwise(0)
+    return whole.select(
+        "id", "node", "parent", "tag", "names", "alone", "above", "level", "enter", "leave", "size", "commas", length.alias("length"),
+        ((F.col("stops") > 0) | ((F.col("solid") > 0) & F.coalesce("dot", F.lit(False)))).alias("ends"),
+    )
+
+
+def with_links(found: DataFrame) -> DataFrame:
+    """The elements with the part of their text in links: the outermost links inside have as many links above them as the element has."""
+    link = F.col("tag") == "a"
+    ends = F.array(F.struct(F.col("enter").alias("at"), F.lit(0).cast("long").alias("more")), F.struct(F.col("leave").alias("at"), F.when(link, F.col("size")).otherwise(0).cast("long").alias("more")))
+    running = F.sum("more").over(Window.partitionBy("id", "level").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    spread = found.select("id", "level", "node", F.inline(ends)).withColumn("running", running)
+    sums = spread.groupBy("id", "node").agg((F.max("running") - F.min("running")).alias("inside"))
+    joined = found.join(sums, ["id", "node"]).withColumn("linked", F.when(link, F.col("size")).otherwise(F.col("inside"))).drop("inside")
+    return joined.withColumn("density", F.when(F.col("size") > 0, F.col("linked") / F.col("size")).otherwise(0.0))
+
+
+def scores(found: DataFrame) -> DataFrame:
     """(id, node, score, seen): the points that paragraphs give to the elements above them, less what is links."""
-    points = 1 + F.regexp_count("text", F.lit("[,，]")) + F.least(F.floor(F.length("text") / 100), F.lit(3))
-    given = found.where(F.length("text") >= 25).select(id_col, F.col("node").alias("from"), points.alias("points"), F.posexplode("above").alias("level", "el"))
-    share = F.get(F.array(*map(F.lit, SHARES)), F.col("level"))
+    paragraph = F.col("tag").isin("p", "pre", "td") | ((F.col("tag") == "div") & F.col("alone"))
+    points = 1 + F.col("commas") + F.least(F.floor(F.col("length") / 100), F.lit(3))
+    given = found.where(paragraph & (F.col("length") >= 25)).select("id", F.col("enter").alias("from"), points.alias("points"), F.posexplode("above").alias("step", "el"))
+    share = F.get(F.array(*map(F.lit, SHARES)), F.col("step"))
     # whole numbers, so that sums are the same in any order
     summed = (
         given.where(~F.col("el.tag").isin("html", "body"))
-        .groupBy(id_col, F.col("el.node").alias("node"))
-        .agg(F.sum(F.col("points") * share).alias("points"), F.min(F.struct("from", "level")).alias("seen"))
+        .groupBy("id", F.col("el.node").alias("node"))
+        .agg(F.sum(F.col("points") * share).alias("points"), F.min(F.struct("from", "step")).alias("seen"))
     )
     score = (base_score(F.col("tag"), F.col("names")) + F.col("points") / WHOLE) * (1 - F.col("density"))
-    return summed.join(found.select(id_col, "node", "tag", "names", "density"), [id_col, "node"]).select(id_col, "node", score.alias("score"), "seen")
-
-
-def chosen(found: DataFrame, id_col: str) -> DataFrame:
-    """(id, kept, gone): the elements of each page that are its article, and those inside that are not."""
-    scored = found.join(scores(found, id_col), [id_col, "node"], "left")
-    order = F.struct("score", -F.col("seen.from"), -F.col("seen.level"), "node", "parent")
-    best = scored.where("score is not null").groupBy(id_col).agg(F.max(order).alias("best"))
-    beside = F.coalesce(F.col("best.parent.tag") != "body", F.lit(False))
-    ends = F.col("text").rlike(r"\.( |$)")
-    good = (F.col("score") >= F.greatest(F.lit(10.0), F.col("best.score") * 0.2)) | (
-        (F.col("tag") == "p") & (((F.col("size") > 80) & (F.col("density") < 0.25)) | ((F.col("size") > 0) & (F.col("density") == 0) & ends))
+    return summed.join(found.select("id", "node", "tag", "names", "density"), ["id", "node"]).select("id", "node", score.alias("score"), "seen")
+
+
+def chosen(found: DataFrame) -> DataFrame:
+    """(id, node, enter, leave, bare): the elements that are a page's article, side by side; bare: one alone, whose own tag does not count."""
+    scored = found.join(scores(found), ["id", "node"], "left")
+    order = F.struct("score", -F.col("seen.from"), -F.col("seen.step"), "node", "parent", F.get("above", F.lit(0))["tag"].alias("inside"))
+    best = scored.where("score is not null").groupBy("id").agg(F.max(order).alias("best"))
+    beside = (F.col("best.parent") >= 0) & (F.col("best.inside") != "body")
+    sentence = (F.col("tag") == "p") & (((F.col("size") > 80) & (F.col("density") < 0.25)) | ((F.col("size") > 0) & (F.col("density") == 0) & F.col("ends")))
+    good = F.coalesce(F.col("score") >= F.greatest(F.lit(10.0), F.col("best.score") * 0.2), F.lit(False)) | sentence
+    kept = (F.col("node") == F.col("best.node")) | (beside & (F.col("parent") == F.col("best.parent")) & good)
+    return scored.join(best, "id").where(kept).select("id", "node", "enter", "leave", (~beside).alias("bare"))
+
+
+def left_over(table: pa.Table) -> pa.Table:
+    """The elements of an article that go, each judged by what is left of those in it."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["leave"])
+    under, size, linked, image, gone = (defaultdict(int) for _ in range(5))
+    for r in rows:
+        n, up = r["node"], r["parent"]
+        left = r["size"] - under[n] + size[n]
+        links = left if r["tag"] == "a" else linked[n]
+        pictured = r["tag"] == "img" or image[n]
+        if r["tag"] not in ("img", "br", "hr") and not r["bare"]:
+            poor = r["boxed"] and ((left and links / left > 0.5 and left < 400) or (r["against"] and left < 200))
+            gone[n] = (not left and not pictured) or poor
+        under[up] += r["size"]
+        if not gone[n]:
+            size[up] += left
+            linked[up] += links
+            image[up] |= pictured
+    out = [r for r in rows if gone[r["node"]]]
+    return pa.table({"id": pa.array([r["id"] for r in out], table.schema.field("id").type), "node": pa.array([r["node"] for r in out], pa.int32())})
+
+
+def within(rows: DataFrame, marks: DataFrame, name: str) -> DataFrame:
+    """The tokens with the number of marked elements that each stands in; an element stands in itself."""
+    onward = Window.partitionBy("id").orderBy("place")
+    marked = rows.join(marks.select("id", "node", F.lit(1).alias("__mark")), ["id", "node"], "left")
+    opened = F.sum(F.when(F.col("kind") == OPEN, F.col("__mark"))).over(onward.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    closed = F.sum(F.when(F.col("kind") == CLOSE, F.col("__mark"))).over(onward.rowsBetween(Window.unboundedPreceding, -1))
+    return marked.withColumn(name, F.coalesce(opened, F.lit(0)) - F.coalesce(closed, F.lit(0))).drop("__mark")
+
+
+def escaped(text: Column, quotes: bool = False) -> Column:
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), *([('"', "&quot;")] if quotes else [])):
+        text = F.replace(text, F.lit(char), F.lit(name))
+    return text
+
+
+def markup(base: Column) -> Column:
+    """The token as markup of the kept elements: links and pictures by whole addresses, headings from the second on."""
+    tag = F.when(F.col("tag") == "h1", "h2").otherwise(F.col("tag"))
+    href = absolute(attribute("href"), base)
+    sets = F.coalesce(attribute("data-srcset"), attribute("srcset"))
+    candidates = F.filter(F.transform(F.split(sets, ","), lambda c: F.regexp_extract(c, "(\\S+)", 1)), lambda c: c != "")
+    source = absolute(F.coalesce(*map(attribute, LAZY), F.element_at(F.nullif(candidates, F.array().cast("array<string>")), -1), attribute("src")), base)
+    given = lambda name, value: F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f' {name}="'), escaped(value, True), F.lit('"'))).otherwise("")
+    attrs = F.when(F.col("tag") == "a", given("href", href)).when(F.col("tag").isin("td", "th"), given("colspan", attribute("colspan"))).otherwise("")
+    opening = (
+        F.when((F.col("tag") == "img") & source.isNull(), "")
+        .when(F.col("tag") == "img", F.concat(F.lit("<img"), given("src", source), given("alt", attribute("alt")), F.lit(">")))
+        .otherwise(F.concat(F.lit("<"), tag, attrs, F.lit(">")))
     )
-    kept = (F.col("node") == F.col("best.node")) | (beside & (F.col("parent.node") == F.col("best.parent.node")) & F.coalesce(good, F.lit(False)))
-    below = F.col("node") > F.when(beside, F.col("best.parent.node")).otherwise(F.col("best.node"))
-    poor = ((F.col("density") > 0.5) & (F.col("size") < 400)) | ((weight(F.col("names")) < 0) & (F.col("size") < 200))
-    gone = below & F.col("tag").isin(*TIDIED) & poor
-    marked = scored.join(best, id_col)
-    return marked.groupBy(id_col).agg(F.collect_list(F.when(kept, F.col("node"))).alias("kept"), F.collect_list(F.when(gone, F.col("node"))).alias("gone"))
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read from a table in the shared folder."""
-    where = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(where)
-    return df.sparkSession.read.parquet(where)
-
-
-def read_articles(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, text, words) of the article of every page that has one."""
-    runs = written(text_runs(pages, id_col, html_col), "runs")
-    found = written(elements(runs, id_col), "elements")
-    nodes = F.transform("path", lambda e: e["node"])
-    inside = runs.join(chosen(found, id_col), id_col).where(F.arrays_overlap(nodes, "kept") & ~F.arrays_overlap(nodes, "gone"))
-    pieces = F.array_sort(F.collect_list(F.struct("place", "breaks", "text")))
-    joined = inside.groupBy(id_col).agg(pieces.alias("pieces"))
-    text = F.array_join(F.transform("pieces", lambda p: F.concat(F.repeat(F.lit("\n"), F.least(p["breaks"], F.lit(2))), p["text"])), "")
-    for pattern, new in ((r"[ \t\r\f\x0b ]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")):
+    unwrapped = ~tag.isin(*KEPT) | ((F.col("tag") == "a") & href.isNull())
+    closing = F.when(tag.isin(*VOID), "").otherwise(F.concat(F.lit("</"), tag, F.lit(">")))
+    return F.when(F.col("kind") == TEXT, escaped(decode_named(F.col("text")))).when(unwrapped, "").when(F.col("kind") == OPEN, opening).otherwise(closing)
+
+
+def tidied(text: Column) -> Column:
+    """Plain text with single spaces and at most one blank line."""
+    for pattern, new in (("[ \\t\\r\\f\\x0b\u00a0]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n"), (f"^{SPACE}+|{SPACE}+$", "")):
         text = F.regexp_replace(text, pattern, new)
-    return joined.select(id_col, F.substring(text, 1, MAX_ARTICLE).alias("text")).withColumn("words", words(F.col("text")))
+    return text
+
+
+class Reader:
+    """The articles of pages; its tables can be deleted when the result has been used."""
+
+    def __init__(self, pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str | None = None) -> None:
+        self.spark, self.id_col, self.tables = pages.sparkSession, id_col, []
+        page = F.substring(html_col, 1, MAX_PAGE)
+        base = F.regexp_extract(page, "(?i)<base\\s[^>]*href\\s*=\\s*[\"']?([^\"'\\s>]+)", 1)
+        url = F.col(url_col) if url_col else F.lit(None).cast("string")
+        bases = pages.select(F.col(id_col).alias("id"), F.coalesce(absolute(F.nullif(base, F.lit("")), url), url).alias("base"))
+        rows = self.written(tokens(pages.select(F.col(id_col).alias("id"), focused(F.col(html_col)).alias("html")), "id", "html", left_out), "tokens")
+        found = self.written(with_links(measured(rows)), "elements")
+        kept = self.written(chosen(found), "kept")
+        ranges = within(rows.where(F.col("kind") != TEXT).select("id", "place", "kind", "node"), kept, "inside")
+        inside = ranges.where("inside > 0 and kind = 0").select("id", "node")
+        judged = found.join(inside, ["id", "node"]).join(kept.select("id", "node", "bare"), ["id", "node"], "left")
+        facts = judged.select("id", "node", "parent", "tag", "leave", "size", F.coalesce("bare", F.lit(False)).alias("bare"), F.col("tag").isin(*TIDIED).alias("boxed"), (weight(F.col("names")) < 0).alias("against"))
+        kind = pages.schema[id_col].dataType.simpleString()
+        gone = facts.groupBy("id").applyInArrow(left_over, f"id {kind}, node int")
+        left = within(within(rows, kept, "inside"), gone, "lost").where("inside > 0 and lost = 0")
+        own = left.join(kept.where("bare").select("id", "node", "bare"), ["id", "node"], "left").join(bases, "id")
+        line = F.when(F.col("kind") == TEXT, F.col("text")).when(F.col("tag").isin(*LINES), "\n").otherwise("")
+        pieces = own.where("bare is null").select("id", "place", markup(F.col("base")).alias("html"), line.alias("text"))
+        joined = pieces.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "html", "text"))).alias("pieces"))
+        whole = lambda c: F.array_join(F.transform("pieces", lambda p: p[c]), "")
+        html = F.substring(F.regexp_replace(whole("html"), f"^{SPACE}+|{SPACE}+$", ""), 1, MAX_ARTICLE)
+        self.articles = kept.select("id").distinct().join(joined, "id", "left").select(
+            F.col("id").alias(id_col), F.coalesce(html, F.lit("")).alias("html"), F.coalesce(tidied(decode_named(whole("text"))), F.lit("")).alias("text")
+        ).withColumn("words", words(F.col("text")))
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """The same rows, read from a table in the shared folder."""
+        where = f"{scratch(self.spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables.append(where)
+        df.write.parquet(where)
+        return self.spark.read.schema(df.schema).parquet(where)
+
+    def done(self) -> None:
+        """Delete the written tables; the articles cannot be read after that."""
+        for where in self.tables:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def read_articles(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str | None = None) -> DataFrame:
+    """(id, html, text, words) of the article of every page that has one."""
+    return Reader(pages, id_col, html_col, url_col).articles

@@ -17,6 +17,7 @@ from quire.functions.texts import ENTITIES, decode_named
 from quire.functions.urls import web_url
 from quire.operators import requests
 from quire.operators.articles import read_articles
+from quire.operators.sanitize import sanitized
 from quire.operators.jobs import stub_probabilities
 from quire.operators.reading import link_words
 from quire.operators.search import filtered, parse_search
@@ -185,16 +186,22 @@ def categorized_users(v: Views) -> DataFrame:
 
 def scored_articles(v: Views) -> DataFrame:
     """The article of every page as it is."""
-    return read_articles(v.raw("pages"))
+    return read_articles(v.raw("pages"), url_col="url")
 
 
 def unmarked_articles(v: Views) -> DataFrame:
     """The article of every page when nothing but boxes names its parts."""
     marks = "(?i)(</?)(?:article|main|nav|footer|header|aside)\\b[^>]*>"
-    return read_articles(v.raw("pages").select("page_id", F.regexp_replace("html", marks, "$1div>").alias("html")))
+    return read_articles(v.raw("pages").select("page_id", "url", F.regexp_replace("html", marks, "$1div>").alias("html")), url_col="url")
+
+
+def sanitized_pages(v: Views) -> DataFrame:
+    """Every page as safe markup."""
+    return sanitized(v.raw("pages"), "page_id", "html", "url")
 
 
 QUERIES = {
+    "sanitized_pages": sanitized_pages,
     "limit_clamps": limit_clamps,
     "question_checks": question_checks,
     "fenced_replies": fenced_replies,
