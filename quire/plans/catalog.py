@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions.texts import first_words, strip_tags, strip_tags_sql, summary, tags
 from quire.functions.urls import canonical, canonical_sql, host
 from quire.operators import edits, jobs, reading, upkeep
-from quire.plans import formats
+from quire.plans import formats, searches
 from quire.plans.views import NOW, Views, with_views
 
 SINCE = "(timestamp '" + NOW + "' - interval '{}' day)"
@@ -651,7 +651,9 @@ select email, min(ts) as created_at from e where event_id % 97 >= 3 and email no
 
 
 QUERIES.update(formats.QUERIES)
+QUERIES.update(searches.QUERIES)
 ORACLES.update(formats.ORACLES)
+ORACLES.update(searches.ORACLES)
 ORACLES["dispatch_counts"] = f"select status, coalesce(source, 'none') as source, count(*) as n from ({ORACLES['capture_archives']}) group by all"
 ORACLES["stream_fold_entry_state"] = ORACLES["fold_entry_state"]
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
@@ -16,3 +17,10 @@ def scratch(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, read from a table of their own in the shared folder: worked out once, whatever reads them."""
+    where = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)

@@ -112,29 +112,6 @@ def test_search_language():
     assert search.parse_search(" -corked ").is_empty and not search.parse_search("tag:red").is_empty
 
 
-@pytest.mark.parametrize(
-    ("word", "stem"),
-    [("caresses", "caress"), ("ponies", "poni"), ("cats", "cat"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("conflated", "conflat"), ("hopping", "hop"), ("falling", "fall"), ("filing", "file"), ("happy", "happi"), ("sky", "sky"),
-     ("relational", "relat"), ("vietnamization", "vietnam"), ("triplicate", "triplic"), ("hopefulness", "hope"), ("adjustment", "adjust"), ("adoption", "adopt"), ("probate", "probat"), ("rate", "rate"), ("controll", "control"), ("roll", "roll")],
-)
-def test_stems(word, stem):
-    assert search.stem(word) == stem
-
-
-def test_library_search(spark):
-    from quire.plans.views import Views
-
-    v = Views(spark, "/root/testdata/sf0.001")
-    user = v.links.where("status = 'queued'").first().user_id
-    newest = search.library_search(v, user, "is:queued").collect()
-    assert [r.id for r in newest] == [r.link_id for r in v.links.where("status = 'queued'").where(F.col("user_id") == user).orderBy(F.desc("saved_at"), F.desc("link_id")).limit(50).collect()]
-    owners = {r.link_id: r.user_id for r in v.links.collect()}
-    for who in list(dict.fromkeys(owners.values()))[:2]:
-        found = search.library_search(v, who, "the -zzzz").collect()
-        assert [r.score for r in found] == sorted((r.score for r in found), reverse=True) and all(owners[r.id] == who for r in found)
-    assert search.snippet("one two three four five", ["three"], 3) == "one two \x01three\x02…"
-
-
 RSS = """<rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>T</title><link>https://example.com</link>
 <item><title>A &amp; B</title><link>/a</link><guid isPermaLink="false">id-1</guid><dc:creator>Ann</dc:creator><description><![CDATA[<p>Hello <img src="/i.png"></p>]]></description><pubDate>Tue, 02 Jan 2024 10:00:00 GMT</pubDate></item>
 <item><title>C</title><guid>https://example.com/c</guid><pubDate>junk</pubDate></item><item></item></channel></rss>"""
