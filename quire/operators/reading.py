@@ -82,7 +82,9 @@ def newest_left(v: Views, posts: DataFrame, limit: int, gone: DataFrame | None =
 
     Users are never paired with all posts.  Posts are numbered once a feed, newest first; of a feed where h posts are gone for
     a user, the first limit + h hold the newest ``limit`` that are left.  The number is that of newer days plus the place in the
-    day, so no task sorts a feed, and days that nobody needs are not numbered.  ``gone`` has distinct pairs.
+    day, so no task sorts a feed, and days that nobody needs are not numbered.  Users and posts meet by feed and level, the number of binary
+    digits of a place, so a user meets less than twice as many posts as they need, however many another reader of the feed needs.
+    ``gone`` has distinct pairs.
     """
     follows = (v.subscriptions if follows is None else follows).select("user_id", "feed_id")
     narrow = posts.select("entry_id", "feed_id", "entry_date", F.to_date("entry_date").alias("day"))
@@ -97,10 +99,17 @@ def newest_left(v: Views, posts: DataFrame, limit: int, gone: DataFrame | None =
     days = days.join(most, "feed_id").where("newer < most")
     place = F.row_number().over(Window.partitionBy("feed_id", "day").orderBy(F.desc("entry_date"), F.desc("entry_id")))
     numbered = narrow.join(days, ["feed_id", "day"]).withColumn("place", F.col("newer") + place).where("place <= most").select("entry_id", "feed_id", "entry_date", "place")
-    pairs = asked.join(numbered, "feed_id").where("place <= need").select("user_id", "entry_id", "feed_id", "entry_date")
+    pairs = by_level(asked, numbered).where("place <= need").select("user_id", "entry_id", "feed_id", "entry_date")
     return pairs if gone is None else pairs.join(gone, ["user_id", "entry_id"], "left_anti")
 
 
+def by_level(asked: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Followers (feed_id, need) with the posts (feed_id, place from 1) of the levels up to their need's."""
+    level = lambda c: F.length(F.bin(c))
+    wanted = asked.where("need > 0").withColumn("level", F.explode(F.sequence(F.lit(1), level("need"))))
+    return wanted.join(numbered.withColumn("level", level("place")), ["feed_id", "level"])
+
+
 def subscription_list(v: Views) -> DataFrame:
     """Feeds by user with their unread counts (without a time window), ordered by title."""
     handled = v.entry_state.where("read_at is not null or dismissed_at is not null").join(v.entries.select("entry_id", "feed_id"), "entry_id")

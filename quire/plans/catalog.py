@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions.texts import first_words, strip_tags, strip_tags_sql, summary, tags
 from quire.functions.urls import canonical, canonical_sql, host
 from quire.operators import edits, jobs, reading, upkeep
+from quire.operators.inbox import inbox
 from quire.plans import formats, searches
 from quire.plans.views import NOW, Views, with_views
 
@@ -35,6 +36,35 @@ def inbox_sql(where: str = "", *views: str) -> str:
     return with_views(INBOX.format(where=where) + " select user_id, entry_id, feed_id, entry_date, unread, link_id, minutes from page", *INBOX_VIEWS, *views)
 
 
+ITEMS = f""", recent as (select * from (
+  select 'post' as kind, user_id, entry_id as id, updated_at, progress from places union all select 'shared', user_id, link_id, updated_at, progress from link_places)
+  qualify row_number() over (partition by user_id order by updated_at desc, kind desc, id desc) <= 50),
+partway as (select * from (
+  select r.user_id, r.kind, r.id, e.entry_date as date, st.read_at is not null as read, r.updated_at from recent r join entries e on r.kind = 'post' and e.entry_id = r.id join subs s on s.user_id = r.user_id and s.feed_id = e.feed_id
+    left join state st on st.user_id = r.user_id and st.entry_id = r.id where st.dismissed_at is null
+  union all select r.user_id, r.kind, r.id, l.saved_at, false, r.updated_at from recent r join links l on r.kind = 'shared' and l.link_id = r.id and l.user_id = r.user_id and l.status = 'queued')
+  qualify row_number() over (partition by user_id order by updated_at desc, kind desc, id desc) <= 4),
+both_kinds as (select distinct user_id, 'post' as kind, entry_id as id, entry_date as date, not unread as read from page
+  union all (select user_id, 'shared', link_id, saved_at, false from links where status = 'queued' qualify row_number() over (partition by user_id order by saved_at desc, link_id desc) <= 60)),
+listed as (select user_id, 'continuing' as section, row_number() over (partition by user_id order by updated_at desc, kind desc, id desc) as place, kind, id, date, read from partway
+  union all (select user_id, 'list', row_number() over w as place, kind, id, date, read from both_kinds b where not exists (select 1 from partway p where p.user_id = b.user_id and p.kind = b.kind and p.id = b.id)
+  window w as (partition by user_id order by read, date desc, id desc, kind) qualify place <= 60)),
+facts as (
+  select i.*, coalesce(e.title, substr(e.content, 1, 80), 'Untitled') as title, coalesce(s.title_override, f.title, f.url) as source, false as note,
+    coalesce((select bool_or(l.is_reference) from links l where l.user_id = i.user_id and l.source_entry_id = i.id), false) as starred, e.words, p.p_open, p.p_keep, concat_ws(',', c.primary_slug, c.secondary_slug) as categories
+  from listed i join entries e on e.entry_id = i.id join subs s on s.user_id = i.user_id and s.feed_id = e.feed_id join feeds f on f.feed_id = e.feed_id
+    left join predictions p on p.user_id = i.user_id and p.entry_id = i.id and p.error is null left join item_categories c on c.user_id = i.user_id and c.entry_id = i.id where i.kind = 'post'
+  union all
+  select i.*, case when coalesce(l.title, '') <> '' then l.title else regexp_replace(lower(regexp_extract(l.url, '^[a-zA-Z]+://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\\.', '') end, l.site_name, coalesce(l.note <> '', false), l.is_reference,
+    coalesce((select a.words from archives a where a.link_id = l.link_id and a.status = 'ready'), (select e.words from entries e where e.entry_id = l.source_entry_id)), p.p_open, p.p_keep, coalesce(c.slug, '')
+  from listed i join links l on l.link_id = i.id left join link_predictions p on p.link_id = i.id and p.error is null left join link_categories c on c.link_id = i.id where i.kind = 'shared'),
+items as (select f.*, not starred and coalesce(p_keep, 0) >= 0.5 as candidate, case when words > 0 then cast(greatest(1, round(words / 230.0e0)) as bigint) end as minutes, round(r.progress, 6) as progress,
+  case when section = 'continuing' then 0 when read then -1 else round(coalesce(p_open, 0.5e0) * pow(0.5e0, greatest(0.0e0, (epoch_us(timestamp '{NOW}') - epoch_us(date)) / 86400000000.0e0) / 3), 6) end as worth
+  from facts f left join recent r on r.user_id = f.user_id and r.kind = f.kind and r.id = f.id)
+select user_id, section, {{place}} as place, kind, id, title, source, date, read, note, starred, categories, p_open, p_keep, candidate, minutes, progress from items"""
+ITEM_VIEWS = (*INBOX_VIEWS, "places", "link_places", "feeds", "predictions", "link_predictions", "item_categories", "link_categories", "archives")
+
+
 def scorecard_sql(score: str, hit: str) -> str:
     return with_views(
         f""", rows as (
@@ -213,6 +243,8 @@ QUERIES: dict[str, Plan] = {
     "inbox_by_folder": lambda v: reading.inbox_posts(v, follows=F.col("folder") == "f1"),
     "inbox_likely": reading.inbox_likely,
     "inbox_merged": reading.inbox_merged,
+    "inbox_items": inbox,
+    "inbox_items_likely": lambda v: inbox(v, "likely"),
     "continue_reading": reading.continue_reading,
     "next_item": reading.next_item,
     "library_candidates": reading.library_candidates,
@@ -351,6 +383,8 @@ from users u left join posts using (user_id) left join queue using (user_id)""",
 select user_id, entry_id, likely, unread, row_number() over (partition by user_id order by likely desc, entry_date desc, entry_id desc, link_id desc nulls last) as place from scored""",
         *INBOX_VIEWS, "predictions",
     ),
+    "inbox_items": with_views(INBOX.format(where="") + ITEMS.format(place="place"), *ITEM_VIEWS),
+    "inbox_items_likely": with_views(INBOX.format(where="") + ITEMS.format(place="row_number() over (partition by user_id, section order by worth desc, place)"), *ITEM_VIEWS),
     "inbox_merged": with_views(
         INBOX.format(where="") + """, rows as (
   select user_id, 'post' as kind, entry_id as id, entry_date as stamp, unread from page

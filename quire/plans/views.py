@@ -151,12 +151,18 @@ class Views:
         """Predictions of a third of the saved pages, some of them failed."""
         k = F.col("link_id")
         late = F.expr(f"timestamp_ntz'{NOW}' - make_dt_interval(0, 0, cast(link_id % 300 as int), 0)")
-        return self.links.where("link_id % 3 = 1").select("user_id", "link_id", F.when(k % 2 == 0, F.lit("unreadable")).alias("error"), (k % 4).alias("attempts"), late.alias("updated_at"))
+        return self.links.where("link_id % 3 = 1").select("user_id", "link_id", F.when(k % 2 == 0, F.lit("unreadable")).alias("error"), (k % 4).alias("attempts"), late.alias("updated_at"), (k * 7919 % 1000 / F.lit(1000.0)).alias("p_open"), F.when(k % 5 != 0, k * 104729 % 1000 / F.lit(1000.0)).alias("p_keep"))
 
     @cached_property
     def link_categories(self) -> DataFrame:
         """The saved pages that have a category."""
-        return self.links.where("link_id % 4 = 2").select("user_id", "link_id")
+        return self.links.where("link_id % 4 = 2").select("user_id", "link_id", F.concat(F.lit("c"), (F.col("link_id") % 5).cast("string")).alias("slug"))
+
+    @cached_property
+    def link_places(self) -> DataFrame:
+        """Where users stopped in saved pages that they opened."""
+        k = F.col("link_id")
+        return self.links.where("opened_at is not null and link_id % 8 <> 0").select("user_id", "link_id", (F.col("opened_at") + F.expr("interval '7' minute")).alias("updated_at"), (k % 10 / F.lit(10.0)).alias("progress"))
 
     @cached_property
     def links(self) -> DataFrame:
@@ -308,10 +314,12 @@ CTES = {
         ("k_users", "k_docs"),
     ),
     "link_predictions": (
-        f"""select user_id, link_id, case when link_id % 2 = 0 then 'unreadable' end as error, link_id % 4 as attempts, {_ago('link_id % 300')} as updated_at from links where link_id % 3 = 1""",
+        f"""select user_id, link_id, case when link_id % 2 = 0 then 'unreadable' end as error, link_id % 4 as attempts, {_ago('link_id % 300')} as updated_at,
+        ((link_id * 7919) % 1000) / 1000.0e0 as p_open, case when link_id % 5 <> 0 then ((link_id * 104729) % 1000) / 1000.0e0 end as p_keep from links where link_id % 3 = 1""",
         ("links",),
     ),
-    "link_categories": ("select user_id, link_id from links where link_id % 4 = 2", ("links",)),
+    "link_categories": ("select user_id, link_id, 'c' || link_id % 5 as slug from links where link_id % 4 = 2", ("links",)),
+    "link_places": ("select user_id, link_id, opened_at + interval 7 minute as updated_at, (link_id % 10) / 10.0e0 as progress from links where opened_at is not null and link_id % 8 <> 0", ("links",)),
     "link_tags": (
         """select page_id as link_id, unnest(list_distinct(list_filter(['t' || (page_id % 7), 'u' || (page_id % 60), regexp_extract(url, '://[^/]+/([a-z]{2})/', 1)],
         lambda t: t <> ''))) as tag from pages""",
