@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.ledger import RESERVE, last_writes, ledger
 from quire.operators.reading import handled, newest_left, top_per
 from quire.plans.views import Views, days_ago, now
 
@@ -177,33 +175,13 @@ def budget_requests(v: Views) -> DataFrame:
 
 
 def budget_ledger(v: Views, cap: int = BUDGET) -> DataFrame:
-    """Calls by day in order, each accepted if it still fits under the day's cap; a refused one takes nothing.
-
-    The rule depends on every decision before it, so a day is replayed in order.  Only days on which
-    the requests exceed the cap are; others accept all, and their sums come from a plain aggregation.
-    """
+    """Calls by day in order, each accepted if it still fits under the day's cap; a refused one takes nothing."""
     requests = budget_requests(v)
-    days = requests.groupBy("day").agg(F.sum("asked").alias("spent"), F.count("*").alias("n"))
-    calm = days.where(F.col("spent") <= cap).select("day", F.col("n").alias("accepted"), F.lit(0).cast("long").alias("refused"), "spent")
-    busy = requests.join(days.where(F.col("spent") > cap).select("day"), "day", "left_semi")
-
-    def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        day, spent, accepted, refused = None, 0, 0, 0
-        for frame in frames:
-            for d, asked in zip(frame["day"], frame["asked"], strict=True):
-                if d != day:
-                    if day is not None:
-                        yield pd.DataFrame({"day": [day], "accepted": [accepted], "refused": [refused], "spent": [spent]})
-                    day, spent, accepted, refused = d, 0, 0, 0
-                if spent + asked <= cap:
-                    spent, accepted = spent + asked, accepted + 1
-                else:
-                    refused += 1
-        if day is not None:
-            yield pd.DataFrame({"day": [day], "accepted": [accepted], "refused": [refused], "spent": [spent]})
-
-    ordered = busy.repartition("day").sortWithinPartitions("day", "stamp", "event_id")
-    return ordered.select("day", "asked").mapInPandas(replay, "day date, accepted long, refused long, spent long").unionByName(calm)
+    steps = requests.select("day", F.col("stamp").alias("at"), F.lit(0).alias("rank"), F.col("event_id").alias("id"), F.lit(RESERVE).alias("kind"), F.col("asked").alias("amount"))
+    none = F.lit(0).cast("long")
+    rows = requests.groupBy("day").agg(F.count("*").alias("n")).join(ledger(steps, cap), "day", "left")
+    accepted = F.coalesce("calls", none)
+    return rows.select("day", accepted.alias("accepted"), (F.col("n") - accepted).alias("refused"), F.coalesce("neurons", none).alias("spent"))
 
 
 def stub_probabilities(question: Column, slugs: list[str]) -> Column:
@@ -252,20 +230,8 @@ def category_counts(v: Views) -> DataFrame:
 
 
 def last_used(v: Views) -> DataFrame:
-    """Times at which a token's "last used" is written: the first use, then any more than an hour after the last write."""
-
-    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, last = None, None
-        for frame in frames:
-            kept = []
-            for k, (u, at) in enumerate(zip(frame["user_id"], frame["stamp"], strict=True)):
-                if u != user or at - last > pd.Timedelta(hours=1):
-                    user, last = u, at
-                    kept.append(k)
-            yield frame.iloc[kept]
-
-    ordered = v.raw("events").select("user_id", F.col("ts").alias("stamp")).repartition("user_id").sortWithinPartitions("user_id", "stamp")
-    writes = ordered.mapInPandas(keep, "user_id long, stamp timestamp_ntz")
+    """How often a token's "last used" is written, and when last: at the first use, then at any more than an hour after the last write."""
+    writes = last_writes(v.raw("events").select("user_id", F.col("ts").alias("stamp")), ["user_id"])
     return writes.groupBy("user_id").agg(F.count("*").alias("writes"), F.max("stamp").alias("last_used"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions.display import slug
 from quire.functions.markup import block_text, minutes_left, percent, spoken, token_hash
 from quire.operators.jobs import backoff_minutes, neurons, poll_minutes
+from quire.operators.ledger import CORRECT, RESERVE, ledger
 from quire.operators.reading import inbox_posts, top_per
 from quire.plans.views import Views, days_ago, now
 
@@ -98,23 +99,18 @@ def check_summary(v: Views) -> DataFrame:
     return rows.groupBy("slug").agg(F.count("*").alias("n"), F.count_if("unsure").alias("unsure"), F.array_join(F.transform(titles, lambda t: t["title"]), " | ").alias("examples"))
 
 
-def settled_budget(v: Views, minutes: int = 30) -> DataFrame:
-    """Neurons by day: estimates are added when a call begins, what it cost beyond or below them when it ends, and then the total is no less than nothing.
+def settled_budget(v: Views, minutes: int = 30, cap: int = 20_000) -> DataFrame:
+    """Neurons and calls by day: what a call is thought to cost is reserved under the cap, and corrected on the day it ends when that is known.
 
-    A call that ends after midnight corrects the next day, which is where the floor acts.  A total with a floor after each step is the
-    plain sum less its lowest prefix (if below nothing); prefixes are taken within an hour, then over the hours of a day.
+    The log has a correction of every call that cost something else.
     """
     asked = F.ceil("value").cast("long")
     cost = F.when(F.col("event_type") == "error", 0).otherwise(neurons(asked * 1000, "small")).cast("long")
-    step = lambda at, order, by: F.struct(at.alias("at"), F.lit(order).alias("order"), by.alias("by"))
+    step = lambda at, kind, amount: F.struct(at.alias("at"), F.lit(kind).alias("rank"), F.lit(kind).alias("kind"), amount.alias("amount"))
     ends = F.col("ts") + F.make_dt_interval(mins=F.lit(minutes))
-    steps = v.raw("events").select("event_id", F.inline(F.array(step(F.col("ts"), 0, asked), step(ends, 1, cost - asked))))
-    steps = steps.withColumn("hour", F.date_trunc("hour", "at"))
-    within = Window.partitionBy("hour").orderBy("at", "order", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    hours = steps.withColumn("sum", F.sum("by").over(within)).groupBy("hour").agg(F.sum("by").alias("total"), F.min("sum").alias("low"), F.count_if(F.col("order") == 0).alias("calls"))
-    before = Window.partitionBy("day").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    days = hours.withColumn("day", F.to_date("hour")).withColumn("low", F.col("low") + F.coalesce(F.sum("total").over(before), F.lit(0)))
-    return days.groupBy("day").agg((F.sum("total") - F.least(F.lit(0), F.min("low"))).cast("long").alias("neurons"), F.sum("calls").alias("calls"))
+    steps = v.raw("events").select(F.col("event_id").alias("id"), F.inline(F.array(step(F.col("ts"), RESERVE, asked), step(ends, CORRECT, cost - asked))))
+    steps = steps.where((F.col("kind") == RESERVE) | (F.col("amount") != 0)).withColumn("day", F.to_date("at"))
+    return ledger(steps, cap).select("day", "neurons", "calls")
 
 
 def reader_states(v: Views) -> DataFrame:

@@ -587,10 +587,13 @@ k as (select *, row_number() over (partition by slug order by entry_id) as rn fr
 select slug, count(*) as n, count(case when unsure then 1 end) as unsure, string_agg(title, ' | ' order by rn) filter (where rn <= 3) as examples from k group by slug""",
         "entries",
     ),
-    "settled_budget": """with c as (select event_id, ts, cast(ceil(value) as bigint) as asked, case when event_type = 'error' then 0 else cast(ceil(ceil(value) * 1000 * 8182 / 1000000.0e0) as bigint) end as cost from events),
-s as (select event_id, ts as moment, 0 as o, asked as d from c union all select event_id, ts + interval 30 minute, 1, cost - asked from c),
-p as (select cast(moment as date) as day, o, d, sum(d) over (partition by cast(moment as date) order by moment, o, event_id rows unbounded preceding) as prefix from s)
-select day, cast(sum(d) - least(0, min(prefix)) as bigint) as neurons, count(case when o = 0 then 1 end) as calls from p group by day""",
+    "settled_budget": f"""with recursive c as (select event_id, ts, cast(ceil(value) as bigint) as asked, case when event_type = 'error' then 0 else cast(ceil(ceil(value) * 1000 * 8182 / 1000000.0e0) as bigint) end as cost from events),
+s as (select event_id, ts as moment, 0 as o, asked as d from c union all select event_id, ts + interval 30 minute, 1, cost - asked from c where cost <> asked),
+p as (select cast(moment as date) as day, o, d, row_number() over (partition by cast(moment as date) order by moment, o, event_id) as k from s),
+run as (select distinct day, cast(0 as bigint) as k, cast(null as bigint) as neurons, 0 as calls from p
+  union all select p.day, p.k, case when o = 1 then greatest(0, neurons + d) + 0 * neurons when coalesce(neurons, 0) + d <= 20000 then coalesce(neurons, 0) + d else neurons end,
+    calls + cast(o = 0 and coalesce(neurons, 0) + d <= 20000 as int) from run join p on p.day = run.day and p.k = run.k + 1)
+select day, arg_max(neurons, k) as neurons, cast(max(calls) as bigint) as calls from run where neurons is not null group by day""",
     "reader_states": with_views(
         f""", both_states as (
   select s.user_id, e.feed_id, s.opened_at, s.dismissed_at from state s join entries e on e.entry_id = s.entry_id union all select user_id, feed_id, opened_at, dismissed_at from history),
