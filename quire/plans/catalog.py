@@ -11,7 +11,7 @@ from quire.functions.texts import first_words, strip_tags, strip_tags_sql, summa
 from quire.functions.urls import canonical, canonical_sql, host
 from quire.operators import edits, jobs, reading, upkeep
 from quire.operators.inbox import inbox
-from quire.plans import formats, searches
+from quire.plans import changes, formats, merges, searches
 from quire.plans.views import NOW, Views, with_views
 
 SINCE = "(timestamp '" + NOW + "' - interval '{}' day)"
@@ -689,8 +689,12 @@ select email, min(ts) as created_at from e where event_id % 97 >= 3 and email no
 
 QUERIES.update(formats.QUERIES)
 QUERIES.update(searches.QUERIES)
+QUERIES.update(changes.QUERIES)
+QUERIES.update(merges.QUERIES)
 ORACLES.update(formats.ORACLES)
 ORACLES.update(searches.ORACLES)
+ORACLES.update(changes.ORACLES)
+ORACLES.update(merges.ORACLES)
 ORACLES["dispatch_counts"] = f"select status, coalesce(source, 'none') as source, count(*) as n from ({ORACLES['capture_archives']}) group by all"
 ORACLES["stream_fold_entry_state"] = ORACLES["fold_entry_state"]
 
