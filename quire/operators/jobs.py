@@ -105,15 +105,11 @@ def prune_archives(v: Views) -> DataFrame:
     return v.archives.where(F.col("keep_until") < now()).select("link_id", "keep_until")
 
 
-def fold_entry_state(actions: DataFrame) -> DataFrame:
-    """Replay actions in the order of (stamp, event_id): opening and reading keep their first time, dismissal and citation their last.
-
-    A purchase stands for an undo here: it clears a dismissal that came before.  A dismissal stands if the last one
-    came after the last undo, so the replay needs only minima and maxima, on a batch or on a stream.
-    """
+def partial_states(actions: DataFrame) -> DataFrame:
+    """What some actions on a post by a user amount to; these can be put together in any order and grouping."""
     at = lambda *kinds: F.when(F.col("event_type").isin(*kinds), F.col("stamp"))
     last = lambda kind: F.max(F.when(F.col("event_type") == kind, F.struct("stamp", "event_id")))
-    folded = actions.groupBy("user_id", "entry_id").agg(
+    return actions.groupBy("user_id", "entry_id").agg(
         F.min(at("view")).alias("opened_at"),
         F.min(at("view", "signup", "error")).alias("read_at"),
         last("error").alias("dismissed"),
@@ -121,8 +117,27 @@ def fold_entry_state(actions: DataFrame) -> DataFrame:
         F.max(at("click")).alias("cited_at"),
         F.count_if(F.col("event_type") == "click").alias("n_cites"),
     )
+
+
+def joined_states(partials: DataFrame) -> DataFrame:
+    """Partial states of the same user and post as one."""
+    first, last = ("opened_at", "read_at"), ("dismissed", "undone", "cited_at")
+    return partials.groupBy("user_id", "entry_id").agg(*[F.min(c).alias(c) for c in first], *[F.max(c).alias(c) for c in last], F.sum("n_cites").alias("n_cites"))
+
+
+def final_states(partials: DataFrame) -> DataFrame:
+    """A dismissal stands if the last one came after the last undo."""
     stands = F.col("undone").isNull() | (F.col("dismissed") > F.col("undone"))
-    return folded.select("user_id", "entry_id", "opened_at", "read_at", F.when(stands, F.col("dismissed.stamp")).alias("dismissed_at"), "cited_at", "n_cites")
+    return partials.select("user_id", "entry_id", "opened_at", "read_at", F.when(stands, F.col("dismissed.stamp")).alias("dismissed_at"), "cited_at", "n_cites")
+
+
+def fold_entry_state(actions: DataFrame) -> DataFrame:
+    """Replay actions in the order of (stamp, event_id): opening and reading keep their first time, dismissal and citation their last.
+
+    A purchase stands for an undo here: it clears a dismissal that came before.  The replay needs only minima, maxima and
+    a count, so batches of actions can be folded apart and joined.
+    """
+    return final_states(partial_states(actions))
 
 
 def mark_backlog(v: Views) -> DataFrame:
