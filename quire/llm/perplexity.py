@@ -15,8 +15,9 @@ does not make itself likely, while copies of it do.
 The counts are all words and word pairs of all documents: tables in Spark that grow with the corpus, of packed sorted hashes in
 buckets, whose number follows the bytes of text.  Log-losses are sums over words and pairs, so each document sends its words
 and pairs to their buckets and gets back one row of sums a bucket.  Words and pairs above a fixed share of all tokens (at most
-2 * HOT_SHARE of them, a table of proven size) are looked up in place, so no bucket is hot.  Sums are whole numbers, so they do not
-depend on their order.
+2 * HOT_SHARE of them, a table of proven size) are looked up in place.  On a large corpus a word below that share can still be more than a task
+should take; a bucket whose other words and pairs occur more than TASK_TOKENS times is split: documents send to one of its parts, by their keys,
+and each part has the bucket's counts.  Sums are whole numbers, so they do not depend on their order.
 
 Scans: one to pick the target's texts, one of both corpora for counts, one for scores.
 
@@ -46,6 +47,7 @@ START = np.uint64(0x5BF03635F0935AD1)
 BUCKET_BYTES = 32 << 20  # text for which there is one bucket
 FEWEST_BITS = 4
 HOT_SHARE = 1 << 14  # a word or pair is looked up in place if it makes more than this part of all tokens
+TASK_TOKENS = 1 << 24  # words or pairs, hot ones apart, for which a bucket has one part
 HELD = 1 << 22  # keys that a task adds up at once
 UNIT = float(1 << 20)  # losses are whole numbers of this part of a nat
 WORDS, PAIRS, LOCAL = 1, 2, 3
@@ -53,7 +55,7 @@ WORDS, PAIRS, LOCAL = 1, 2, 3
 
 @dataclass(frozen=True)
 class Models:
-    """Counts (bucket, kind, keys, target, background) as packed arrays; of each corpus tokens and texts; the vocabulary; the hot counts."""
+    """Counts (bucket, kind, keys, target, background) as packed arrays; of each corpus tokens and texts; the vocabulary; the hot counts; split buckets."""
 
     counts: DataFrame
     bits: int
@@ -61,6 +63,7 @@ class Models:
     texts: tuple[int, int]
     vocabulary: int
     hot: dict[int, np.ndarray]  # by kind: (keys, target, background) of uint64
+    split: dict[tuple[int, int], int]  # (bucket, kind): parts, where there are several; fewer than tokens / TASK_TOKENS and than buckets
 
 
 def units(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -172,13 +175,19 @@ def train(target: DataFrame, background: DataFrame, tables: Tables, text_col: st
                 some = (a + b > least) | ((keys == mine[0]) & (bucket.as_py() == mine[1]) & (kind.as_py() == WORDS))
                 columns = [pa.array(np.full(some.sum(), kind.as_py(), np.int32)), *[pa.array(x[some].view(np.int64)) for x in (whole, a, b)]]
                 yield pa.RecordBatch.from_arrays(columns, ["kind", "key", "a", "b"])
+                parts_ = -(-int(b[~some].sum()) // TASK_TOKENS)  # scored are the background's texts
+                if parts_ > 1:
+                    yield pa.RecordBatch.from_pydict({"kind": pa.array([-kind.as_py()], pa.int32()), "key": [bucket.as_py()], "a": [parts_], "b": [0]})
 
     # keys above a share of all tokens: their number is bounded by the share
     found = counts.select("bucket", "kind", "keys", "target", "background").mapInArrow(frequent, "kind int, key long, a long, b long").toArrow()
+    several = found.filter(pc.less(found["kind"], 0))
+    split = {(b, -k): n for b, k, n in zip(*(several[c].to_pylist() for c in ("key", "kind", "a")), strict=True)}
+    found = found.filter(pc.greater(found["kind"], 0))
     kinds = found["kind"].to_numpy()
     table = np.stack([found[c].to_numpy().view(np.uint64) for c in ("key", "a", "b")]) if len(kinds) else np.zeros((3, 0), np.uint64)
     hot = {k: table[:, kinds == k][:, np.argsort(table[0, kinds == k])] for k in (WORDS, PAIRS)}
-    return Models(counts.select("bucket", "kind", "keys", "target", "background"), bits, (total.n0, total.n1), (total.d0, total.d1), total.words + 1, hot)
+    return Models(counts.select("bucket", "kind", "keys", "target", "background"), bits, (total.n0, total.n1), (total.d0, total.d1), total.words + 1, hot, split)
 
 
 def found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,14 +220,14 @@ def sums_by(owner: np.ndarray, n: int, kind: int, own: np.ndarray, said: np.ndar
 
 
 SUMS = ["t", "t_left", "b", "b_left"]
-SENT = ["bucket", "kind", "texts", "keys", "places", "owns"]
+SENT = ["bucket", "kind", "part", "texts", "keys", "places", "owns"]
 FOUND = ["key", "n", "rows", *SUMS]
 
 
 def losses(docs: DataFrame, models: Models, text_col: str) -> DataFrame:
     """(key, n, rows, t, t_left, b, b_left) of each different row key: tokens, rows and sums, those times the number of rows."""
     bits, vocabulary = models.bits, models.vocabulary
-    hot = docs.sparkSession.sparkContext.broadcast(models.hot)
+    hot, split = (docs.sparkSession.sparkContext.broadcast(x) for x in (models.hot, models.split))
 
     def of_rows(words: np.ndarray, pairs: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray, ...]]:
         """(kind, key, row, own, said, after): the words (with START) and pairs of each row, once."""
@@ -259,7 +268,8 @@ def losses(docs: DataFrame, models: Models, text_col: str) -> DataFrame:
                         some = slice(at[b], at[b + 1])
                         texts, place = np.unique(row[some], return_inverse=True)
                         blobs = [packed_keys(low(key[some], bits)), packed(place.astype(np.uint64)), packed(own[some] * np.uint64(2) + (last_word[some] if kind == WORDS else np.uint64(0)))]
-                        made.append([int(b), kind, names[texts].tobytes(), *blobs])
+                        part = int(mix(names[texts[:1]])[0] % np.uint64(split.value.get((int(b), kind), 1)))
+                        made.append([int(b), kind, part, names[texts].tobytes(), *blobs])
                     yield sent_rows(made)
                 # what was looked up here goes to a bucket by the row's key
                 counts = np.bincount(rows, minlength=n)
@@ -267,14 +277,14 @@ def losses(docs: DataFrame, models: Models, text_col: str) -> DataFrame:
                 made = []
                 for b in np.unique(home):
                     some = np.flatnonzero(home == b)
-                    made.append([int(b), LOCAL, names[some].tobytes(), packed(counts[some].astype(np.uint64)), np.stack([x[some] for x in local]).tobytes(), b""])
+                    made.append([int(b), LOCAL, 0, names[some].tobytes(), packed(counts[some].astype(np.uint64)), np.stack([x[some] for x in local]).tobytes(), b""])
                 yield sent_rows(made)
 
     def sent_rows(made: list[list]) -> pa.RecordBatch:
         columns = list(zip(*made, strict=True)) or [()] * len(SENT)
-        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in columns[:2]), *(pa.array(x, pa.binary()) for x in columns[2:])], SENT)
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in columns[:3]), *(pa.array(x, pa.binary()) for x in columns[3:])], SENT)
 
-    sent = docs.select("key", text_col).mapInArrow(run, "bucket int, kind int, texts binary, keys binary, places binary, owns binary")
+    sent = docs.select("key", text_col).mapInArrow(run, "bucket int, kind int, part int, texts binary, keys binary, places binary, owns binary")
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -305,7 +315,17 @@ def losses(docs: DataFrame, models: Models, text_col: str) -> DataFrame:
         zeros = pa.array(np.zeros(len(keys), np.int64))
         return pa.table([pa.array(keys), zeros, zeros, *map(pa.array, sums)], names=FOUND)
 
-    every = sent.groupBy("bucket", "kind").cogroup(models.counts.groupBy("bucket", "kind")).applyInArrow(look_up, ", ".join(f"{c} long" for c in FOUND))
+    def copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The counts of each bucket, once for each of its parts."""
+        for batch in batches:
+            for k, (bucket, kind) in enumerate(zip(batch["bucket"].to_pylist(), batch["kind"].to_pylist(), strict=True)):
+                for part in range(split.value.get((bucket, kind), 1)):
+                    yield batch.slice(k, 1).append_column("part", pa.array([part], pa.int32()))
+
+    ddl = "bucket int, kind int, keys binary, target binary, background binary, part int"
+    counts = models.counts.mapInArrow(copied, ddl) if models.split else models.counts.withColumn("part", F.lit(0))
+    keys = ["bucket", "kind", "part"]
+    every = sent.groupBy(*keys).cogroup(counts.groupBy(*keys)).applyInArrow(look_up, ", ".join(f"{c} long" for c in FOUND))
     return every.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "rows", *SUMS)])
 
 

@@ -609,9 +609,10 @@ def brute_scores(texts, chosen):
     return out
 
 
-@pytest.mark.parametrize("share", [1 << 14, 20])
-def test_scoring(spark, docs, clashing, no_docs, monkeypatch, share):
+@pytest.mark.parametrize(("share", "tokens"), [(1 << 14, 1 << 24), (20, 1 << 24), (1 << 14, 200), (20, 50)])
+def test_scoring(spark, docs, clashing, no_docs, monkeypatch, share, tokens):
     monkeypatch.setattr(perplexity, "HOT_SHARE", share)
+    monkeypatch.setattr(perplexity, "TASK_TOKENS", tokens)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     expected = brute_scores([t for _, t in rows], {k for k, (i, _) in enumerate(rows) if i is not None and 60 <= i <= 90})
     good = spark.createDataFrame([(i,) for i in range(60, 91)] + [(60,), (None,)], "doc_id long")
@@ -632,3 +633,21 @@ def test_scoring(spark, docs, clashing, no_docs, monkeypatch, share):
     assert perplexity.score_like(no_docs, good).count() == 0
     alone = perplexity.score_like(docs, good.limit(0)).collect()
     assert len(alone) == len(rows) and all(r.target_loss is not None for r in alone if r.n_tokens)
+
+
+def test_a_word_just_below_the_share_is_split(spark, monkeypatch):
+    """Many buckets, and a word that makes nearly all tokens and is not looked up in place: its bucket has many parts, and losses are the same."""
+    texts = [(k, "often " * 60 + f"rare{k} once{k % 7}") for k in range(400)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(8)
+    good = spark.createDataFrame([(k,) for k in range(40)], "doc_id long")
+    want = {r.doc_id: r.score for r in perplexity.score_like(df, good).collect()}
+    monkeypatch.setattr(perplexity, "HOT_SHARE", 1)
+    monkeypatch.setattr(perplexity, "TASK_TOKENS", 1000)
+    monkeypatch.setattr(perplexity, "BUCKET_BYTES", 256)
+    monkeypatch.setattr(perplexity, "START", np.uint64(0x5BF03635F0935AD1))
+    seen = {}
+    train = perplexity.train
+    monkeypatch.setattr(perplexity, "train", lambda *a, **b: seen.setdefault("models", train(*a, **b)))
+    got = {r.doc_id: r.score for r in perplexity.score_like(df, good).collect()}
+    assert max(seen["models"].split.values()) >= 20 and seen["models"].bits > 5
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in got)
