@@ -48,7 +48,7 @@ BUCKET_BYTES = 32 << 20  # text for which there is one bucket
 FEWEST_BITS = 4
 HOT_SHARE = 1 << 14  # a word or pair is looked up in place if it makes more than this part of all tokens
 TASK_TOKENS = 1 << 24  # words or pairs, hot ones apart, for which a bucket has one part
-HELD = 1 << 22  # keys that a task adds up at once
+HELD = 1 << 21  # keys that a task adds up at once
 UNIT = float(1 << 20)  # losses are whole numbers of this part of a nat
 WORDS, PAIRS, LOCAL = 1, 2, 3
 
