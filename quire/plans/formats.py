@@ -108,6 +108,44 @@ def page_previews(v: Views) -> DataFrame:
     return pages.metadata(with_head(v, NAMED)).select("page_id", "description", "site_name", "author", "image_url", "canonical_url")
 
 
+def varied_head(k: Column) -> Column:
+    """Heads that differ from page to page: which names they have, in which order, quotes and case, and what stands in them."""
+    some = lambda when, *parts: F.when(when, glued(*parts)).otherwise("")
+    n = k.cast("string")
+    long = F.when(k % 7 == 0, F.repeat(glued("w", n, " \n"), F.lit(300))).otherwise(glued(" D &lt;", n, "&gt; "))
+    return glued(
+        "<HEAD>", some(k % 3 == 0, "<meta name='twitter:title' content='TW ", n, "'>"), some(k % 2 == 0, '<META content="OG &quot;', n, '&quot;" property="og:title">'), some(k % 2 == 0, '<meta property="og:title" content="second">'),
+        some(k % 5 == 2, '<meta name="description" content="', long, '">'), some(k % 5 == 1, '<meta name="Twitter:Description" content="', long, '"/>'), some(k % 5 == 0, '<meta property="og:description" content="', long, '" data-x="og:title">'),
+        some(k % 4 == 1, "<meta property=og:site_name content=Site-", n, ">"), some(k % 4 == 2, '<meta name="application-name" content="App ', n, '">'), some(k % 4 == 3, '<meta name="application-name" content="">'),
+        some(k % 3 == 1, '<meta name="author" content="', F.when(k % 2 == 0, "https://example.com/me").otherwise(glued("Writer ", n)), '">'), "<!-- <meta property='og:image' content='/no.png'> -->",
+        some(k % 4 == 0, '<meta property="og:image" content="//cdn.example.com/', n, '.png">'), some(k % 4 == 1, '<meta name="twitter:image" content="https://img.example.com/', n, '?a=1&amp;b=2">'), some(k % 4 == 2, '<meta property="og:image" content="javascript:x">'),
+        some(k % 3 == 0, '<link rel="alternate" type="application/rss+xml" href="/rss/', n, '">'), some(k % 3 == 1, "<link TYPE='application/atom+xml; charset=utf-8' href='https://feeds.example.com/", n, "' rel='Alternate'>"),
+        some(k % 2 == 0, '<link rel="alternate" type="application/json" href="/feed/', n, '.json">'), some(k % 2 == 1, '<link rel="alternate" type="application/json" href="/api/', n, '">'), some(k % 5 == 0, '<link rel="canonical" href="/c/', n, '">'),
+        some(k % 5 == 1, '<link rel="alternate" type="text/html" href="/feed/html">'),
+    )
+
+
+def with_varied_head(v: Views) -> DataFrame:
+    return v.raw("pages").select("page_id", "url", F.call_function("replace", F.col("html"), F.lit("<head>"), varied_head(F.col("page_id"))).alias("html"))
+
+
+def varied_previews(v: Views) -> DataFrame:
+    return pages.metadata(with_varied_head(v)).select("page_id", "title", "description", "site_name", "author", "image_url", "canonical_url")
+
+
+def varied_feeds(v: Views) -> DataFrame:
+    return pages.feed_links(with_varied_head(v)).select("page_id", "feed", "comments")
+
+
+def varied_references(v: Views) -> DataFrame:
+    """Every word of a post's beginning written with references: a character as a decimal or hexadecimal number, ampersands by name."""
+    k = F.col("doc_id")
+    code = k % 0x2000 + 33
+    mark = F.when(k % 2 == 0, glued("&#", code.cast("string"), ";")).otherwise(glued("&#x", F.lower(F.hex(code)), ";"))
+    text = glued(mark, "&amp;", F.coalesce("lang", F.lit("")), "&amp;lt;&hellip;", mark, "&nosuch;&#", F.repeat(F.lit("9"), (k % 8 + 1).cast("int")))
+    return v.raw("documents").select("doc_id", decode_named(text).alias("text"))
+
+
 def character_references(v: Views) -> DataFrame:
     """Numeric and named references decoded once."""
     text = glued("&#39;", F.col("page_id").cast("string"), "&#x27;&#8212;&#X1F600;&amp;#39;&#38;lt;&lt;&#0;&#xD800;&#9999999;& &#; &#x;")
@@ -218,6 +256,9 @@ QUERIES = {
     "discovered_feeds": discovered_feeds,
     "page_previews": page_previews,
     "character_references": character_references,
+    "varied_previews": varied_previews,
+    "varied_feeds": varied_feeds,
+    "varied_references": varied_references,
     "web_urls": web_urls,
     "located_quotes": located_quotes,
     "stub_picks": stub_picks,
@@ -277,6 +318,16 @@ select * from found f where not exists (select 1 from entries e where e.created_
   unnest([true, false, false]) as comments from pages""",
     "page_previews": f"""select page_id, 'A &amp; B''s — text' as description, 'A Site' as site_name, 'A. Writer' as author, {ORIGIN} || '/img/1.png' as image_url, {ORIGIN} || '/c' as canonical_url from pages""",
     "character_references": """select page_id, '''' || page_id || '''—😀&#39;&lt;<&#0;&#xD800;&#9999999;& &#; &#x;' as text from pages""",
+    "varied_previews": rf"""with p as (select page_id as k, url, trim(regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')) as t,
+  case when page_id % 7 = 0 then trim(repeat('w' || page_id || ' ', 300)) else 'D <' || page_id || '>' end as d from pages)
+select k as page_id, case when k % 2 = 0 then 'OG "' || k || '"' when k % 3 = 0 then 'TW ' || k when t <> '' then case when length(t) > 300 then rtrim(substr(t, 1, 299)) || '…' else t end end as title,
+case when k % 5 <= 2 then case when length(d) > 1000 then rtrim(substr(d, 1, 999)) || '…' else d end end as description, case k % 4 when 1 then 'Site-' || k when 2 then 'App ' || k end as site_name,
+case when k % 3 = 1 and k % 2 = 1 then 'Writer ' || k end as author, case k % 4 when 0 then split_part(url, '//', 1) || '//cdn.example.com/' || k || '.png' when 1 then 'https://img.example.com/' || k || '?a=1&b=2' end as image_url,
+case when k % 5 = 0 then {ORIGIN} || '/c/' || k end as canonical_url from p""",
+    "varied_feeds": f"""select page_id, feed, false as comments from (
+  select page_id, {ORIGIN} || '/rss/' || page_id as feed from pages where page_id % 3 = 0 union all select page_id, 'https://feeds.example.com/' || page_id from pages where page_id % 3 = 1
+  union all select page_id, {ORIGIN} || '/feed/' || page_id || '.json' from pages where page_id % 2 = 0)""",
+    "varied_references": """select doc_id, chr(cast(doc_id % 8192 + 33 as int)) || '&' || coalesce(lang, '') || '&lt;…' || chr(cast(doc_id % 8192 + 33 as int)) || '&nosuch;&#' || repeat('9', cast(doc_id % 8 + 1 as int)) as text from documents""",
     "web_urls": """select page_id, case page_id % 6 when 0 then url when 1 then 'https://' || regexp_replace(url, '^https?://', '') when 5 then null end as web_url from pages""",
     "located_quotes": """with t as (select doc_id, text, lower(regexp_replace(text, '\\s+', '', 'g')) as squeezed, regexp_extract_all(text, '\\S+')[4:6] as few from documents),
 p as (select *, case when doc_id % 3 <> 0 and len(few) > 0 then instr(squeezed, lower(array_to_string(few, ''))) end as hit from t),
