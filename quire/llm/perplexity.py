@@ -45,7 +45,7 @@ from quire.llm.text import STEP, mix, parts, tokens
 ALPHA, MU = 0.1, 64.0
 START = np.uint64(0x5BF03635F0935AD1)
 BUCKET_BYTES = 16 << 20  # text for which there is one bucket
-FEWEST_BITS = 4
+FEWEST_BITS = 6
 HOT_SHARE = 1 << 14  # a word or pair is looked up in place if it makes more than this part of all tokens
 TASK_TOKENS = 1 << 24  # words or pairs, hot ones apart, for which a bucket has one part
 HELD = 1 << 21  # keys that a task adds up at once
