@@ -13,7 +13,8 @@ near copies are joined without making all their pairs.
 
 Scans: one for the sketch, one for sets and prefixes, one per verification for the sets of candidates
 (behind a fixed-size bitmap).  Shuffled: packed sketches, prefixes (about a tenth of the shingles for
-t = 0.9), candidate sets.  Shingles are compared by 64-bit hashes.
+t = 0.9) once to find equal sets and four bytes a shingle to find those that two sets have, postings of these alone, candidate sets.
+A table goes as soon as nothing reads it.  Shingles are compared by 64-bit hashes.
 
 Rows are addressed by a hash of their set, never by their id, so an id with several texts is several documents.
 
@@ -30,17 +31,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from quire.llm.counters import counters
 from quire.llm.graph import connect, shared_postings
+from quire.llm.repeats import bucket_bits, short, twice
 from quire.llm.store import Tables, bitmap, present, unused
 from quire.llm.text import LOWER, SPACE, mix, ngrams, parts, span_hashes, spans
 
 MORE = 3  # an l of up to MORE + 1, or a quarter of the shortest prefix, may be chosen
 SKETCH_BITS = 22
+SHARED_BITS = 26
 VERIFY_COST = 40.0  # of one candidate, in postings
 
 
@@ -126,6 +130,34 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
     return narrow.mapInArrow(run, "doc long, row long, n_shingles long, set long, shortest int, prefix array<long>")
 
 
+def repeated_tokens(sets: DataFrame, tables: Tables, bits: int) -> np.ndarray:
+    """A bitmap of the shingles that stand in the prefixes of two sets or more."""
+
+    def tokens(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        # a prefix has the smallest hashes of its set, so they are mixed again to fill the buckets alike
+        yield short(mix(batch.column(0).flatten().to_numpy().view(np.uint64)), bits)
+
+    return bitmap(tables.keep(twice(sets.select("prefix"), tokens, bits), "twice"), SHARED_BITS)
+
+
+def possible(sets: DataFrame, known: np.ndarray, bits: int) -> DataFrame:
+    """(id, rank, size, shortest, pos, token): the postings of prefixes but those whose shingle no other prefix has; a few of these stay by chance."""
+    shared = sets.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(4)
+            hashes = lists.flatten().to_numpy()
+            of, ends = pc.list_parent_indices(lists).to_numpy(), np.cumsum(pc.list_value_length(lists).to_numpy())
+            some = np.flatnonzero(present(shared.value, short(mix(hashes.view(np.uint64)), bits)))
+            place = some - np.append(0, ends)[of[some]]
+            ids = [batch.column(c).take(pa.array(of[some])) for c in range(4)]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(place.astype(np.int32)), pa.array(hashes[some])], ["id", "rank", "size", "shortest", "pos", "token"])
+
+    narrow = sets.select("id", F.coalesce("least", F.lit((1 << 63) - 1)).alias("rank"), F.col("n").cast("int").alias("size"), "shortest", "prefix")
+    return narrow.mapInArrow(run, "id long, rank long, size int, shortest int, pos int, token long")
+
+
 def adapt(postings: DataFrame, percent: int, tables: Tables) -> DataFrame:
     """Choose each document's l and keep its postings of that prefix: (token, id, need, size, n, center).
 
@@ -200,11 +232,18 @@ def linked(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str,
     # equal sets: one representative
     same = some.groupBy(F.col("set").alias("id")).agg(F.min("doc").alias("least"), F.min("row").alias("row"), F.any_value("n_shingles").alias("n"), F.any_value("shortest").alias("shortest"), F.any_value("prefix").alias("prefix"))
     same = tables.keep(same, "sets")
-    postings = same.select("id", F.coalesce("least", F.lit((1 << 63) - 1)).alias("rank"), F.col("n").cast("int").alias("size"), "shortest", F.posexplode("prefix").alias("pos", "token"))
-    postings = adapt(shared_postings(postings, tables, "join", "rank"), percent, tables)
-    roots = connect(postings, percent, fetcher(docs, id_col, text_col, size, same.select("id", "row")), jaccard_at_least(percent), tables, "join")
-    sets = same.select("id", "least").join(tables.keep(roots, "roots"), "id", "left")
-    return made.select("doc", "row", "n_shingles", "set"), tables.keep(sets.select(F.col("id").alias("set"), F.coalesce("root", "id").alias("root"), "least"), "named")
+    # without prefixes, which are most of both tables
+    rows = tables.keep(made.select("doc", "row", "n_shingles", "set"), "rows")
+    named = tables.keep(same.select("id", "least", "row"), "ids")
+    bits = bucket_bits(docs.select(F.col(text_col).alias("text")))
+    spread = tables.keep(possible(same, repeated_tokens(same, tables, bits), bits), "possible")
+    tables.drop("prefixes", "sets", "twice")
+    postings = adapt(shared_postings(spread, tables, "join", "rank"), percent, tables)
+    tables.drop("possible", "join-shared", "join-postings", "needs")
+    roots = connect(postings, percent, fetcher(docs, id_col, text_col, size, named.select("id", "row")), jaccard_at_least(percent), tables, "join")
+    tables.drop("adapted")
+    sets = named.select("id", "least").join(tables.keep(roots, "roots"), "id", "left")
+    return rows, tables.keep(sets.select(F.col("id").alias("set"), F.coalesce("root", "id").alias("root"), "least"), "named")
 
 
 def groups(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -682,3 +682,22 @@ def test_a_word_just_below_the_share_is_split(spark, monkeypatch):
     got = {r.doc_id: r.score for r in perplexity.score_like(df, good).collect()}
     assert max(seen["models"].split.values()) >= 20 and seen["models"].bits > 5
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in got)
+
+
+def test_jaccard_shuffles_only_shared_postings(spark):
+    """Of texts that share nothing, no posting is left to shuffle; a copy's postings are all there, with their places."""
+    from pyspark.sql import functions as F
+
+    from quire.llm import jaccard
+    from quire.llm.store import Tables
+
+    texts = [" ".join(f"w{k}x{j}" for j in range(60)) for k in range(40)]
+    docs = spark.createDataFrame([*enumerate(texts), (100, texts[3] + " more")], "doc_id long, text string")
+    tables = Tables(spark, "shared")
+    made = jaccard.prefixes(docs, "doc_id", "text", 3, 90, np.zeros(1 << 10, np.uint8))
+    sets = tables.keep(made.select(F.col("set").alias("id"), F.col("doc").alias("least"), F.col("n_shingles").alias("n"), "shortest", "prefix"), "sets")
+    left = jaccard.possible(sets, jaccard.repeated_tokens(sets, tables, 12), 12)
+    every = sets.select("id", F.posexplode("prefix").alias("pos", "token"))
+    shared = every.join(every.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "token").select("id", "pos", "token")
+    assert shared.count() > 4 and set(left.where("rank in (3, 100)").select("id", "pos", "token").collect()) >= set(shared.collect())
+    assert left.where("rank not in (3, 100)").count() <= 1
