@@ -14,11 +14,15 @@ ARTICLE_WORDS, MAX_ATTEMPTS, READ_CHARS, BATCH = 100, 3, 30_000, 20
 
 
 def entry_links(v: Views) -> DataFrame:
-    """The post of each link: by its source, else by a post of the same URL; a union of two equi-joins instead of an OR."""
+    """The post of each link: by its source, else the newest post of the same URL; a union of two equi-joins instead of an OR.
+
+    The newest post of a URL is the same for all its links, so it is found once: a URL that many posts and many links have makes no pairs of them.
+    """
     posts = v.entries.select("entry_id", F.concat(F.lit("https://feed.example.com/"), (F.col("entry_id") % 97).cast("string")).alias("url"), "entry_date")
     links = v.links.select("link_id", "source_entry_id", F.concat(F.lit("https://feed.example.com/"), (F.col("link_id") % 211).cast("string")).alias("seen"))
     by_source = links.join(posts, F.col("source_entry_id") == F.col("entry_id")).select("link_id", "entry_id", "entry_date", F.lit(0).alias("how"))
-    by_url = links.join(posts, F.col("seen") == F.col("url")).select("link_id", "entry_id", "entry_date", F.lit(1).alias("how"))
+    newest = posts.groupBy("url").agg(F.max(F.struct("entry_date", "entry_id")).alias("post"))
+    by_url = links.join(newest, F.col("seen") == F.col("url")).select("link_id", "post.entry_id", "post.entry_date", F.lit(1).alias("how"))
     best = top_per(by_source.unionByName(by_url), ["link_id"], [F.asc("how"), F.desc("entry_date"), F.desc("entry_id")], 1)
     return best.select("link_id", "entry_id", (F.col("how") == 0).alias("by_source"))
 

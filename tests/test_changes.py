@@ -137,3 +137,13 @@ def test_a_commit_without_its_manifest_is_not_seen(spark, table, tmp_path):
     assert rows_of(table.read()) == [(1, "a", 1)]
     table.merge(df([(1, "b", 1)]), "two")
     assert rows_of(table.read()) == [(1, "b", 1)]
+
+
+def test_links_meet_one_post_a_url(spark):
+    """Links are joined with the newest post of a URL, not with all its posts."""
+    from quire.operators.edits import entry_links
+    from quire.plans.views import Views
+
+    plan = entry_links(Views(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    by_url = plan[plan.index("Union") :].split("Join Inner")[-1]
+    assert "Aggregate [" in by_url
