@@ -337,6 +337,23 @@ def test_near_lines_are_found(spark, monkeypatch, percent, hot, refine):
     assert got <= expected and len(got) >= 0.9 * len(expected) > 50, (len(got), len(expected))
 
 
+def test_line_tables_go(spark, monkeypatch):
+    """What only the search for pairs reads is deleted before lines are compared."""
+    from pathlib import Path
+
+    kept = []
+    connect = lines.connect
+
+    def seen(postings, *rest):
+        kept.append({p.name for p in Path(rest[3].root.removeprefix("file:")).iterdir()})
+        return connect(postings, *rest)
+
+    monkeypatch.setattr(lines, "connect", seen)
+    texts = [(k, f"one of many lines that are near each other in number {chr(97 + k)}x") for k in range(20)]
+    assert lines.drops(spark.createDataFrame(texts, "doc_id long, text string")).count() == 19
+    assert kept == [{"every", "exact", "postings"}]
+
+
 # ---- op6
 
 
