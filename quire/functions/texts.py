@@ -51,10 +51,10 @@ def decode_numeric(text: Column) -> Column:
 
 def decode_named(text: Column) -> Column:
     """Numeric and named references by their characters; the ampersand last, so that nothing is decoded twice."""
-    text = decode_numeric(text)
+    decoded = decode_numeric(text)
     for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return text
+        decoded = F.replace(decoded, F.lit(f"&{name};"), F.lit(char))
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
 def strip_tags(html: Column) -> Column:

@@ -12,6 +12,7 @@ paragraph of 25 characters has no article and no row.  Sizes count code points.
 
 from __future__ import annotations
 
+import functools
 import re
 import uuid
 from collections import defaultdict
@@ -40,6 +41,8 @@ SHARES, WHOLE = (36, 18, 6, 4, 3), 36
 NEVER, PERHAPS = re.compile(UNLIKELY, re.I), re.compile(MAYBE, re.I)
 LINES = sorted(BLOCK | {"li", "br", "tr"})
 SPACE = "[\\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+#: the characters of SPACE
+SPACES = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 LAZY = ("data-src", "data-original", "data-lazy-src")
 
 
@@ -85,55 +88,54 @@ def attribute(name: str) -> Column:
 
 
 def measured(rows: DataFrame) -> DataFrame:
-    """One row an element: where it opens and closes, and what its text has, from running sums over the tokens of its page."""
-    text = decode_named(F.col("text"))
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    facts = rows.withColumns({
-        "size": F.length(F.regexp_replace("text", f"^{SPACE}+|{SPACE}+$", "")),
-        "solid": F.length(F.regexp_replace(text, f"{SPACE}+", "")),
-        "words": count(SPACE.replace("[", "[^", 1) + "+"),
-        "commas": count("[,，]"),
-        "stops": count(f"\\.{SPACE}"),
-        "opens": F.when(text != "", text.rlike(f"^{SPACE}")),  # begins with space; null for what is no text
-        "shuts": F.when(text != "", text.rlike(f"{SPACE}$")),
-        "dot": F.when(text != "", F.endswith(text, F.lit("."))),
-    })
-    onward, back = Window.partitionBy("id").orderBy("place"), Window.partitionBy("id").orderBy(F.col("place").desc())
-    before = onward.rowsBetween(Window.unboundedPreceding, -1)
-    after = back.rowsBetween(Window.unboundedPreceding, -1)
+    """One row an element: where it opens and closes, and what its text and the links in it have, from running sums over the tokens of its page."""
+    # each pattern once a text; the counts come from lengths
+    spaced = rows.withColumn("decoded", decode_named(F.col("text"))).withColumn("plain", F.regexp_replace("decoded", f"{SPACE}+", " "))
+    without = lambda text, *parts: functools.reduce(lambda t, p: F.replace(t, F.lit(p), F.lit("")), parts, text)
+    plain, there = F.col("plain"), F.col("plain") != ""
+    known = spaced.select(
+        "id", "place", "kind", "node", "parent", "tag", "attrs", "alone", "above", "level",
+        F.length(F.btrim("text", F.lit(SPACES))).alias("size"),
+        F.length(without(plain, " ")).alias("solid"), F.length(plain).alias("whole"),
+        (F.length(plain) - F.length(without(plain, ",", "，"))).alias("commas"),
+        F.floor((F.length(plain) - F.length(without(plain, ". "))) / 2).alias("stops"),
+        F.when(there, F.startswith(plain, F.lit(" "))).alias("opens"),  # begins with space; null for what is no text
+        F.when(there, F.endswith(plain, F.lit(" "))).alias("shuts"),
+        F.when(there, F.endswith(plain, F.lit("."))).alias("dot"),
+    )
+    number = lambda c: F.col(c).cast("int")
+    facts = known.withColumn("words", F.when(F.col("solid") > 0, F.col("whole") - F.col("solid") + 1 - number("opens") - number("shuts")))
+    onward = Window.partitionBy("id").orderBy("place")
+    before, upto = onward.rowsBetween(Window.unboundedPreceding, -1), onward.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # a word that goes on from the text before is none of its own; a stop before the next text's space ends a sentence
-    linked = facts.withColumns({"goes_on": F.when(F.col("opens").isNotNull(), ~F.col("opens") & ~F.coalesce(F.last("shuts", True).over(before), F.lit(True))), "then": F.last("opens", True).over(after)})
-    known = linked.withColumns({"first_goes_on": F.last("goes_on", True).over(after), "stops": F.col("stops") + F.when(F.col("dot") & F.coalesce("then", F.lit(True)), 1).otherwise(0)})
-    upto = onward.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = known.select(
-        "id", "place", "kind", "node", "parent", "tag", "attrs", "alone", "above", "level", "first_goes_on",
-        *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(c) for c in ("size", "solid", "commas", "stops")],
-        F.coalesce(F.sum(F.col("words") - F.when(F.col("goes_on"), 1).otherwise(0)).over(upto), F.lit(0)).alias("words"),
+    joined = facts.withColumns({"shut": F.last("shuts", True).over(before), "then": F.expr("lead(opens) ignore nulls over (partition by id order by place)")})
+    goes_on = lambda opens: ~F.col(opens) & ~F.coalesce("shut", F.lit(True))
+    ended = F.when(F.col("dot") & F.coalesce("then", F.lit(True)), 1).otherwise(0)
+    summed = joined.select(
+        "id", "place", "kind", "node", "parent", "tag", "attrs", "alone", "above", "level", goes_on("then").alias("first_goes_on"),
+        *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(c) for c in ("size", "solid", "commas")],
+        F.coalesce(F.sum(F.col("stops") + ended).over(upto), F.lit(0)).alias("stops"),
+        F.coalesce(F.sum(F.col("words") - F.when(goes_on("opens"), 1).otherwise(0)).over(upto), F.lit(0)).alias("words"),
         F.last("dot", True).over(upto).alias("dot"),
-    )
+    ).where(F.col("kind") != TEXT)
+    # the outermost links inside an element have as many links above them as the element has
+    link = F.col("tag") == "a"
+    running = F.sum(F.when(link, F.when(F.col("kind") == CLOSE, F.col("size")).otherwise(-F.col("size"))).otherwise(0))
+    linked = summed.withColumn("inside", running.over(Window.partitionBy("id", "level").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     at = lambda c, kind: F.max(F.when(F.col("kind") == kind, F.col(c)))
     names = F.concat_ws(" ", F.coalesce(attribute("class"), F.lit("")), F.coalesce(attribute("id"), F.lit("")))
-    whole = summed.where(F.col("kind") != TEXT).withColumn("names", F.when(F.col("kind") == OPEN, names)).groupBy("id", "node").agg(
+    whole = linked.withColumn("names", F.when(F.col("kind") == OPEN, names)).groupBy("id", "node").agg(
         F.first("parent").alias("parent"), F.first("tag").alias("tag"), F.max("names").alias("names"), at("alone", CLOSE).alias("alone"), F.first("above", True).alias("above"), F.first("level").alias("level"),
-        at("place", OPEN).alias("enter"), at("place", CLOSE).alias("leave"), F.max("first_goes_on").alias("any_goes_on"), at("first_goes_on", OPEN).alias("first_goes_on"), at("dot", CLOSE).alias("dot"),
-        *[(at(c, CLOSE) - at(c, OPEN)).alias(c) for c in ("size", "solid", "commas", "stops", "words")],
+        at("place", OPEN).alias("enter"), at("place", CLOSE).alias("leave"), at("first_goes_on", OPEN).alias("first_goes_on"), at("dot", CLOSE).alias("dot"),
+        *[(at(c, CLOSE) - at(c, OPEN)).alias(c) for c in ("size", "solid", "commas", "stops", "words", "inside")],
     )
     length = F.when(F.col("solid") > 0, F.col("solid") + F.col("words") + F.when(F.col("first_goes_on"), 1).otherwise(0) - 1).otherwise(0)
-    return whole.select(
+    found = whole.select(
         "id", "node", "parent", "tag", "names", "alone", "above", "level", "enter", "leave", "size", "commas", length.alias("length"),
         ((F.col("stops") > 0) | ((F.col("solid") > 0) & F.coalesce("dot", F.lit(False)))).alias("ends"),
+        F.when(link, F.col("size")).otherwise(F.col("inside")).alias("linked"),
     )
-
-
-def with_links(found: DataFrame) -> DataFrame:
-    """The elements with the part of their text in links: the outermost links inside have as many links above them as the element has."""
-    link = F.col("tag") == "a"
-    ends = F.array(F.struct(F.col("enter").alias("at"), F.lit(0).cast("long").alias("more")), F.struct(F.col("leave").alias("at"), F.when(link, F.col("size")).otherwise(0).cast("long").alias("more")))
-    running = F.sum("more").over(Window.partitionBy("id", "level").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    spread = found.select("id", "level", "node", F.inline(ends)).withColumn("running", running)
-    sums = spread.groupBy("id", "node").agg((F.max("running") - F.min("running")).alias("inside"))
-    joined = found.join(sums, ["id", "node"]).withColumn("linked", F.when(link, F.col("size")).otherwise(F.col("inside"))).drop("inside")
-    return joined.withColumn("density", F.when(F.col("size") > 0, F.col("linked") / F.col("size")).otherwise(0.0))
+    return found.withColumn("density", F.when(F.col("size") > 0, F.col("linked") / F.col("size")).otherwise(0.0))
 
 
 def scores(found: DataFrame) -> DataFrame:
@@ -182,16 +184,14 @@ def left_over(table: pa.Table) -> pa.Table:
             linked[up] += links
             image[up] |= pictured
     out = [r for r in rows if gone[r["node"]]]
-    return pa.table({"id": pa.array([r["id"] for r in out], table.schema.field("id").type), "node": pa.array([r["node"] for r in out], pa.int32())})
+    return pa.table({"id": pa.array([r["id"] for r in out], table.schema.field("id").type), "enter": pa.array([r["enter"] for r in out], pa.int32()), "leave": pa.array([r["leave"] for r in out], pa.int32())})
 
 
-def within(rows: DataFrame, marks: DataFrame, name: str) -> DataFrame:
-    """The tokens with the number of marked elements that each stands in; an element stands in itself."""
-    onward = Window.partitionBy("id").orderBy("place")
-    marked = rows.join(marks.select("id", "node", F.lit(1).alias("__mark")), ["id", "node"], "left")
-    opened = F.sum(F.when(F.col("kind") == OPEN, F.col("__mark"))).over(onward.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    closed = F.sum(F.when(F.col("kind") == CLOSE, F.col("__mark"))).over(onward.rowsBetween(Window.unboundedPreceding, -1))
-    return marked.withColumn(name, F.coalesce(opened, F.lit(0)) - F.coalesce(closed, F.lit(0))).drop("__mark")
+def bounds(marks: DataFrame, name: str, outside: Column) -> DataFrame:
+    """Two rows an element of ``marks``, which sort around its tokens (``outside``: or right inside them): ``name`` goes up by one and down again."""
+    step = F.when(outside, 1).otherwise(-1)
+    ends = F.array(F.struct(F.col("enter").alias("place"), step.alias("step"), F.lit(1).alias(name)), F.struct(F.col("leave").alias("place"), (-step).alias("step"), F.lit(-1).alias(name)))
+    return marks.select("id", F.inline(ends))
 
 
 def escaped(text: Column, quotes: bool = False) -> Column:
@@ -200,30 +200,37 @@ def escaped(text: Column, quotes: bool = False) -> Column:
     return text
 
 
-def markup(base: Column) -> Column:
-    """The token as markup of the kept elements: links and pictures by whole addresses, headings from the second on."""
-    tag = F.when(F.col("tag") == "h1", "h2").otherwise(F.col("tag"))
-    href = absolute(attribute("href"), base)
+def addressed(pieces: DataFrame) -> DataFrame:
+    """The tokens with ``href`` of links and ``source`` of pictures, as whole addresses."""
     sets = F.coalesce(attribute("data-srcset"), attribute("srcset"))
     candidates = F.filter(F.transform(F.split(sets, ","), lambda c: F.regexp_extract(c, "(\\S+)", 1)), lambda c: c != "")
-    source = absolute(F.coalesce(*map(attribute, LAZY), F.element_at(F.nullif(candidates, F.array().cast("array<string>")), -1), attribute("src")), base)
+    source = F.coalesce(*map(attribute, LAZY), F.element_at(F.nullif(candidates, F.array().cast("array<string>")), -1), attribute("src"))
+    # one address a token: ``absolute`` names it many times
+    given = pieces.withColumn("given", F.when(F.col("tag") == "a", attribute("href")).when((F.col("tag") == "img") & (F.col("kind") == OPEN), source))
+    return given.withColumn("address", F.when(F.col("given").isNotNull(), absolute(F.col("given"), F.col("base")))).drop("given")
+
+
+def markup() -> Column:
+    """The token as markup of the kept elements: links and pictures by whole addresses, headings from the second on."""
+    tag = F.when(F.col("tag") == "h1", "h2").otherwise(F.col("tag"))
+    address = F.col("address")
     given = lambda name, value: F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f' {name}="'), escaped(value, True), F.lit('"'))).otherwise("")
-    attrs = F.when(F.col("tag") == "a", given("href", href)).when(F.col("tag").isin("td", "th"), given("colspan", attribute("colspan"))).otherwise("")
+    attrs = F.when(F.col("tag") == "a", given("href", address)).when(F.col("tag").isin("td", "th"), given("colspan", attribute("colspan"))).otherwise("")
     opening = (
-        F.when((F.col("tag") == "img") & source.isNull(), "")
-        .when(F.col("tag") == "img", F.concat(F.lit("<img"), given("src", source), given("alt", attribute("alt")), F.lit(">")))
+        F.when((F.col("tag") == "img") & address.isNull(), "")
+        .when(F.col("tag") == "img", F.concat(F.lit("<img"), given("src", address), given("alt", attribute("alt")), F.lit(">")))
         .otherwise(F.concat(F.lit("<"), tag, attrs, F.lit(">")))
     )
-    unwrapped = ~tag.isin(*KEPT) | ((F.col("tag") == "a") & href.isNull())
+    unwrapped = ~tag.isin(*KEPT) | ((F.col("tag") == "a") & address.isNull())
     closing = F.when(tag.isin(*VOID), "").otherwise(F.concat(F.lit("</"), tag, F.lit(">")))
     return F.when(F.col("kind") == TEXT, escaped(decode_named(F.col("text")))).when(unwrapped, "").when(F.col("kind") == OPEN, opening).otherwise(closing)
 
 
 def tidied(text: Column) -> Column:
     """Plain text with single spaces and at most one blank line."""
-    for pattern, new in (("[ \\t\\r\\f\\x0b\u00a0]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n"), (f"^{SPACE}+|{SPACE}+$", "")):
+    for pattern, new in (("[ \\t\\r\\f\\x0b\u00a0]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n")):
         text = F.regexp_replace(text, pattern, new)
-    return text
+    return F.btrim(text, F.lit(SPACES))
 
 
 class Reader:
@@ -234,26 +241,31 @@ class Reader:
         page = F.substring(html_col, 1, MAX_PAGE)
         base = F.regexp_extract(page, "(?i)<base\\s[^>]*href\\s*=\\s*[\"']?([^\"'\\s>]+)", 1)
         url = F.col(url_col) if url_col else F.lit(None).cast("string")
-        bases = pages.select(F.col(id_col).alias("id"), F.coalesce(absolute(F.nullif(base, F.lit("")), url), url).alias("base"))
+        linked = pages.select(F.col(id_col).alias("id"), F.nullif(base, F.lit("")).alias("named"), url.alias("url"))
+        bases = linked.select("id", F.when(F.col("named").isNull(), F.col("url")).otherwise(F.coalesce(absolute(F.col("named"), F.col("url")), "url")).alias("base"))
         rows = self.written(tokens(pages.select(F.col(id_col).alias("id"), focused(F.col(html_col)).alias("html")), "id", "html", left_out), "tokens")
-        found = self.written(with_links(measured(rows)), "elements")
+        found = self.written(measured(rows), "elements")
         kept = self.written(chosen(found), "kept")
-        ranges = within(rows.where(F.col("kind") != TEXT).select("id", "place", "kind", "node"), kept, "inside")
-        inside = ranges.where("inside > 0 and kind = 0").select("id", "node")
-        judged = found.join(inside, ["id", "node"]).join(kept.select("id", "node", "bare"), ["id", "node"], "left")
-        facts = judged.select("id", "node", "parent", "tag", "leave", "size", F.coalesce("bare", F.lit(False)).alias("bare"), F.col("tag").isin(*TIDIED).alias("boxed"), (weight(F.col("names")) < 0).alias("against"))
+        # kept elements stand side by side, so the last one that opened holds an element or none does
+        held = F.max("until").over(Window.partitionBy("id").orderBy("enter").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        judged = found.join(kept.select("id", "node", "bare", F.col("leave").alias("until")), ["id", "node"], "left").withColumn("held", held).where("held >= leave")
+        facts = judged.select("id", "node", "parent", "tag", "enter", "leave", "size", F.coalesce("bare", F.lit(False)).alias("bare"), F.col("tag").isin(*TIDIED).alias("boxed"), (weight(F.col("names")) < 0).alias("against"))
         kind = pages.schema[id_col].dataType.simpleString()
-        gone = facts.groupBy("id").applyInArrow(left_over, f"id {kind}, node int")
-        left = within(within(rows, kept, "inside"), gone, "lost").where("inside > 0 and lost = 0")
-        own = left.join(kept.where("bare").select("id", "node", "bare"), ["id", "node"], "left").join(bases, "id")
+        gone = facts.groupBy("id").applyInArrow(left_over, f"id {kind}, enter int, leave int")
+        # the bounds of elements are sorted in between the tokens; a bare element's own tags are outside
+        marked = rows.select("id", "place", "kind", "tag", "attrs", "text", F.lit(0).alias("step"))
+        for more in (bounds(kept, "inside", F.col("bare")), bounds(gone, "lost", F.lit(False))):
+            marked = marked.unionByName(more, allowMissingColumns=True)
+        upto = Window.partitionBy("id").orderBy("place", "step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        summed = marked.select("id", "place", "kind", "tag", "attrs", "text", F.sum("inside").over(upto).alias("within"), F.coalesce(F.sum("lost").over(upto), F.lit(0)).alias("lost"), "inside")
+        # bounds stay as empty pieces, so that an article of nothing has its row
+        own = summed.where("inside is not null or (kind is not null and within > 0 and lost = 0)").join(bases, "id")
         line = F.when(F.col("kind") == TEXT, F.col("text")).when(F.col("tag").isin(*LINES), "\n").otherwise("")
-        pieces = own.where("bare is null").select("id", "place", markup(F.col("base")).alias("html"), line.alias("text"))
-        joined = pieces.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "html", "text"))).alias("pieces"))
-        whole = lambda c: F.array_join(F.transform("pieces", lambda p: p[c]), "")
-        html = F.substring(F.regexp_replace(whole("html"), f"^{SPACE}+|{SPACE}+$", ""), 1, MAX_ARTICLE)
-        self.articles = kept.select("id").distinct().join(joined, "id", "left").select(
-            F.col("id").alias(id_col), F.coalesce(html, F.lit("")).alias("html"), F.coalesce(tidied(decode_named(whole("text"))), F.lit("")).alias("text")
-        ).withColumn("words", words(F.col("text")))
+        pieces = addressed(own).select("id", "place", F.coalesce(markup(), F.lit("")).alias("html"), line.alias("text"))
+        joined = pieces.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "html", "text"))).alias("pieces"))
+        whole = lambda c: F.array_join(F.col(f"pieces.{c}"), "")
+        texts = joined.select("id", F.substring(F.btrim(whole("html"), F.lit(SPACES)), 1, MAX_ARTICLE).alias("html"), decode_named(whole("text")).alias("text"))
+        self.articles = texts.select(F.col("id").alias(id_col), "html", tidied(F.col("text")).alias("text")).withColumn("words", words(F.col("text")))
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         """The same rows, read from a table in the shared folder."""

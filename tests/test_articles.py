@@ -262,3 +262,23 @@ def test_long_and_deep_pages(spark):
     got = {r.page_id: r for r in reader.articles.collect()}
     assert got[1].text.count("This paragraph") >= 5000 and got[2].text == LONG.strip()
     reader.done()
+
+
+def test_tokens_are_measured_in_one_shuffle_and_written_in_one(spark):
+    """Elements were measured twice, and tokens joined and sorted again for each kind of mark: the time grew to more than its limit."""
+    df = spark.createDataFrame([(k, h, URL) for k, h in CASES.items()], "page_id long, html string, url string")
+    reader = articles.Reader(df, url_col="url")
+    tokens_table = reader.tables[0].rsplit("/", 1)[-1]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    measures = plan(articles.measured(spark.read.parquet(reader.tables[0])))
+    assert measures.count("Exchange hashpartitioning") == 1 and measures.count("FileScan") == 1
+    assert plan(reader.articles).count(tokens_table) == 1
+    reader.done()
+
+
+def test_spaces_that_are_not_ascii_and_pieces_of_words(spark):
+    """Sizes, words and stops by lengths are those of the recursive version where spaces are not ASCII and words and sentences pass from text to text."""
+    texts = ["\u3000one\u2003 two.", "three", "\u2003four. five", ".", "\u2028six，seven, eight.", "nine.\n"]
+    body = "".join(f"<div><span>{a}</span>{b}<p>{a}{LONG}<i>{b}</i>{LONG}</p></div>" for a in texts for b in texts)
+    got = articles.read_articles(spark.createDataFrame([(1, page(f"<div>{body}</div>"), URL)], "page_id long, html string, url string"), url_col="url").first()
+    assert (got.html, got.text) == expected(page(f"<div>{body}</div>"))
