@@ -301,6 +301,33 @@ def test_recall_of_blocks(size, changes):
     assert shared >= 0.95 * pairs and several >= 0.88 * pairs and close >= 0.99 * pairs
 
 
+@pytest.mark.parametrize("percent", [65, 80, 95])
+def test_blocks_lose_no_near_line(percent):
+    """Lines at the limit, of frequent words too, share as many blocks as they need, and no more odd bits differ than edits turn."""
+    rng = np.random.default_rng(percent)
+    word = lambda n, most=1 << 62: lines.mix(rng.integers(0, most, n).astype(np.uint64)).tolist()
+    near = 0
+    for k in range(1500):
+        a = word(int(rng.choice([3, 5, 7, 10, 11, 15, 16, 20, 24, 29, 40, 100, 1100])), 3 if k % 3 == 0 else 1 << 62)
+        b = list(a)
+        for _ in range(int(rng.integers(1, (100 - percent) * len(a) // 100 + 2))):
+            at, kind = int(rng.integers(0, len(b))), rng.integers(0, 3)
+            b[at : at + int(kind != 1)] = word(int(kind != 0))
+            if not b:
+                break
+        allowed = (100 - percent) * max(len(a), len(b)) // 100
+        if not b or abs(len(a) - len(b)) > allowed or lines.distance(a, b) > allowed:
+            continue
+        near += 1
+        size, both = np.array([len(a), len(b)]), np.array(a + b, np.uint64)
+        line, piece, key = lines.blocks(both, size, percent)
+        need = lines.whole_pieces(line, piece, key, size, percent)[int(len(b) > len(a))]
+        assert a == b or len(set(key[line == 0].tolist()) & set(key[line == 1].tolist())) >= need > 0
+        odd = lines.odd_bits(both, size)
+        assert np.bitwise_count(odd[0] ^ odd[1]).sum() <= 2 * allowed
+    assert near > 300
+
+
 @pytest.mark.parametrize(("percent", "hot", "refine"), [(80, 64, 32), (80, 4, 4), (70, 64, 32)])
 def test_near_lines_are_found(spark, monkeypatch, percent, hot, refine):
     from quire.llm import graph
