@@ -6,9 +6,10 @@ Under one global order of shingles, two linked sets share at least l shingles am
 shingles before a pair is verified.  Each document takes the l whose estimated cost (postings touched plus
 candidates verified, from the true counts of its prefix's shingles) is least; a pair needs the smaller l of its two.
 
-The global order puts shingles that many documents hold last, by classes of their estimated frequency in a
+The global order puts shingles that many documents hold last, by fine classes of their estimated frequency in a
 count sketch of fixed size over all documents, then by hash.  Any order is lossless, so the estimate only
-moves cost.  Equal sets are one representative from the start; see ``graph.connect`` for how groups of
+moves cost.  Its error grows with the root of the input, and so does the number of documents above which a shingle is hot;
+else usual shingles became hot on large inputs and led most documents to one cluster, which is compared in blocks.  Equal sets are one representative from the start; see ``graph.connect`` for how groups of
 near copies are joined without making all their pairs.
 
 Scans: one for the sketch, one for sets and prefixes, one per verification for the sets of candidates
@@ -36,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from quire.llm import graph
 from quire.llm.counters import counters
 from quire.llm.graph import connect, shared_postings
 from quire.llm.repeats import bucket_bits, short, twice
@@ -45,6 +47,8 @@ from quire.llm.text import LOWER, SPACE, mix, ngrams, parts, span_hashes, spans
 MORE = 3  # an l of up to MORE + 1, or a quarter of the shortest prefix, may be chosen
 SKETCH_BITS = 22
 SHARED_BITS = 26
+QUIET = 16  # a deviation of counters up to which HOT documents may share a shingle that is not hot
+SLACK, FINE = 3, 7  # deviations below and above the usual count between which classes are fine
 VERIFY_COST = 40.0  # of one candidate, in postings
 
 
@@ -75,21 +79,36 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.nda
         yield first, last, hashes, np.searchsorted(owners, np.arange(rows + 1))
 
 
-def frequency_classes(docs: DataFrame, text_col: str, size: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """By shingle hash a class: 0 for usual counts, more for ever more frequent shingles; from all documents."""
+def order_classes(counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """(by counter a class, the smaller the rarer; how many documents may share a shingle that still gets a small class by chance).
+
+    A counter holds the usual number of chance shingles, give or take its root.  Classes are quarters of that deviation, as even a
+    shingle that stands out little is worth a later place, and doublings far above it.  A shingle that prefixes hold stands
+    seldom in more documents than a few deviations, while a fixed number would be passed by usual ones on large inputs.
+    """
+    over = counts.astype(np.float32)
+    usual = float(np.median(over))
+    noise = (usual + 1) ** 0.5
+    # in place, as the table is the largest thing that the driver holds
+    over -= usual
+    over /= noise
+    far = over > FINE
+    steep = np.log2(over[far] / FINE)
+    np.clip(over, -SLACK, FINE, out=over)
+    over += SLACK
+    over *= 4
+    over[far] += steep
+    return np.ceil(over, out=over).astype(np.uint8), max(graph.HOT, int(graph.HOT * noise / QUIET))
+
+
+def frequency_classes(docs: DataFrame, text_col: str, size: int, bits: int = SKETCH_BITS) -> tuple[np.ndarray, int]:
+    """What ``order_classes`` makes of the counts of all documents' shingles, by hash."""
 
     def at(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, _, hashes, _ in shingle_sets(batch.column(0), size):
             yield (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
-    over = counters(docs.select(text_col), at, 1 << bits).astype(np.float32)
-    usual = float(np.median(over))
-    # in place, as the table is the largest thing that the driver holds
-    over -= usual + 5 * (usual + 1) ** 0.5
-    np.maximum(over, 0, out=over)
-    over /= 1 + usual**0.5
-    np.log2(1 + over, out=over)
-    return np.minimum(63, np.ceil(over, out=over), out=over).astype(np.uint8)
+    return order_classes(counters(docs.select(text_col), at, 1 << bits))
 
 
 def set_ids(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -226,7 +245,7 @@ def linked(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str,
     if not isinstance(docs.schema[id_col].dataType, IntegralType):
         raise TypeError(f"{id_col} must be an integer")
     tables = Tables(docs.sparkSession, "jaccard")
-    classes = frequency_classes(docs, text_col, size)
+    classes, most = frequency_classes(docs, text_col, size)
     made = tables.keep(prefixes(docs, id_col, text_col, size, percent, classes), "prefixes")
     some = made.where("n_shingles > 0" if nameless else "n_shingles > 0 and doc is not null")
     # equal sets: one representative
@@ -234,13 +253,14 @@ def linked(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str,
     same = tables.keep(same, "sets")
     # without prefixes, which are most of both tables
     rows = tables.keep(made.select("doc", "row", "n_shingles", "set"), "rows")
+    tables.drop("prefixes")
     named = tables.keep(same.select("id", "least", "row"), "ids")
     bits = bucket_bits(docs.select(F.col(text_col).alias("text")))
     spread = tables.keep(possible(same, repeated_tokens(same, tables, bits), bits), "possible")
-    tables.drop("prefixes", "sets", "twice")
+    tables.drop("sets", "twice")
     postings = adapt(shared_postings(spread, tables, "join", "rank"), percent, tables)
     tables.drop("possible", "join-shared", "join-postings", "needs")
-    roots = connect(postings, percent, fetcher(docs, id_col, text_col, size, named.select("id", "row")), jaccard_at_least(percent), tables, "join")
+    roots = connect(postings, percent, fetcher(docs, id_col, text_col, size, named.select("id", "row")), jaccard_at_least(percent), tables, "join", most=most)
     tables.drop("adapted")
     sets = named.select("id", "least").join(tables.keep(roots, "roots"), "id", "left")
     return rows, tables.keep(sets.select(F.col("id").alias("set"), F.coalesce("root", "id").alias("root"), "least"), "named")
