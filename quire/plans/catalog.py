@@ -202,7 +202,7 @@ def feed_parse(v: Views) -> DataFrame:
     i = F.col("doc_id").cast("string")
     body = F.concat(
         F.lit('<rss version="2.0"><channel><title>t</title><link>https://example.com/</link><item><title>'), escaped(F.concat_ws(" ", F.lit("Post"), i, F.col("source"))),
-        F.lit('</title><link>/p/'), i, F.lit("</link><guid>g"), i, F.lit("</guid><description>"), escaped(F.col("text")),
+        F.lit('</title><link>/p/'), i, F.lit("</link><guid>g"), i, F.lit("</guid><description>"), escaped(F.coalesce("text", F.lit(""))),
         F.lit("</description><pubDate>Mon, 01 Jan 2024 0"), (F.col("doc_id") % 10).cast("string"), F.lit(":30:00 GMT</pubDate></item></channel></rss>"),
     )
     feeds = v.raw("documents").select(F.col("doc_id").alias("feed_id"), F.lit("https://example.com/rss").alias("feed_url"), body.alias("body"))

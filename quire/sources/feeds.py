@@ -30,6 +30,10 @@ JSON = (
 )
 
 
+# Characters that XML does not allow; a parser refuses a whole document for one of them.
+NOT_XML = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFE\\uFFFF]"
+
+
 def looks_like(body: Column) -> Column:
     """json, rss, atom or rdf by the start of a document; null for anything else."""
     start = F.ltrim(F.substring(body, 1, 1000))
@@ -123,7 +127,7 @@ def json_items(parsed: DataFrame) -> DataFrame:
 def entries(feeds: DataFrame) -> DataFrame:
     """Entries of feed documents (feed_id, feed_url, body); documents of no known format give none (see ``unreadable``)."""
     kinds = feeds.select("feed_id", "feed_url", "body", looks_like(F.col("body")).alias("kind"))
-    of = lambda kind, schema: kinds.where(F.col("kind") == kind).withColumn("x", F.from_xml("body", schema))
+    of = lambda kind, schema: kinds.where(F.col("kind") == kind).withColumn("x", F.from_xml(F.regexp_replace("body", NOT_XML, ""), schema))
     site = lambda c: F.coalesce(absolute(text_or_null(F.col(c)), F.col("feed_url")), F.col("feed_url"))
     raw = [
         rss_items(of("rss", RSS), F.col("x.channel.item"), site("x.channel.link")),
